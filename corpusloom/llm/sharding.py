@@ -3,13 +3,15 @@
 Equal texts are one atomic group. Groups are ordered by a hash of their text and fall into a fixed number of cells of
 that order; a cell is the atom that is cut between, so a group is never split and the driver sees `cells` sums at
 most, whatever the input. The smallest capacity for which a greedy walk over the cells needs no more than `n_shards`
-shards is found by binary search, and the walk at that capacity gives the cuts.
+shards is found by binary search, and the cuts are made at that capacity.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_right
+from itertools import accumulate
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -17,34 +19,70 @@ from pyspark.sql.window import Window
 from corpusloom.llm.common import parquet, text_or_empty, written
 
 
-def greedy_cuts(sizes: list[int], capacity: int, most: int) -> list[int] | None:
-    """First atoms of the shards after the first, if `most` shards of that capacity are enough."""
-    prefix = [0]
-    for s in sizes:
-        prefix.append(prefix[-1] + s)
-    cuts, at = [], 0
+def _prefix(sizes: list[int]) -> list[int]:
+    return [0, *accumulate(sizes)]
+
+
+def feasible(prefix: list[int], capacity: int, most: int) -> bool:
+    """Whether a greedy walk over the atoms needs at most `most` shards of that capacity."""
+    at, end = 0, len(prefix) - 1
     for _ in range(most):
         to = bisect_right(prefix, prefix[at] + capacity) - 1
-        if to >= len(sizes):
-            return cuts
+        if to >= end:
+            return True
         if to == at:
-            return None
-        cuts.append(at := to)
-    return None
+            return False
+        at = to
+    return False
 
 
 def minimax_cuts(sizes: list[int], n_shards: int) -> tuple[int, list[int]]:
-    """The smallest feasible capacity over ordered atoms and the greedy cuts at it."""
-    if not sizes:
+    """The smallest feasible capacity over ordered atoms, and the first atoms of the shards after the first.
+
+    A plain greedy walk at that capacity would starve the last shard, so the cuts are evened out within it.
+    """
+    prefix = _prefix(sizes)
+    total, end = prefix[-1], len(sizes)
+    if not end:
         return 0, []
-    low, high = max(max(sizes), -(-sum(sizes) // n_shards)), sum(sizes)
+    low, high = max(max(sizes), -(-total // n_shards)), total
     while low < high:
         middle = (low + high) // 2
-        if greedy_cuts(sizes, middle, n_shards) is None:
+        if feasible(prefix, middle, n_shards):
+            high = middle
+        else:
             low = middle + 1
+    return low, _even_cuts(np.array(prefix), low, n_shards)
+
+
+def _even_cuts(prefix: np.ndarray, capacity: int, n_shards: int) -> list[int]:
+    """Cuts within the capacity whose smallest shard is as large as possible, by binary search over that too."""
+    end = len(prefix) - 1
+    first = np.searchsorted(prefix, prefix - capacity, "left")
+
+    def reach(least: int) -> list[np.ndarray]:
+        """Which atoms can begin shard k, for each k."""
+        past = np.searchsorted(prefix, prefix - least, "right")
+        steps = [np.arange(end + 1) == 0]
+        for _ in range(n_shards):
+            count = np.concatenate([[0], np.cumsum(steps[-1])])
+            steps.append(count[past] - count[np.minimum(first, past)] > 0)
+        return steps
+
+    low, high = 0, int(prefix[-1]) // n_shards
+    while low < high:
+        middle = (low + high + 1) // 2
+        if reach(middle)[-1][end]:
+            low = middle
         else:
-            high = middle
-    return low, greedy_cuts(sizes, low, n_shards)
+            high = middle - 1
+    steps, cuts, at = reach(low), [], end
+    for k in range(n_shards - 1, 0, -1):
+        span = np.arange(first[at], np.searchsorted(prefix, prefix[at] - low, "right"))
+        span = span[steps[k][span]]
+        at = int(span[np.argmin(np.abs(prefix[span] * n_shards - k * int(prefix[-1])))])
+        cuts.append(at)
+    return [c for c in reversed(cuts) if c < end]
 
 
 def shard_by_bytes(df: DataFrame, n_shards: int = 16, key: str = "doc_id", text: str = "text", cells: int = 1 << 14, salts: int = 16) -> DataFrame:
