@@ -115,7 +115,7 @@ def _solved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush(last=True)
 
 
-def _joined(key, pdf: pd.DataFrame) -> pd.DataFrame:
+def _joined(key, pdf):
     """The border roles of the segments of one conversation, from their costs in order."""
     pdf = pdf.sort_values("part")
     best, back = [0, FAR, FAR, FAR], []

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import bpe, chat, media, packing, quality, sharding, unigram, urls
+from corpusloom.llm import bpe, chat, media, ngram_join, packing, quality, recompress, sharding, unigram, urls
 
-MODULES = (sharding, chat, unigram, packing, quality, bpe, urls, media)
+MODULES = (sharding, chat, ngram_join, unigram, packing, quality, bpe, urls, media, recompress)
 
 
 def queries() -> dict:
