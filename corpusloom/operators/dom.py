@@ -111,13 +111,18 @@ def unwanted(e: Element) -> bool:
     return e.tag in UNWANTED_TAGS or e.attributes.get("role") in UNWANTED_ROLES or any(c in UNWANTED_CLASSES for c in _classes(e))
 
 
-def _content(root: Element) -> Element:
+def _outside_body(e: Element) -> bool:
+    return unwanted(e) or e.tag in ("head", "title")
+
+
+def _content(root: Element):
+    """The content's element and what to skip below it; without a body, all but the head is one."""
     kept = list(root.walk(unwanted))
     for kind, name in CONTENT_PLACES:
         for e in kept:
             if (e.tag == name if kind == "tag" else name in _classes(e) if kind == "class" else e.attributes.get(kind) == name):
-                return e
-    return root
+                return e, unwanted
+    return root, _outside_body
 
 
 def absolute(href: str, base: str) -> str:
@@ -131,13 +136,13 @@ def extract(text: str, url: str) -> dict:
     title = next((e.text() for e in root.walk() if e.tag == "title"), "")
     headings = [t for t in (e.text(unwanted).strip(_ENDS) for e in root.walk(unwanted) if e.tag in HEADINGS) if t]
     links = dict.fromkeys(absolute(e.attributes["href"], url) for e in root.walk() if e.tag == "a" and "href" in e.attributes)
-    main = _content(root)
+    main, skip = _content(root)
     return {
         "title": _ASCII_WHITE.sub(" ", title).strip("\t\n\f\r "),
         "headings": headings,
-        "content": _WHITE.sub(" ", main.text(unwanted)).strip(_ENDS),
+        "content": _WHITE.sub(" ", main.text(skip)).strip(_ENDS),
         "links": [x for x in links if x.startswith("http")],
-        "cleaned_html": main.inner_html(unwanted),
+        "cleaned_html": main.inner_html(skip),
         "error": None,
     }
 

@@ -14,21 +14,26 @@ from corpusloom.plans.jobs import TERMINAL
 
 
 def event_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A stream over the Parquet files of one table in a folder."""
-    schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+    """A stream over one table in a folder, a file or a directory of files."""
+    path = f"{folder}/{name}.parquet"
+    table = spark.read.parquet(path)
+    stream = spark.readStream.schema(table.schema)
+    if any(f.endswith(f"/{name}.parquet") for f in table.inputFiles()[:1]):
+        return stream.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+    return stream.parquet(path)
 
 
 def run_available(stream: DataFrame, target: str, mode: str = "complete") -> DataFrame:
-    """Runs a stream over what is there, each batch replacing the target table; gives the table."""
+    """Runs a stream over what is there and gives the target table: the last batch in complete mode, else all of them.
+    A batch that is run again replaces what it wrote."""
     spark = stream.sparkSession
 
-    def put(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{target}/rows")
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{target}/rows/batch={0 if mode == 'complete' else number}")
 
     query = stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{target}/state-{uuid.uuid4().hex}").foreachBatch(put).start()
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{target}/rows")
+    return spark.read.schema(stream.schema).parquet(f"{target}/rows").select(*stream.columns)
 
 
 STATE = "status string, created timestamp, started timestamp, ended timestamp"
