@@ -6,6 +6,7 @@ text can be cut on bytes without decoding it.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -52,6 +53,13 @@ def forget(table: DataFrame) -> None:
     path.getFileSystem(conf).delete(path, True)
 
 
+def settle(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of finished steps. It does so when the driver's collector finds that their
+    owners are gone, which on a driver with little to do may be long after; so the collector is asked to run."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def parquet(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -1,17 +1,21 @@
 """N-gram Jaccard join with prefix filtering, and the components of its links.
 
-Each distinct set of shingles is one class, represented by a set of 64-bit hashes. Shingles have one global order: a
-hash-chosen share of them first, by how many slices' documents have them (rare first) and then by hash; the others
-after those, by hash. Any global order is right for prefix filtering; with this one only that share has to be counted,
-and it is larger than the prefixes, so prefixes consist of counted, rare shingles. Two sets with a Jaccard similarity
-of at least t share one of the first n - ceil(t n) + 1 shingles of either. A shingle that one document has links
-nothing, so only prefixes with repeated ones leave postings.
-
-Of the postings of a shingle, length, positional and suffix filters leave the pairs to verify: the bound on the common
-shingles before, at and after the two positions, and the bound that the sizes of eight parts of the two sets by hash
-give. Groups of near copies would have pairs in the square of their size. So candidates are first paired with the
-first document of each shingle's postings only, links are joined to components, and only pairs that still lie in
-different components follow, each verified once; what lies in one component needs no further link.
+Each distinct set of shingles is one class, represented by a set of 64-bit hashes. Two sets with a Jaccard similarity
+of at least t share one of the first n - ceil(t n) + 1 shingles of either, in any one order of all shingles; a shingle
+that one class has links nothing. This is used twice.
+
+First, to find the classes that may have links at all: a hash-chosen share of the shingles, larger than the prefixes,
+comes first in the order and is counted over all documents. A class is active if its prefix, rare shingles first, has
+one that occurs elsewhere. Then all shingles of the active classes are counted among them. A class of n shingles with
+less than t n that occur in other classes is done; of the others, only these shared shingles are kept, rare first, and
+the first of them up to the prefix are posted.
+
+Of the postings of a shingle, three filters leave the pairs to verify: the sizes; the bound that the positions give on
+the common shingles before, at and after them, where shingles of one class alone never count; and a bound by the sizes
+of eight parts of the two sets by hash, on what follows. Groups of near copies would have pairs in the square of their
+size. So candidates are first paired with one class per shingle only, the one with the smallest share of shingles of
+its own, which is near the middle of such a group; links are joined to components, and only pairs that still lie in
+different components follow, each verified once. What lies in one component needs no further link.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import Words, column, forget, mix, parquet, parts_for, slices, windows, written
+from corpusloom.llm.common import Words, column, forget, mix, parquet, parts_for, settle, slices, windows, written
 from corpusloom.llm.exchange import blobs, bucket_edges, buckets_for, i64, key_filter, u64
 
 WIDTH, PERCENT = 5, 80
@@ -52,7 +56,7 @@ def prefix_length(n, percent: int = PERCENT):
     return n - (-(-n * percent // 100)) + 1
 
 
-SLICES = "b long, docs binary, ids binary, n binary, h1 binary, h2 binary, s1 binary, s2 binary, n_counted binary, n_keys binary, keys binary"
+SLICES = "b long, docs binary, ids binary, n binary, h1 binary, h2 binary, n_counted binary, n_keys binary, keys binary"
 _SALT = np.uint64(0x5851F42D4C957F2D)
 
 
@@ -70,13 +74,10 @@ def _shingled(percent: int, width: int):
                 with np.errstate(over="ignore"):
                     h1 = np.array([mix(s).sum(dtype=np.uint64) for s in sets], np.uint64)
                     h2 = np.array([(mix(s ^ _SALT) * (mix(s) | np.uint64(1))).sum(dtype=np.uint64) for s in sets], np.uint64)
-                sizes = np.array([np.bincount((mix(s ^ _SALT) >> np.uint64(61)).astype(np.int64), minlength=8) for s in sets], np.uint64).reshape(-1, 8)
-                sizes = np.minimum(sizes, np.uint64(0x7FFF))
-                packed = [(sizes[:, k : k + 4] << np.array([0, 16, 32, 48], np.uint64)).sum(axis=1, dtype=np.uint64) for k in (0, 4)]
                 keys = np.concatenate([s[:k] for s, k in zip(sets, n_keys.tolist(), strict=True)])
                 docs = column(batch, "k")[lo:hi].fill_null(NULL).to_numpy()
                 ids = column(batch, "id")[lo:hi].to_numpy()
-                cells = [docs, ids, n, h1, h2, *packed, counted, n_keys, keys]
+                cells = [docs, ids, n, h1, h2, counted, n_keys, keys]
                 yield pa.record_batch([pa.array([(part << 32) + number], pa.int64()), *(pa.array([c.tobytes()], pa.binary()) for c in cells)], [x.split()[0] for x in SLICES.split(", ")])
                 number += 1
 
@@ -92,21 +93,23 @@ def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([pa.array(x) for x in (b, np.arange(len(docs)), docs, ids, n, h1, h2)], ["b", "nth", "k", "id", "n", "h1", "h2"])
 
 
-def _counted_keys(batch: pa.RecordBatch, row: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys of a slice, the document of each, and whether it is a counted one."""
-    keys, n_keys = u64(column(batch, "keys")[row]), i64(column(batch, "n_keys")[row])
-    return keys, np.repeat(np.arange(len(n_keys)), n_keys), keys < COUNTED
+def _keys(batch: pa.RecordBatch, row: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of a slice and the member of the slice that has each."""
+    n_keys = i64(column(batch, "n_keys")[row])
+    return u64(column(batch, "keys")[row]), np.repeat(np.arange(len(n_keys)), n_keys)
 
 
-def _frequencies(table: DataFrame, buckets: int) -> DataFrame:
-    """(b, found): for each slice, its counted keys that are in more than one document, with the numbers of documents."""
+def _frequencies(table: DataFrame, buckets: int, below: np.uint64 | None = None) -> DataFrame:
+    """(b, found): for each slice, its keys (those below a bound) that more than one member of any slice has, with
+    their numbers of members."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(len(batch)):
-                keys, _, counted = _counted_keys(batch, row)
-                keys, count = np.unique(keys[counted], return_counts=True)
-                edges = bucket_edges(keys, buckets * 10 // 3)  # counted keys fill 3/10 of the range
+                keys, count = np.unique(u64(column(batch, "keys")[row]), return_counts=True)
+                if below is not None:
+                    keys = keys[: np.searchsorted(keys, below)]
+                edges = bucket_edges(keys, buckets)
                 full = np.flatnonzero(np.diff(edges))
                 b = column(batch, "b")[row].as_py()
                 yield pa.record_batch([pa.array(full, pa.int64()), pa.array([b] * len(full), pa.int64()), blobs(keys[edges[i] : edges[i + 1]] for i in full), blobs(count[edges[i] : edges[i + 1]].astype(np.int32) for i in full)], ["bucket", "b", "keys", "count"])
@@ -117,82 +120,130 @@ def _frequencies(table: DataFrame, buckets: int) -> DataFrame:
         _, which = np.unique(np.concatenate(parts), return_inverse=True)
         total = np.bincount(which, weights=count).astype(np.int64)[which]
         splits = np.cumsum([len(p) for p in parts])[:-1]
-        found = [(p[t > 1], t[t > 1]) for p, t in zip(parts, np.split(total, splits), strict=True)]
+        found = [(p[t > 1], t[t > 1].astype(np.int32)) for p, t in zip(parts, np.split(total, splits), strict=True)]
         keep = [i for i, (f, _) in enumerate(found) if len(f)]
         return pa.table({"b": table.column("b").take(pa.array(keep, pa.int64())), "keys": blobs(found[i][0] for i in keep), "df": blobs(found[i][1] for i in keep)})
 
-    sent = table.select("b", "n_keys", "keys").mapInArrow(send, "bucket long, b long, keys binary, count binary")
+    sent = table.select("b", "keys").mapInArrow(send, "bucket long, b long, keys binary, count binary")
     return sent.groupBy("bucket").applyInArrow(answer, "b long, keys binary, df binary").groupBy("b").agg(F.collect_list(F.struct("keys", "df")).alias("found"))
 
 
-POSTINGS = "key long, c long, n long, pos long, s1 long, s2 long"
+def _looked_up(answers, keys: np.ndarray) -> np.ndarray:
+    """The number of members for each key; 1 for those without an answer."""
+    df = np.ones(len(keys), np.int64)
+    if answers is not None and len(answers) and len(keys):
+        known = np.concatenate([u64(x) for x in answers.field("keys")])
+        total = np.concatenate([np.frombuffer(x.as_buffer(), np.int32) for x in answers.field("df")])
+        order = np.argsort(known)
+        known, total = known[order], total[order]
+        at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+        hit = known[at] == keys
+        df[hit] = total[at[hit]]
+    return df
 
 
-def _posted(percent: int):
-    """Postings of the first document of each class: its prefix without what no other document has."""
+def _active(percent: int):
+    """(c, k, id) of the classes with a prefix that has a repeated or an uncounted shingle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(len(batch)):
-                keys, doc, counted = _counted_keys(batch, row)
+                keys, doc = _keys(batch, row)
                 own = column(batch, "own")[row].values
-                n, n_counted, s1, s2 = (i64(column(batch, c)[row]) for c in ("n", "n_counted", "s1", "s2"))
+                n, n_counted, docs, ids = (i64(column(batch, c)[row]) for c in ("n", "n_counted", "docs", "ids"))
                 cls = np.full(len(n), -1, np.int64)
                 cls[own.field("nth").to_numpy()] = own.field("c").to_numpy()
-                df = np.ones(len(keys), np.int64)
-                answers = column(batch, "found")[row].values
-                if answers is not None and len(answers):
-                    known = np.concatenate([u64(x) for x in answers.field("keys")])
-                    total = np.concatenate([i64(x) for x in answers.field("df")])
-                    order = np.argsort(known)
-                    known, total = known[order], total[order]
-                    at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-                    hit = (known[at] == keys) & counted
-                    df[hit] = total[at[hit]]
-                mine = np.flatnonzero(cls[doc] >= 0)
-                mine = mine[np.lexsort((keys[mine], df[mine], ~counted[mine], doc[mine]))]
-                begin = np.searchsorted(doc[mine], np.arange(len(n)))
-                pos = np.arange(len(mine)) - begin[doc[mine]]
-                keep = (pos < prefix_length(n, percent)[doc[mine]]) & ((df[mine] > 1) | ~counted[mine])
-                mine, pos = mine[keep], pos[keep]
-                d = doc[mine]
-                yield pa.record_batch([pa.array(x) for x in (keys[mine].view(np.int64), cls[d], n[d], pos, s1[d], s2[d])], [x.split()[0] for x in POSTINGS.split(", ")])
+                single = (_looked_up(column(batch, "found")[row].values, keys) == 1) & (keys < COUNTED)
+                # Singles come first: is there anything but them in the prefix?
+                hit = (np.bincount(doc[single], minlength=len(n)) < prefix_length(n, percent)) & (cls >= 0)
+                yield pa.record_batch([pa.array(x[hit]) for x in (cls, docs, ids)], ["c", "k", "id"])
 
     return run
 
 
-def _possible(percent: int):
-    """The filters on a pair of postings x and y of one key, as a condition."""
-    n = lambda a: F.col(f"{a}.n")
-    # |x & y| >= percent / (100 + percent) * (|x| + |y|)
-    need = F.ceil((n("x") + n("y")) * percent / (100 + percent) - 1e-9)
-    length = (F.least(n("x"), n("y")) * 100 >= F.greatest(n("x"), n("y")) * percent)
-    most = F.least(F.col("x.pos"), F.col("y.pos")) + 1 + F.least(n("x") - F.col("x.pos") - 1, n("y") - F.col("y.pos") - 1)
-    part = lambda a, s, k: F.shiftright(F.col(f"{a}.{s}"), 16 * k).bitwiseAND(F.lit(0xFFFF))
-    apart = sum((F.abs(part("x", s, k) - part("y", s, k)) for s in ("s1", "s2") for k in range(4)), F.lit(0))
-    return length & (most >= need) & (apart <= n("x") + n("y") - 2 * need)
+SETS = "b long, c binary, n_keys binary, keys binary"
 
 
-def _verified(percent: int):
+def _set_rows(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, number = TaskContext.get().partitionId(), 0
         for batch in batches:
-            keep = []
-            for x, y in zip(column(batch, "sx"), column(batch, "sy"), strict=True):
-                x, y = u64(x), u64(y)
-                both = np.sort(np.concatenate([x, y]))
-                common = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * common >= percent * (len(x) + len(y) - common))
-            yield pa.record_batch([column(batch, "x"), column(batch, "y")], ["x", "y"]).filter(pa.array(keep, pa.bool_()))
+            texts = column(batch, "t")
+            for lo, hi in slices(texts):
+                sets = shingle_sets(texts[lo:hi], width)
+                cells = [column(batch, "c")[lo:hi].to_numpy(), np.array([len(s) for s in sets], np.int64), np.concatenate(sets)]
+                yield pa.record_batch([pa.array([(part << 32) + number], pa.int64()), *(pa.array([c.tobytes()], pa.binary()) for c in cells)], [x.split()[0] for x in SETS.split(", ")])
+                number += 1
 
     return run
 
 
-def _set_rows(width: int):
+SHARED = "c long, n long, own long, s1 long, s2 long, shared binary"
+
+
+def _shared(percent: int):
+    """For each class that may have links, its shingles that other classes have, in the order of all shingles."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = column(batch, "t")
-            for lo, hi in slices(texts):
-                yield pa.record_batch([column(batch, "c")[lo:hi], blobs(shingle_sets(texts[lo:hi], width))], ["c", "shingles"])
+            for row in range(len(batch)):
+                keys, member = _keys(batch, row)
+                c, n = i64(column(batch, "c")[row]), i64(column(batch, "n_keys")[row])
+                df = _looked_up(column(batch, "found")[row].values, keys)
+                kept = np.bincount(member[df > 1], minlength=len(n))
+                hit = kept * 100 >= n * percent
+                mine = np.flatnonzero((df > 1) & hit[member])
+                mine = mine[np.lexsort((keys[mine], df[mine], member[mine]))]
+                part = (mix(keys[mine] ^ _SALT) >> np.uint64(61)).astype(np.int64)
+                sizes = np.minimum(np.bincount(member[mine] * 8 + part, minlength=len(n) * 8).reshape(-1, 8), 0x7FFF).astype(np.uint64)
+                s1, s2 = ((sizes[:, k : k + 4] << np.array([0, 16, 32, 48], np.uint64)).sum(axis=1, dtype=np.uint64).view(np.int64) for k in (0, 4))
+                sets = np.split(keys[mine], np.cumsum(np.where(hit, kept, 0))[:-1])
+                yield pa.record_batch([*(pa.array(x[hit]) for x in (c, n, n - kept, s1, s2)), blobs(x for x, h in zip(sets, hit, strict=True) if h)], [x.split()[0] for x in SHARED.split(", ")])
+
+    return run
+
+
+POSTINGS = "key long, c long, n long, own long, at long, s1 long, s2 long"
+
+
+def _posted(percent: int):
+    """Postings of the shared shingles in the prefix; `at` is the place among them, after the `own` ones."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, own = column(batch, "n").to_numpy(), column(batch, "own").to_numpy()
+            count = np.maximum(prefix_length(n, percent) - own, 0)
+            keys = [u64(x)[:k] for x, k in zip(column(batch, "shared"), count.tolist(), strict=True)]
+            row = np.repeat(np.arange(len(n)), [len(k) for k in keys])
+            at = np.concatenate([np.arange(len(k)) for k in keys]) if keys else np.zeros(0, np.int64)
+            columns = [column(batch, c).to_numpy()[row] for c in ("c", "n", "own", "s1", "s2")]
+            yield pa.record_batch([pa.array(x) for x in ((np.concatenate(keys) if keys else np.zeros(0, np.uint64)).view(np.int64), *columns[:3], at, *columns[3:])], [x.split()[0] for x in POSTINGS.split(", ")])
+
+    return run
+
+
+def _possible(percent: int):
+    """The filters on a pair of postings x and y of one key, as a condition."""
+    x, y = (lambda c: F.col(f"x.{c}")), (lambda c: F.col(f"y.{c}"))
+    both = x("n") + y("n")
+    need = F.ceil(both * percent / (100 + percent) - 1e-9)  # common shingles of two sets with that similarity, at least
+    length = F.least(x("n"), y("n")) * 100 >= F.greatest(x("n"), y("n")) * percent
+    after = lambda r: r("n") - r("own") - r("at") - 1
+    most = F.least(x("at"), y("at")) + 1 + F.least(after(x), after(y))
+    part = lambda r, s, k: F.shiftright(r(s), 16 * k).bitwiseAND(F.lit(0xFFFF))
+    apart = sum((F.abs(part(x, s, k) - part(y, s, k)) for s in ("s1", "s2") for k in range(4)), x("own") + y("own"))
+    return length & (most >= need) & (apart <= both - 2 * need)
+
+
+def _verified(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y, n in zip(column(batch, "sx"), column(batch, "sy"), column(batch, "n").to_pylist(), strict=True):
+                both = np.sort(np.concatenate([u64(x), u64(y)]))
+                common = int((both[1:] == both[:-1]).sum())
+                keep.append(100 * common >= percent * (n - common))
+            yield pa.record_batch([column(batch, "x"), column(batch, "y")], ["x", "y"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
@@ -218,17 +269,19 @@ def components(links: DataFrame, nodes: DataFrame) -> DataFrame:
     return nodes.select("c").join(labels, "c", "left").select("c", F.coalesce("label", "c").alias("label"))
 
 
-def _cross(postings: DataFrame, labels: DataFrame, done: DataFrame, star: bool, percent: int) -> DataFrame:
+def _cross(postings: DataFrame, labels: DataFrame, done: DataFrame | None, star: bool, percent: int) -> DataFrame:
     """Pairs of postings of one key in different components, that pass the filters and aren't verified yet."""
     own = postings.join(labels, "c")
-    spread = own.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min(F.struct("c", "n", "pos", "s1", "s2", "label")).alias("head")).where("low != high")
-    record = F.struct("c", "n", "pos", "s1", "s2", "label")
+    record = F.struct("c", "n", "own", "at", "s1", "s2", "label")
+    middle = F.min_by(record, F.struct((F.col("own") / F.col("n")).alias("r"), "c"))
+    spread = own.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), middle.alias("head")).where("low != high")
     if star:
         pairs = own.select("key", record.alias("y")).join(spread.select("key", F.col("head").alias("x")), "key")
     else:
         own = own.join(spread.select("key"), "key", "left_semi").select("key", record.alias("r"))
-        pairs = own.select("key", F.col("r").alias("x")).join(own.select("key", F.col("r").alias("y")), "key")
-    pairs = pairs.where((F.col("x.label") != F.col("y.label")) & (F.col("x.c") < F.col("y.c")) & _possible(percent)).select(F.col("x.c").alias("x"), F.col("y.c").alias("y")).distinct()
+        pairs = own.select("key", F.col("r").alias("x")).join(own.select("key", F.col("r").alias("y")), "key").where(F.col("x.c") < F.col("y.c"))
+    pairs = pairs.where((F.col("x.label") != F.col("y.label")) & _possible(percent))
+    pairs = pairs.select(F.least("x.c", "y.c").alias("x"), F.greatest("x.c", "y.c").alias("y")).distinct()
     return pairs.join(done, ["x", "y"], "left_anti") if done is not None else pairs
 
 
@@ -252,32 +305,41 @@ def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", w
     classes = full.groupBy("h1", "h2", "n").agg(F.min("k").alias("low"), F.min(F.struct("b", "nth", "k", "id")).alias("one"))
     classes = written(classes.withColumn("c", F.monotonically_increasing_id()), "classes")
     keys = table.agg(F.coalesce(F.sum(F.octet_length("keys")), F.lit(0))).first()[0] // 8
-    found = _frequencies(table, buckets_for(keys, parts_for(spark)))
+    # Counted keys fill 3/10 of the range of hashes.
+    found = _frequencies(table, buckets_for(keys * 10 // 3, parts_for(spark)), COUNTED)
     own = classes.groupBy("one.b").agg(F.collect_list(F.struct("one.nth", "c")).alias("own"))
-    known = table.select("b", "n", "s1", "s2", "n_counted", "n_keys", "keys").join(own, "b").join(found, "b", "left")
-    every = written(known.mapInArrow(_posted(percent), POSTINGS), "postings")
-    shared = every.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low != high").select("key")
-    postings = written(every.join(shared, "key", "left_semi"), "postings")
-    forget(every)
-
-    active = postings.select("c").distinct().join(classes.select("c", F.col("one.k").alias("k"), F.col("one.id").alias("id")), "c")
+    known = table.select("b", "docs", "ids", "n", "n_counted", "n_keys", "keys").join(own, "b").join(found, "b", "left")
+    active = known.mapInArrow(_active(percent), "c long, k long, id long").withColumn("k", F.when(F.col("k") != NULL, F.col("k")))
     active = written(active.withColumn("h", F.xxhash64("k", "id")), "active")
+    settle(spark)
     passes = key_filter(active, "h")
     texts = rows.withColumn("h", F.xxhash64("k", "id")).where(passes("h")).join(active.select("c", F.col("k").alias("ak"), F.col("id").alias("aid"), "h"), "h").where(F.col("k").eqNullSafe(F.col("ak")) & (F.col("id") == F.col("aid")))
-    texts = texts.groupBy("h", "c").agg(F.first("t").alias("t"))
-    sets = written(texts.select("c", "t").mapInArrow(_set_rows(width), "c long, shingles binary"), "sets")
+    sets = written(texts.groupBy("h", "c").agg(F.first("t").alias("t")).select("c", "t").mapInArrow(_set_rows(width), SETS), "sets")
+    settle(spark)
+    keys = sets.agg(F.coalesce(F.sum(F.octet_length("keys")), F.lit(0))).first()[0] // 8
+    shared = sets.join(_frequencies(sets, buckets_for(keys, parts_for(spark))), "b", "left").mapInArrow(_shared(percent), SHARED)
+    shared = written(shared, "shared")
+    forget(sets)
+    settle(spark)
+    postings = written(shared.mapInArrow(_posted(percent), POSTINGS), "postings")
 
-    labels = active.select("c", F.col("c").alias("label"))
+    nodes = shared.select("c")
+    labels = nodes.select("c", F.col("c").alias("label"))
     links, done = None, None
     for star in [True] * STAR_ROUNDS + [False]:
         pairs = written(_cross(postings, labels, done, star, percent), "pairs")
-        left = sets.select(F.col("c").alias("x"), F.col("shingles").alias("sx"))
-        right = sets.select(F.col("c").alias("y"), F.col("shingles").alias("sy"))
-        new = written(pairs.join(left, "x").join(right, "y").select("x", "y", "sx", "sy").mapInArrow(_verified(percent), "x long, y long"), "links")
         done = pairs if done is None else done.unionByName(pairs)
-        links = new if links is None else links.unionByName(new)
-        labels = written(components(links, active), "components")
-    forget(sets)
+        left = shared.select(F.col("c").alias("x"), F.col("shared").alias("sx"), F.col("n").alias("nx"))
+        right = shared.select(F.col("c").alias("y"), F.col("shared").alias("sy"), F.col("n").alias("ny"))
+        sized = pairs.join(left, "x").join(right, "y").select("x", "y", "sx", "sy", (F.col("nx") + F.col("ny")).alias("n"))
+        new = written(sized.mapInArrow(_verified(percent), "x long, y long"), "links")
+        settle(spark)
+        if not new.isEmpty():
+            links = new if links is None else links.unionByName(new)
+            labels = written(components(links, nodes), "components")
+    if links is None:
+        labels = written(labels, "components")
+    forget(shared)
     forget(postings)
     lows = classes.select("h1", "h2", "n", "c", "low").join(labels, "c", "left").withColumn("label", F.coalesce("label", "c"))
     smallest = lows.groupBy("label").agg(F.min("low").alias("component_id"))
