@@ -16,7 +16,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import parquet, written
+from corpusloom.llm.common import forget, parquet, written
 
 #: Rules: value in thousandths, from the feature columns.
 RULES = {
@@ -133,17 +133,25 @@ def verdict(cutoffs: dict[tuple[str, str], int], stratum: str = "lang") -> Colum
     return ~base_failed() & ~goes
 
 
+def _kept_features(docs: DataFrame) -> DataFrame:
+    """Key, stratum and features of all rows as a table, without the texts."""
+    return written(with_features(docs.select("doc_id", "text", "lang")).select(F.struct("row.doc_id", "row.lang").alias("row"), "features"), "features")
+
+
 def rate(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept) for every row."""
-    features = written(with_features(docs.select("doc_id", "text", "lang")).select(F.struct("row.doc_id", "row.lang").alias("row"), "features"), "features")
+    features = _kept_features(docs)
     cutoffs = fit_cutoffs(features, labels)
     return features.select("row.doc_id", *(f"features.{f}" for f in FEATURES[:5]), base_failed().alias("base_failed"), verdict(cutoffs).alias("kept"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that no rule rejects, with their columns as they were."""
-    features = written(with_features(docs), "rated")
-    return features.where(verdict(fit_cutoffs(features, labels))).select("row.*")
+    """The rows of docs that no rule rejects, with their columns as they were. Features are computed again for the
+    verdict, rather than kept in a table with all texts."""
+    features = _kept_features(docs)
+    cutoffs = fit_cutoffs(features, labels)
+    forget(features)
+    return with_features(docs).where(verdict(cutoffs)).select("row.*")
 
 
 def op6_quality_rules(spark, sf_dir):
