@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import Words, column, forget, mix, parquet, parts_for, slices, windows, written
+from corpusloom.llm.common import Words, column, forget, mix, parquet, parts_for, settle, slices, windows, written
 from corpusloom.llm.exchange import blobs, bucket_edges, buckets_for, i64, key_filter, u64
 
 WIDTH, AROUND, ROUNDS = 13, 4, 2
@@ -247,17 +247,20 @@ def changed_texts(rows: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
     known = table.select("b", "docs", "ids", "n_keys", "keys").join(found, "b")
     null = -(1 << 63)
     active = written(known.mapInArrow(_actives, "k long, id long, keys binary").where(F.col("k") != null).groupBy("k", "id").agg(F.first("keys").alias("keys")), "active")
+    settle(spark)
     keys = active.agg(F.coalesce(F.sum(F.octet_length("keys")), F.lit(0))).first()[0] // 8
     own = F.xxhash64("k", "id")
     passes = key_filter(active.select(own.alias("h")), "h")
     texts = rows.where(F.col("k").isNotNull()).where(passes(own)).join(active, ["k", "id"])
     texts = texts.groupBy("k", "id").agg(F.first("t").alias("t"), F.first("keys").alias("keys"))
     sliced = written(texts.select("k", "id", "t", "keys").mapInArrow(_sliced, TEXTS), "repeats")
+    settle(spark)
     least = _first_documents(sliced, buckets_for(keys * 8, parts_for(spark)), width)
     answers = least.groupBy("b").agg(F.collect_list(F.struct("bucket", "least")).alias("answers"))
     kept = written(sliced.join(answers, "b").mapInArrow(_cleaned(width), KEPT), "kept")
     forget(active)
     forget(sliced)
+    settle(spark)
     return table, kept
 
 
