@@ -7,6 +7,10 @@ of a block in that order is the number of blocks with earlier times, a sum of qu
 partition finds the places of its own blocks from the totals alone; tokens are not shuffled. What is left of the
 queues after whole blocks follows at the end. Windows are cut from the order without gaps, so only the last sequence
 of a lane is padded.
+
+Beyond `MOST_QUEUES` sources several share a queue, and inside it the same closed form is applied again, over groups of
+its sources: those with equally many blocks take turns as one group, and so do tails of equal length. So each source is
+spread over its queue by its own total, and the driver sees groups, not sources.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ from corpusloom.llm.bpe import default_path, tokenizer
 from corpusloom.llm.common import column, parquet, slices, written
 
 LENGTH, QUANTUM, END_ID = 2048, 128, 1
-#: Queues at most; of more sources, those with equal hash share a queue.
+#: Queues at most; of more sources, those with equal hash share a queue and are mixed inside it.
 MOST_QUEUES = 256
 #: Blocks of a lane at most, so that products of two counts stay within 64 bits.
 LANE_BLOCKS = 1 << 30
@@ -89,16 +93,91 @@ class Order:
             position[whole] = self.place(int(q), block[whole]) + begin[whole] - block[whole] * g
             position[rest] = self.tail_at[q] + begin[rest] - self.blocks[q] * g
         start = begin - at[row]
-        # Cut at the ends of windows, then join what follows each other in the row and in the same window.
+        # Cut at the ends of windows.
         room = length - position % length
         over = np.flatnonzero(size > room)
         row, start, position, size = (np.concatenate([x, y]) for x, y in ((row, row[over]), (start, start[over] + room[over]), (position, position[over] + room[over]), (np.minimum(size, room), size[over] - room[over])))
-        by = np.lexsort((start, row))
-        row, start, position, size = row[by], start[by], position[by], size[by]
-        new = np.ones(len(row), bool)
-        new[1:] = (row[1:] != row[:-1]) | (position[1:] != position[:-1] + size[:-1]) | (position[1:] % length == 0)
-        head = np.flatnonzero(new)
-        return row[head], start[head], np.add.reduceat(size, head) if len(head) else size, position[head]
+        return joined(row, start, size, position, length)
+
+
+def joined(row: np.ndarray, start: np.ndarray, size: np.ndarray, position: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """Pieces by row and start, those joined that follow each other in the row and in the same window."""
+    by = np.lexsort((start, row))
+    row, start, position, size = row[by], start[by], position[by], size[by]
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (position[1:] != position[:-1] + size[:-1]) | (position[1:] % length == 0)
+    head = np.flatnonzero(new)
+    return row[head], start[head], np.add.reduceat(size, head) if len(head) else size, position[head]
+
+
+class Shared:
+    """Positions of tokens in a queue that sources share; `blocks` and `tails` are (blocks or tokens, sources) pairs.
+
+    The k-th of N turns of a group is at the time (2k + 1) / 2N; equal times go by group. A source of rank i among c with
+    B blocks has the turns i, i + c, ... of its group. Tails have one turn each, so that small sources, which have nothing
+    else, do not pile up at one end of the queue.
+    """
+
+    def __init__(self, blocks: list[tuple[int, int]], tails: list[tuple[int, int]], quantum: int):
+        self.quantum = quantum
+        blocks, tails = (np.array(sorted(x for x in g if x[0]), np.int64).reshape(-1, 2) for g in (blocks, tails))
+        self.whole, self.tail = blocks[:, 0], tails[:, 0]
+        self.members = np.concatenate([blocks[:, 1], tails[:, 1]])
+        self.turns = np.concatenate([blocks[:, 0] * blocks[:, 1], tails[:, 1]])
+        self.size = np.concatenate([np.full(len(blocks), quantum, np.int64), tails[:, 0]])
+
+    def place(self, group: np.ndarray, turn: np.ndarray) -> np.ndarray:
+        """Position in the queue of the first token of turns of groups."""
+        own, before = self.turns[group], np.zeros(len(turn), np.int64)
+        for other, (n, size) in enumerate(zip(self.turns.tolist(), self.size.tolist(), strict=True)):
+            times = (2 * turn + 1) * n - (other >= group)
+            before += (times // own + 1) // 2 * size
+        return before
+
+    def spread(self, at: np.ndarray, n: np.ndarray, whole: np.ndarray, tail: np.ndarray, whole_rank: np.ndarray, tail_rank: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Row, start in the row, size and position in the queue of the parts of rows that lie at `at` in their sources."""
+        g = self.quantum
+        first = at // g
+        count = np.where(n > 0, (at + n - 1) // g - first + 1, 0)
+        row = np.repeat(np.arange(len(at)), count)
+        block = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count) + first[row]
+        begin = np.maximum(block * g, at[row])
+        size = np.minimum((block + 1) * g, (at + n)[row]) - begin
+        full = block < whole[row]
+        group = np.where(full, np.searchsorted(self.whole, whole[row]), len(self.whole) + np.searchsorted(self.tail, tail[row]))
+        turn = np.where(full, block * self.members[group] + whole_rank[row], tail_rank[row])
+        return row, begin - at[row], size, self.place(group, turn) + begin - block * g
+
+
+def _ranked(runs: DataFrame, quantum: int) -> DataFrame:
+    """runs with the whole blocks and the tail of their source, and its ranks among the sources of its queue with as many."""
+    own = runs.groupBy("lane", "queue", "source").agg(F.sum("n").alias("total"))
+    own = own.withColumns({"whole": F.floor(F.col("total") / quantum).cast("long"), "tail": F.col("total") % quantum})
+    rank = lambda c: (F.row_number().over(Window.partitionBy("lane", "queue", c).orderBy("source")) - 1).cast("long")
+    own = own.withColumn("whole_rank", rank("whole")).withColumn("tail_rank", rank("tail"))
+    return runs.join(own.drop("total"), ["lane", "queue", "source"])
+
+
+def _groups(offsets: DataFrame, quantum: int) -> dict[tuple[int, int], Shared]:
+    """By lane and queue its groups. A queue of B blocks has at most sqrt(2B) groups of blocks, and quantum - 1 of tails."""
+    own = offsets.select("lane", "queue", "source", "whole", "tail").distinct()
+    long = own.select("lane", "queue", F.explode(F.array(*(F.struct(F.lit(i).alias("kind"), F.col(c).alias("of")) for i, c in enumerate(["whole", "tail"])))).alias("x"))
+    found: dict[tuple[int, int], tuple[list, list]] = {}
+    for r in long.groupBy("lane", "queue", "x.kind", "x.of").count().collect():
+        found.setdefault((r["lane"], r["queue"]), ([], []))[r["kind"]].append((r["of"], r["count"]))
+    return {k: Shared(*v, quantum) for k, v in found.items()}
+
+
+def _mixed(order: Order, groups: dict[int, Shared], queue: np.ndarray, at: np.ndarray, n: np.ndarray, ranks: list[np.ndarray], length: int) -> tuple[np.ndarray, ...]:
+    """As Order.pieces, where rows lie at `at` in their sources and sources share queues."""
+    parts = []
+    for q, group in groups.items():
+        mine = np.flatnonzero(queue == q)
+        row, *rest = group.spread(at[mine], n[mine], *(x[mine] for x in ranks))
+        parts.append((mine[row], *rest, np.full(len(row), q)))
+    row, start, size, place, own = (np.concatenate(x) for x in zip(*parts, strict=True))
+    part, inner, size, position = order.pieces(own, place, size, length)
+    return joined(row[part], start[part] + inner, size, position, length)
 
 
 def pack(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", path: str | None = None, length: int = LENGTH, quantum: int = QUANTUM, end_id: int = END_ID) -> DataFrame:
@@ -120,12 +199,16 @@ def pack(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "
     total = runs.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     lanes = max(1, -(-total // (LANE_BLOCKS * quantum // 2)))
     runs = runs.withColumns({"lane": F.pmod("run", F.lit(lanes)).cast("int"), "queue": queue.cast("int")})
-    before = Window.partitionBy("lane", "queue").orderBy("run", "source").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = written(runs.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))), "offsets")
+    before = Window.partitionBy("lane", "queue", "source").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    shared = len(sources) > MOST_QUEUES
+    offsets = written(_ranked(runs, quantum) if shared else runs, "offsets")
     totals = [[0] * MOST_QUEUES for _ in range(lanes)]
     for r in offsets.groupBy("lane", "queue").agg(F.sum("n").alias("n")).collect():  # lanes * MOST_QUEUES rows at most
         totals[r["lane"]][r["queue"]] = r["n"]
     orders = [Order(t, quantum) for t in totals]
+    groups = _groups(offsets, quantum) if shared else {}
+    ranks = ["whole", "tail", "whole_rank", "tail_rank"] if shared else []
     counts = [-(-o.tokens // length) for o in orders]
     firsts = [sum(counts[:i]) for i in range(lanes)]
 
@@ -135,7 +218,11 @@ def pack(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "
             lane, queue, at, n = (column(batch, c).to_numpy() for c in ("lane", "queue", "place", "n"))
             for one in np.unique(lane):
                 mine = np.flatnonzero(lane == one)
-                row, start, size, position = orders[one].pieces(queue[mine], at[mine], n[mine], length)
+                if shared:
+                    more = [column(batch, c).to_numpy()[mine] for c in ranks]
+                    row, start, size, position = _mixed(orders[one], {q: groups[one, q] for q in np.unique(queue[mine]).tolist()}, queue[mine], at[mine], n[mine], more, length)
+                else:
+                    row, start, size, position = orders[one].pieces(queue[mine], at[mine], n[mine], length)
                 for lo in range(0, len(row), 20_000):
                     r, s, m, p = (x[lo : lo + 20_000] for x in (mine[row], start, size, position))
                     out, last, raw = [], -1, b""
@@ -145,9 +232,9 @@ def pack(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "
                         out.append(raw[a:b])
                     yield pa.record_batch([docs.take(pa.array(r)), pa.array(s), pa.array(m), pa.array(out, pa.binary()), pa.array(n[r]), pa.array(p // length + firsts[one]), pa.array(p % length)], [x.split()[0] for x in PIECES.split(", ")])
 
-    small = offsets.select("run", "source", "lane", "queue", "before")
+    small = offsets.select("run", "source", "lane", "queue", "before", *ranks)
     small = F.broadcast(small) if offsets.count() <= MOST_OFFSETS else small
-    return tokens.join(small, ["run", "source"]).select("doc_id", "lane", "queue", (F.col("before") + F.col("at")).alias("place"), "n", "ids").mapInArrow(cut, PIECES)
+    return tokens.join(small, ["run", "source"]).select("doc_id", "lane", "queue", (F.col("before") + F.col("at")).alias("place"), "n", "ids", *ranks).mapInArrow(cut, PIECES)
 
 
 def digests(pieces: DataFrame) -> DataFrame:

@@ -91,6 +91,51 @@ def test_packing_many_sources_and_none(spark, empty, monkeypatch):
     assert packing.pack(empty).count() == 0
 
 
+def test_shares_of_sources_that_share_queues(spark, monkeypatch):
+    """With more sources than queues each window still has each source's share, hot sources and small ones alike."""
+    monkeypatch.setattr(packing, "MOST_QUEUES", 4)
+    hot = [(i, "some words here " * 20, f"hot{i % 3}") for i in range(240)]
+    small = [(1000 + i, "some words", f"small{i % 60}") for i in range(600)]
+    df = spark.createDataFrame(hot + small, "doc_id long, text string, source string").repartition(5)
+    out = packing.pack(df, length=512, quantum=8).collect()
+    home, total, windows, fill = {r[0]: r[2] for r in hot + small}, {}, {}, {}
+    for r in out:
+        s = home[r.doc_id]
+        total[s] = total.get(s, 0) + r.length
+        windows.setdefault(r.sequence_id, {}).setdefault(s, []).append(r.length)
+        fill.setdefault(r.sequence_id, []).extend(range(r.offset, r.offset + r.length))
+    tokens = sum(total.values())
+    assert tokens == sum(r.doc_tokens for r in {r.doc_id: r for r in out}.values()) and len(total) == 63
+    assert all(sorted(v) == list(range(len(v))) for v in fill.values())
+    assert len(windows) > 20
+    for w in sorted(windows)[:-1]:
+        for s, t in total.items():
+            assert abs(sum(windows[w].get(s, [])) - 512 * t / tokens) <= 6 * 8, (w, s)
+    # Small sources reach over the whole order too, rather than one end of it.
+    for s in ("hot0", "hot1", "hot2"):
+        assert all(s in windows[w] for w in sorted(windows)[:-1])
+    assert all(any(s.startswith("small") for s in windows[w]) for w in sorted(windows)[:-1])
+
+
+def test_shared_queue_is_a_plain_round_robin():
+    g = 8
+    totals = [8 * 5, 8 * 5 + 3, 3, 3, 8 * 2 + 7, 0, 8 * 40, 1]
+    count = lambda xs: [(x, xs.count(x)) for x in set(xs)]
+    whole, tail = [t // g for t in totals], [t % g for t in totals]
+    shared = packing.Shared(count(whole), count(tail), g)
+    rank = lambda xs: np.array([xs[:i].count(x) for i, x in enumerate(xs)])
+    row, start, size, place = shared.spread(np.zeros(len(totals), np.int64), np.array(totals), np.array(whole), np.array(tail), rank(whole), rank(tail))
+    taken = sorted(p for a, n in zip(place.tolist(), size.tolist(), strict=True) for p in range(a, a + n))
+    assert taken == list(range(sum(totals)))
+    for i, t in enumerate(totals):
+        assert size[row == i].sum() == t
+    # At any place each source with blocks has had its share to within two blocks.
+    for at in range(0, sum(totals), g):
+        for i, t in enumerate(totals):
+            had = np.clip(at - place[row == i], 0, size[row == i]).sum()
+            assert abs(had - at * t / sum(totals)) <= 2 * g
+
+
 def test_lanes(spark, monkeypatch):
     monkeypatch.setattr(packing, "LANE_BLOCKS", 8)
     df = spark.createDataFrame([(i, "some words here " * 9, f"s{i % 3}") for i in range(40)], "doc_id long, text string, source string").repartition(6)
