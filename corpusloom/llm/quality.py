@@ -1,12 +1,16 @@
 """Quality rules with risk-controlled cutoffs, with DataFrame operations only.
 
-Every rule is a number per document and a cutoff above which the document goes. Cutoffs come from a fixed grid. On
-the labelled documents of a stratum (all of them; nothing is fitted to them but the choice from the grid), a cutoff
-is certified if the exact binomial (Clopper-Pearson) upper bound of its false-rejection rate is at most
-`risk / rules`, at confidence `1 - delta / (strata * rules * cutoffs)`: by the union bounds over tests and over rules,
-all certified cutoffs together reject at most a share `risk` of good documents, with probability 1 - delta. Of the
-certified cutoffs of a rule, the one that rejects most bad documents is taken, each good one among them counting
-against it `good_weight` times; if none gains, the rule rejects nothing in that stratum.
+Every rule is a number per document and a cutoff above which the document goes. Cutoffs come from a fixed grid, and
+the labelled documents of a stratum, all of them, decide. Its bad ones say where risk is spent: each rule may reject a
+share of good documents in proportion to the labelled bad ones that its strictest cutoff rejects, so a rule that rejects
+none gets none, and the shares add up to `risk`. Its good ones, drawn independently of the bad ones, are the test: from
+the most lenient cutoff to the strictest, one is certified while the exact binomial (Clopper-Pearson) upper bound of its
+false-rejection rate, at confidence `1 - delta / tests`, is within the share of its rule. The first that is not ends the
+walk, and as what cutoffs reject is nested, none of the walk's steps costs confidence; `tests` are the pairs of stratum
+and rule with a share. By the union bounds over them and over rules, all certified cutoffs together reject at most a
+share `risk` of the good documents of each stratum, with probability 1 - delta. Of the certified cutoffs of a rule, the
+one that rejects most bad documents is taken, each good one among them counting against it `good_weight` times; if none
+gains, the rule rejects nothing in that stratum. Strata are not pooled.
 """
 
 from __future__ import annotations
@@ -98,6 +102,28 @@ def upper_bound(k: int, n: int, delta: float) -> float:
     return high
 
 
+def certified(counts: dict[tuple[str, str], list[list[int]]], risk: float, delta: float, good_weight: float) -> dict[tuple[str, str], int]:
+    """(stratum, rule) -> cutoff, from the numbers of bad and of good documents in each bin of the grid."""
+    hits = {k: sum(bad[1:]) for k, (bad, _) in counts.items()}
+    of_stratum: dict[str, int] = {}
+    for (s, _), n in hits.items():
+        of_stratum[s] = of_stratum.get(s, 0) + n
+    tests, out = sum(n > 0 for n in hits.values()), {}
+    for (s, rule), (bad, good) in counts.items():
+        n, best = sum(good), 0.0
+        if not n or not hits[s, rule]:
+            continue
+        share = risk * hits[s, rule] / of_stratum[s]
+        for i, cutoff in reversed(list(enumerate(CUTOFFS[rule]))):
+            k = sum(good[i + 1 :])
+            if upper_bound(k, n, delta / tests) > share:
+                break
+            gain = sum(bad[i + 1 :]) - good_weight * k
+            if gain > 0 and gain >= best:
+                best, out[s, rule] = gain, cutoff
+    return out
+
+
 def fit_cutoffs(features: DataFrame, labels: DataFrame, key: str = "doc_id", stratum: str = "lang", quality: str = "quality", risk: float = 0.05, delta: float = 0.05, good_weight: float = 20.0) -> dict[tuple[str, str], int]:
     """(stratum, rule) -> cutoff, from counts of all labelled documents; nothing for what can't be certified.
 
@@ -112,16 +138,7 @@ def fit_cutoffs(features: DataFrame, labels: DataFrame, key: str = "doc_id", str
     counts: dict[tuple[str, str], list[list[int]]] = {}
     for r in long.groupBy("stratum", "x.rule", "x.bin", "good").count().collect():
         counts.setdefault((r["stratum"], r["rule"]), [[0] * (len(CUTOFFS[r["rule"]]) + 1) for _ in range(2)])[r["good"]][r["bin"]] += r["count"]
-    tests = max(1, len(counts)) * max(map(len, CUTOFFS.values()))
-    out = {}
-    for (s, rule), (bad, good) in counts.items():
-        n, best = sum(good), 0.0
-        for i, cutoff in enumerate(CUTOFFS[rule]):
-            k, hit = sum(good[i + 1 :]), sum(bad[i + 1 :])
-            gain = hit - good_weight * k
-            if n and gain > best and upper_bound(k, n, delta / tests) <= risk / len(RULES):
-                best, out[s, rule] = gain, cutoff
-    return out
+    return certified(counts, risk, delta, good_weight)
 
 
 def verdict(cutoffs: dict[tuple[str, str], int], stratum: str = "lang") -> Column:

@@ -53,3 +53,46 @@ def test_risk_holds_out_of_sample(spark):
     assert gone[1] <= 0.05 and gone[0] > 0.95
     few = quality.fit_cutoffs(features, labels.limit(40))
     assert few == {}  # too few labels certify nothing
+
+
+def test_small_strata_are_certified(spark):
+    """312 good labelled documents do for a rule that rejects none of them, beside other strata and a second rule."""
+    r = random.Random(2)
+
+    def text(bad):
+        return " ".join(f"w{r.randint(0, 99)}" + ("$$$" if bad and r.random() < 0.9 else "") for _ in range(40))
+
+    rows = [(1000 * j + i, text(i < 33), lang, int(i >= 33)) for j, lang in enumerate(["de", "en", "es", "fr"]) for i in range(345)]
+    rows += [(9000 + i, " ".join("lengthyword%05d" % r.randint(0, 99999) for _ in range(40)), "es", 0) for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, good int")
+    features = quality.with_features(df)
+    cutoffs = quality.fit_cutoffs(features, df.select("doc_id", F.col("good").alias("quality")))
+    assert set(cutoffs) == {(s, "symbols") for s in ("de", "en", "es", "fr")} | {("es", "long_words")}
+    gone = features.where(~quality.verdict(cutoffs)).groupBy("row.lang", "row.good").count().collect()
+    assert {(r.lang, r.good, r["count"]) for r in gone} == {("de", 0, 33), ("en", 0, 33), ("es", 0, 53), ("fr", 0, 33)}
+
+
+def test_risk_in_all_strata_at_once():
+    """Rates of false rejection that grow with strictness and pass the risk at once or later: seldom is any too large."""
+    r, wrong, rounds, some = random.Random(3), 0, 100, 0
+    for _ in range(rounds):
+        counts, rates = {}, {}
+        for s in ("a", "b"):
+            for rule, hits in (("symbols", 60), ("long_words", 30), ("capitals", 0)):
+                # Per bin from strict to lenient: good documents are drawn, the rate of a cutoff is what lies above it.
+                p = [r.choice([0.0, 0.002, 0.011]) for _ in range(10)]
+                good = [0] * 11
+                for _ in range(400):
+                    u, at = r.random(), 0
+                    for i in range(10):
+                        u -= p[i]
+                        if u < 0:
+                            at = i + 1
+                            break
+                    good[at] += 1
+                counts[s, rule], rates[s, rule] = ([10] + [0] * 9 + [hits], good), p
+        found = quality.certified(counts, 0.05, 0.05, 0.0)
+        assert not any(rule == "capitals" for _, rule in found)
+        some += bool(found)
+        wrong += any(sum(sum(rates[k][quality.CUTOFFS[k[1]].index(c) :]) for k, c in found.items() if k[0] == s) > 0.05 for s in ("a", "b"))
+    assert some > rounds / 2 and wrong <= 0.05 * rounds
