@@ -29,6 +29,19 @@ NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 _A, _B = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25)
 
 
+def shape(width: int) -> tuple[int, int]:
+    """(rounds, words to either side of a border that its anchor names) for windows of `width` words.
+
+    A border of r rounds depends on r words to either side (on one word, without rounds), and a symbol has up to 2^r
+    words. So a window needs 2^r gaps in a row with as many words of its own to either side as are named.
+    """
+    if width < 2:
+        raise ValueError("width is less than 2")
+    if width >= 2 * AROUND + (1 << ROUNDS) - 1:
+        return ROUNDS, AROUND
+    return (1, min(AROUND, (width - 1) // 2)) if width > 2 else (0, 1)
+
+
 def borders(names: np.ndarray, first: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
     """Word numbers at which symbols of the last round begin; `first` are the words at which texts begin."""
     start = np.arange(len(names))
@@ -49,17 +62,18 @@ def borders(names: np.ndarray, first: np.ndarray, rounds: int = ROUNDS) -> np.nd
 
 def anchors(hashes: np.ndarray, first: np.ndarray, width: int = WIDTH) -> np.ndarray:
     """For every word the anchor of the window that begins there; NONE where no window of the same text begins."""
-    n, gaps = len(hashes), width - 2 * AROUND + 1
+    rounds, around = shape(width)
+    n, gaps = len(hashes), width - 2 * around + 1
     out = np.full(n, NONE, np.uint64)
     if n < width:
         return out
-    at = borders(hashes, first)
-    at = at[(at >= AROUND) & (at <= n - AROUND)]
+    at = borders(hashes, first, rounds)
+    at = at[(at >= around) & (at <= n - around)]
     value = np.full(n, NONE, np.uint64)
-    value[at] = np.minimum(windows(hashes, 2 * AROUND, 7)[at - AROUND], NONE - np.uint64(1))
-    least = value[AROUND : n - width + AROUND + 1].copy()
+    value[at] = np.minimum(windows(hashes, 2 * around, 7)[at - around], NONE - np.uint64(1))
+    least = value[around : n - width + around + 1].copy()
     for k in range(1, gaps):
-        np.minimum(least, value[AROUND + k : n - width + AROUND + 1 + k], out=least)
+        np.minimum(least, value[around + k : n - width + around + 1 + k], out=least)
     out[: len(least)] = least
     # Windows that reach into the next text.
     ends = np.append(first[1:], n)
@@ -241,6 +255,7 @@ def changed_texts(rows: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
     Rows with equal k and text are one document to this; with a null k a row is later than none and earlier than none.
     """
     spark = rows.sparkSession
+    shape(width)  # raises for a width without anchors
     table = written(rows.mapInArrow(lambda batches: _anchored(batches, width), SLICES), "anchors")
     keys = table.agg(F.coalesce(F.sum(F.octet_length("keys")), F.lit(0))).first()[0] // 8
     found = _repeated(table, buckets_for(keys, parts_for(spark)))

@@ -49,3 +49,29 @@ def test_texts_do_not_mix():
     out = recompress.anchors(names, np.array([0, 12, 12, 25]))
     none = out == recompress.NONE
     assert none[:12].all() and not none[12] and none[13:25].all() and not none[25:28].any() and none[28:].all()
+
+
+@pytest.mark.parametrize("width", range(2, 15))
+def test_equal_windows_have_equal_anchors_at_any_width(width):
+    r = random.Random(width)
+    for alphabet in (2, 50, 10_000):
+        for _ in range(40):
+            window = [r.randrange(alphabet) for _ in range(width)]
+            seen = set()
+            for _ in range(6):
+                left, right = ([r.randrange(alphabet) for _ in range(r.randint(0, 20))] for _ in range(2))
+                names = mix(np.array(left + window + right, np.uint64))
+                seen.add(int(recompress.anchors(names, np.array([0]), width)[len(left)]))
+            assert len(seen) == 1 and int(recompress.NONE) not in seen
+
+
+@pytest.mark.parametrize("width", [4, 9])
+def test_report_at_other_widths(docs, rows, width):
+    want = {d: len(w) - len(kept) for d, (w, kept) in brute.without_repeats([(r[0], r[1]) for r in rows], width).items()}
+    assert {r.doc_id: r.n_removed for r in recompress.removal_report(docs, width=width).collect()} == want
+
+
+def test_width_without_anchors(docs):
+    for width in (0, 1):
+        with pytest.raises(ValueError):
+            recompress.removal_report(docs, width=width)
