@@ -368,6 +368,13 @@ def stream_job_fold(spark, d):
     return stream_jobs.run_available(counts, f"{base}/streams/{uuid.uuid4().hex}")
 
 
+@query(SQL["job_list"])
+def stream_job_list(spark, d):
+    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="corpusloom-")
+    rows = stream_jobs.run_available(stream_jobs.fold_all(job_log(stream_jobs.event_stream(spark, d, "events"))), f"{base}/streams/{uuid.uuid4().hex}")
+    return rows.select("job_id", "status", *(F.col(c).cast("timestamp_ntz").alias(c) for c in ("created_at", "started_at", "completed_at")))
+
+
 #: Good and bad requests: seed, depth, mode, format.
 _REQUESTS = [
     (None, 1, "CRAWL_ONLY", "JSON"), ("", 1, "CRAWL_ONLY", "JSON"), ("http://a.example.com/", 1, "CRAWL_ONLY", None), ("https://a.example.com/x?y=1", -3, "SCRAPE_ONLY", "HTML"), ("ftp://a.example.com/", 1, "CRAWL_ONLY", "JSON"),

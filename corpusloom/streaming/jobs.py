@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from corpusloom.constants import TTL_MS
@@ -36,6 +37,21 @@ def run_available(stream: DataFrame, target: str, mode: str = "complete") -> Dat
     return spark.read.schema(stream.schema).parquet(f"{target}/rows").select(*stream.columns)
 
 
+def fold_all(events: DataFrame) -> DataFrame:
+    """Status and times of each job by one aggregate over all its events, so any batches and any order give the rows of
+    jobs.fold: the first terminal event is final, and what comes after it is passed over."""
+    order, value = F.struct("ts", "seq"), F.col("value")
+    status = F.col("kind") == "status"
+    out = events.groupBy("job_id").agg(
+        F.min(F.when(status & value.isin(*TERMINAL), F.struct("ts", "seq", "value"))).alias("end"),
+        F.max_by(F.when(status, value), F.when(status, order)).alias("last"),
+        F.min("ts").alias("created_at"),
+        F.min(F.when(status & (value == "RUNNING"), order)).alias("run"),
+    )
+    ran = F.col("end").isNull() | (F.col("run") <= F.struct("end.ts", "end.seq"))
+    return out.select("job_id", F.coalesce("end.value", "last", F.lit("QUEUED")).alias("status"), "created_at", F.when(ran, F.col("run.ts")).alias("started_at"), F.col("end.ts").alias("completed_at"))
+
+
 STATE = "status string, created timestamp, started timestamp, ended timestamp"
 OUTPUT = "job_id string, status string, created_at timestamp, started_at timestamp, completed_at timestamp"
 

@@ -56,3 +56,15 @@ def test_state_fold(spark, tmp_path):
     stream = stream_jobs.event_stream(spark, str(tmp_path), "events").withWatermark("ts", "1 minute")
     out = stream_jobs.run_available(stream_jobs.fold_with_state(stream), f"file://{tmp_path}/out", "update")
     assert {r.job_id: r.status for r in out.collect()} == {"a": "RUNNING", "b": "FAILED"}
+
+
+def test_streamed_fold_is_the_batch_fold(spark, tmp_path):
+    """Events over two files, a start and a second end after the end, and equal times."""
+    a = log(spark, ("a", 0, "status", "QUEUED", None, None), ("a", 2, "status", "FAILED", None, None), ("b", 1, "crawl", None, 1, 2), ("c", 1, "status", "RUNNING", None, None), ("c", 1, "status", "COMPLETED", None, None))
+    b = log(spark, ("a", 3, "status", "RUNNING", None, None), ("a", 4, "status", "COMPLETED", None, None), ("d", 0, "status", "RUNNING", None, None)).withColumn("seq", F.col("seq") + 10)
+    a.write.parquet(f"{tmp_path}/events.parquet")
+    b.write.mode("append").parquet(f"{tmp_path}/events.parquet")
+    got = stream_jobs.run_available(stream_jobs.fold_all(stream_jobs.event_stream(spark, str(tmp_path), "events")), f"file://{tmp_path}/out")
+    want = jobs.fold(a.union(b)).select(*got.columns)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+    assert {r.job_id: r.status for r in got.collect()} == {"a": "FAILED", "b": "QUEUED", "c": "COMPLETED", "d": "RUNNING"}
