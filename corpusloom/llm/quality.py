@@ -20,7 +20,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import forget, parquet, written
+from corpusloom.llm.common import parquet, written
 
 #: Rules: value in thousandths, from the feature columns.
 RULES = {
@@ -62,12 +62,16 @@ def with_features(df: DataFrame, text: str = "text", width: int = 5) -> DataFram
         _without("t", "[A-Z]+").alias("n_capitals"),
         F.when(F.size("w") >= width, hashes).alias("h"),
     )
+    # No lambda names an array from outside it: inlined by the optimizer, that array would be built for each element.
     again = F.size(F.array_distinct("h")) < F.size("h")
     step = step.withColumn("p", F.when(again, F.sort_array(F.transform("h", lambda x, i: F.struct(x.alias("h"), i.alias("i"))))))
-    same = lambda x, k: (F.get("p", k)["h"] == x["h"])
-    twice = F.filter("p", lambda x, k: F.coalesce(same(x, k - 1), F.lit(False)) | F.coalesce(same(x, k + 1), F.lit(False)))
-    step = step.withColumn("s", F.sort_array(F.transform(twice, lambda x: x["i"])))
-    covered = F.transform("s", lambda x, k: F.least(F.lit(width), F.coalesce(F.get("s", k + 1), x + width) - x))
+    rest = lambda a: F.greatest(F.size(a) - 1, F.lit(0))
+    own, none = F.transform("p", lambda x: x["h"]), F.array(F.lit(None).cast("long"))
+    step = step.withColumn("o", own).withColumn("z", F.arrays_zip("p", F.concat(none, F.slice("o", 1, rest("o"))).alias("x"), F.concat(F.slice("o", 2, rest("o")), none).alias("y")))
+    step = step.withColumn("z", F.transform("z", lambda z: F.struct(z["p"]["h"].alias("h"), z["p"]["i"].alias("i"), z["x"].alias("x"), z["y"].alias("y"))))
+    twice = F.filter("z", lambda z: F.coalesce(z["h"] == z["x"], F.lit(False)) | F.coalesce(z["h"] == z["y"], F.lit(False)))
+    step = step.withColumn("s", F.sort_array(F.transform(twice, lambda z: z["i"])))
+    covered = F.zip_with("s", F.slice("s", 2, rest("s")), lambda x, y: F.least(F.lit(width), F.coalesce(y, x + width) - x))
     step = step.withColumn("n_repeat_words", F.coalesce(F.aggregate(covered, F.lit(0), lambda a, b: a + b), F.lit(0)).cast("long"))
     return step.select("row", F.struct(*FEATURES).alias("features"))
 
@@ -86,22 +90,33 @@ def upper_bound(k: int, n: int, delta: float) -> float:
     """Clopper-Pearson: the largest rate p at which k or fewer of n has a probability of delta at least."""
     if k >= n:
         return 1.0
-
-    def tail(p: float) -> float:
-        lp, lq = math.log(p), math.log1p(-p)
-        at = math.lgamma(n + 1)
-        return math.fsum(math.exp(at - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * lp + (n - i) * lq) for i in range(k + 1))
-
     low, high = k / n, 1.0
     for _ in range(60):
         p = (low + high) / 2
-        if p <= 0 or (p < 1 and tail(p) > delta):
+        if _beta(n - k, k + 1, 1 - p) > delta:  # P(X <= k)
             low = p
         else:
             high = p
     return high
 
 
+def _beta(a: float, b: float, x: float) -> float:
+    """The regularized incomplete beta function, by its continued fraction; its length hardly grows with a and b."""
+    if x <= 0 or x >= 1:
+        return float(x >= 1)
+    if x > (a + 1) / (a + b + 2):
+        return 1 - _beta(b, a, 1 - x)
+    c, d = 1.0, 1 / (1 - (a + b) * x / (a + 1))
+    out = d
+    for m in range(1, 10_000):
+        for t in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d, c = 1 / (1 + t * d), 1 + t / c
+            out *= c * d
+        if abs(c * d - 1) < 1e-14:
+            break
+    return out * math.exp(a * math.log(x) + b * math.log1p(-x) + math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b)) / a
+
+
 def certified(counts: dict[tuple[str, str], list[list[int]]], risk: float, delta: float, good_weight: float) -> dict[tuple[str, str], int]:
     """(stratum, rule) -> cutoff, from the numbers of bad and of good documents in each bin of the grid."""
     hits = {k: sum(bad[1:]) for k, (bad, _) in counts.items()}
@@ -163,12 +178,16 @@ def rate(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that no rule rejects, with their columns as they were. Features are computed again for the
-    verdict, rather than kept in a table with all texts."""
-    features = _kept_features(docs)
-    cutoffs = fit_cutoffs(features, labels)
-    forget(features)
-    return with_features(docs).where(verdict(cutoffs)).select("row.*")
+    """The rows of docs that no rule rejects, with their columns as they were.
+
+    Features are computed once; the verdict comes back to the rows by key, stratum and a hash of the text, on which
+    repeated rows agree. An empty table gives no rows; without usable labels only the base rules reject.
+    """
+    own = docs.select("doc_id", "lang", "text", F.xxhash64("text").alias("of"))
+    features = written(with_features(own).select(F.struct("row.doc_id", "row.lang", "row.of").alias("row"), "features"), "features")
+    stay = features.where(verdict(fit_cutoffs(features, labels))).select(*(F.col(f"row.{c}").alias(f"_loom_{c}") for c in ("doc_id", "lang", "of")))
+    same = F.col("doc_id").eqNullSafe(F.col("_loom_doc_id")) & F.col("lang").eqNullSafe(F.col("_loom_lang")) & (F.xxhash64("text") == F.col("_loom_of"))
+    return docs.join(stay, same, "left_semi")
 
 
 def op6_quality_rules(spark, sf_dir):
