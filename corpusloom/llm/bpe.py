@@ -122,25 +122,17 @@ class _Words(dict):
 
 
 class WordBpe:
-    def __init__(self, path: str):
+    def __init__(self, path: str, own: bool = True):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
-        self.suffix = model["end_of_word_suffix"]
         vocab: dict[str, int] = model["vocab"]
-        self.merges = Merges(vocab, [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]])
         self.text_of = {i: t for t, i in vocab.items()} | {x["id"]: x["content"] for x in spec["added_tokens"]}
         self.added = {x["content"]: x["id"] for x in spec["added_tokens"]}
         if max(self.text_of) >= 1 << 16:
             raise ValueError("ids over 16 bits")
-        self.length: dict[int, int] = {}
-        self.tokens = ahocorasick.Automaton()
-        for text, token in vocab.items():
-            own = text[: -len(self.suffix)] + _END if text.endswith(self.suffix) else text
-            if token in self.merges.sound:
-                self.length[token] = len(own)
-                self.tokens.add_word(own, (token, len(own)))
-        self.tokens.make_automaton()
+        if own:
+            self._build(vocab, model)
         self.characters = byte_characters()
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.pieces = regex.compile(pattern).findall
@@ -149,10 +141,24 @@ class WordBpe:
         self.words = _Words(self._word)
         self.known: dict[str, bytes] = _Words(self._piece)
 
+    def _build(self, vocab: dict[str, int], model: dict) -> None:
+        suffix = model["end_of_word_suffix"]
+        self.merges = Merges(vocab, [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]])
+        self.length: dict[int, int] = {}
+        self.tokens = ahocorasick.Automaton()
+        for text, token in vocab.items():
+            own = text[: -len(suffix)] + _END if text.endswith(suffix) else text
+            if token in self.merges.sound:
+                self.length[token] = len(own)
+                self.tokens.add_word(own, (token, len(own)))
+        self.tokens.make_automaton()
+
+    def mapped(self, piece: str) -> str:
+        return piece if piece.isascii() and piece.isprintable() else "".join([self.characters[b] for b in piece.encode()])
+
     def ids_of(self, piece: str) -> list[int]:
         """The ids of one piece of the splitting pattern."""
-        text = piece if piece.isascii() and piece.isprintable() else "".join([self.characters[b] for b in piece.encode()])
-        return self._ids(text)
+        return self._ids(self.mapped(piece))
 
     def _ids(self, text: str) -> list[int]:
         text += _END
@@ -222,6 +228,22 @@ def tokenizer(path: str) -> WordBpe:
     return WordBpe(path)
 
 
+class LibraryIds(WordBpe):
+    """The same ids where only ids count: each distinct piece goes through the library's own model."""
+
+    def ids_of(self, piece: str) -> list[int]:
+        return [t.id for t in self.library.model.tokenize(self.mapped(piece))]
+
+    def _ids(self, text: str) -> list[int]:
+        return [t.id for t in self.library.model.tokenize(text)]
+
+
+@functools.cache
+def id_maker(path: str) -> WordBpe:
+    """One per worker process."""
+    return LibraryIds(path, own=False)
+
+
 SCHEMA = "doc_id long, ids binary, decoded string"
 
 

@@ -1,240 +1,204 @@
 """Mixture-controlled packing by deficit round-robin.
 
-Every source is a queue of tokens, in blocks of `quantum`. A queue with B blocks gets its j-th turn at the time
-(2j + 1) / 2B; turns are served by time, equal times by queue. At any moment each queue has had its share of the
-tokens so far to within one block, and what it is short of is carried on, over windows and over partitions. The place
-of a block in that order is the number of blocks with earlier times, a sum of quotients over the queues, so each
-partition finds the places of its own blocks from the totals alone; tokens are not shuffled. What is left of the
-queues after whole blocks follows at the end. Windows are cut from the order without gaps, so only the last sequence
-of a lane is padded.
-
-Beyond `MOST_QUEUES` sources several share a queue, and inside it the same closed form is applied again, over groups of
-its sources: those with equally many blocks take turns as one group, and so do tails of equal length. So each source is
-spread over its queue by its own total, and the driver sees groups, not sources.
+Every source is a queue of tokens, in turns of `quantum`. A queue with N turns takes its j-th at the time
+(j + phase) / N of its span, with a phase in (0, 1) from a hash of the source, so the many sources with few turns do not
+meet at one time. The span of a source with a target share is its total over that share; all others have one span
+together, the total of them over the share that is left. So at any moment each queue has had its share of the tokens so
+far to within one turn, and what it is short of is carried on, over windows and partitions. A queue that is empty drops
+out and the others go on in their proportions. Without targets all spans are the total of all tokens: shares are those of
+the corpus.
+
+The order of all parts of documents by time, source and place is total, so a token's position is a running sum of
+lengths. Time maps to the expected position, and the parts of some million positions are one cell; cells are sorted
+alone, and the sums of cells before are added. Neither the number of sources nor that of a source's tokens matters to any
+task. Windows are cut from the order without gaps, so only the last sequence is padded.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corpusloom.llm.bpe import default_path, tokenizer
-from corpusloom.llm.common import column, parquet, slices, written
+from corpusloom.llm.bpe import default_path, id_maker
+from corpusloom.llm.common import column, offsets_of, parquet, slices, written
 
 LENGTH, QUANTUM, END_ID = 2048, 128, 1
-#: Queues at most; of more sources, those with equal hash share a queue and are mixed inside it.
-MOST_QUEUES = 256
-#: Blocks of a lane at most, so that products of two counts stay within 64 bits.
-LANE_BLOCKS = 1 << 30
-#: Rows of the table of offsets up to which it is broadcast.
-MOST_OFFSETS = 500_000
+#: Tokens of a cell, and cells of which the driver sees the sum only.
+CELL, CELL_GROUP = 1 << 20, 1 << 13
 TOKENS = "doc_id long, source string, run int, at long, n long, ids binary"
+PARTS = "doc_id long, source string, total long, turn long, place long, start long, n long, doc_tokens long, ids binary"
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
+def _names(schema: str) -> list[str]:
+    return [x.split()[0] for x in schema.split(", ")]
+
+
+def _binary(buffer: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The byte ranges between successive ends as values, without a copy of each."""
+    return pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(buffer)]).cast(pa.binary())
+
+
+def _bytes(values: pa.Array) -> np.ndarray:
+    ends, data = offsets_of(values), values.buffers()[2]
+    return np.frombuffer(data, np.uint8)[ends[0] : ends[-1]] if data is not None else np.zeros(0, np.uint8)
+
+
 def tokenized(df: DataFrame, key: str, text: str, source: str, path: str, end_id: int) -> DataFrame:
     """Tokens of each row (16 bits each, with the end id), and how many of its source came before in its partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, seen, run_id = tokenizer(path), {}, TaskContext.get().partitionId()
+        encode, seen, run_id = id_maker(path).encode, {}, TaskContext.get().partitionId()
         end = np.uint16(end_id).tobytes()
         for batch in batches:
             keys, texts, sources = column(batch, "k"), column(batch, "t").fill_null(""), column(batch, "s").fill_null("")
             for lo, hi in slices(texts):
-                ids = [bpe.encode(x) + end for x in texts[lo:hi].to_pylist()]
+                ids = [encode(x) + end for x in texts[lo:hi].to_pylist()]
                 n, at, own = [len(x) // 2 for x in ids], [], sources[lo:hi]
                 for s, m in zip(own.to_pylist(), n, strict=True):
                     at.append(seen.get(s, 0))
                     seen[s] = at[-1] + m
-                yield pa.record_batch([keys[lo:hi], own, pa.array([run_id] * len(n), pa.int32()), pa.array(at, pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "source", "run", "at", "n", "ids"])
+                yield pa.record_batch([keys[lo:hi], own, pa.array([run_id] * len(n), pa.int32()), pa.array(at, pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.binary())], _names(TOKENS))
 
     return df.selectExpr(f"`{key}` AS k", f"`{text}` AS t", f"`{source}` AS s").mapInArrow(run, TOKENS)
 
 
-class Order:
-    """Positions of tokens in the order of one lane; `totals[q]` are the tokens of queue q."""
-
-    def __init__(self, totals: list[int], quantum: int):
-        self.quantum = quantum
-        self.blocks = np.array([t // quantum for t in totals], np.int64)
-        tails = np.array([t % quantum for t in totals], np.int64)
-        self.tail_at = int(self.blocks.sum()) * quantum + np.cumsum(tails) - tails
-        self.tokens = sum(totals)
-
-    def place(self, queue: int, block: np.ndarray) -> np.ndarray:
-        """Position of the first token of whole blocks of a queue."""
-        own, before = int(self.blocks[queue]), np.zeros(len(block), np.int64)
-        for other, n in enumerate(self.blocks.tolist()):
-            if n:
-                times = (2 * block + 1) * n - (other >= queue)
-                before += block if other == queue else (times // own + 1) // 2
-        return before * self.quantum
-
-    def pieces(self, queue: np.ndarray, at: np.ndarray, n: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-        """Row, start in the row, length and position of all pieces of rows that lie at `at` in their queues."""
-        g = self.quantum
-        first, last = at // g, (at + n - 1) // g
-        count = np.where(n > 0, last - first + 1, 0)
-        row = np.repeat(np.arange(len(at)), count)
-        block = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count) + first[row]
-        begin = np.maximum(block * g, at[row])
-        size = np.minimum((block + 1) * g, (at + n)[row]) - begin
-        position = np.empty(len(row), np.int64)
-        for q in np.unique(queue):
-            mine = np.flatnonzero(queue[row] == q)
-            whole = mine[block[mine] < self.blocks[q]]
-            rest = mine[block[mine] >= self.blocks[q]]
-            position[whole] = self.place(int(q), block[whole]) + begin[whole] - block[whole] * g
-            position[rest] = self.tail_at[q] + begin[rest] - self.blocks[q] * g
-        start = begin - at[row]
-        # Cut at the ends of windows.
-        room = length - position % length
-        over = np.flatnonzero(size > room)
-        row, start, position, size = (np.concatenate([x, y]) for x, y in ((row, row[over]), (start, start[over] + room[over]), (position, position[over] + room[over]), (np.minimum(size, room), size[over] - room[over])))
-        return joined(row, start, size, position, length)
-
-
-def joined(row: np.ndarray, start: np.ndarray, size: np.ndarray, position: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """Pieces by row and start, those joined that follow each other in the row and in the same window."""
-    by = np.lexsort((start, row))
-    row, start, position, size = row[by], start[by], position[by], size[by]
-    new = np.ones(len(row), bool)
-    new[1:] = (row[1:] != row[:-1]) | (position[1:] != position[:-1] + size[:-1]) | (position[1:] % length == 0)
-    head = np.flatnonzero(new)
-    return row[head], start[head], np.add.reduceat(size, head) if len(head) else size, position[head]
-
-
-class Shared:
-    """Positions of tokens in a queue that sources share; `blocks` and `tails` are (blocks or tokens, sources) pairs.
-
-    The k-th of N turns of a group is at the time (2k + 1) / 2N; equal times go by group. A source of rank i among c with
-    B blocks has the turns i, i + c, ... of its group. Tails have one turn each, so that small sources, which have nothing
-    else, do not pile up at one end of the queue.
-    """
+def turns_of(place: np.ndarray, n: np.ndarray, quantum: int) -> tuple[np.ndarray, ...]:
+    """Row, turn, start in the row and length of the parts of rows that lie at `place` in their queues."""
+    first = place // quantum
+    count = np.where(n > 0, (place + n - 1) // quantum - first + 1, 0)
+    row = np.repeat(np.arange(len(n)), count)
+    turn = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count) + first[row]
+    begin = np.maximum(turn * quantum, place[row])
+    return row, turn, begin - place[row], np.minimum((turn + 1) * quantum, (place + n)[row]) - begin
 
-    def __init__(self, blocks: list[tuple[int, int]], tails: list[tuple[int, int]], quantum: int):
-        self.quantum = quantum
-        blocks, tails = (np.array(sorted(x for x in g if x[0]), np.int64).reshape(-1, 2) for g in (blocks, tails))
-        self.whole, self.tail = blocks[:, 0], tails[:, 0]
-        self.members = np.concatenate([blocks[:, 1], tails[:, 1]])
-        self.turns = np.concatenate([blocks[:, 0] * blocks[:, 1], tails[:, 1]])
-        self.size = np.concatenate([np.full(len(blocks), quantum, np.int64), tails[:, 0]])
-
-    def place(self, group: np.ndarray, turn: np.ndarray) -> np.ndarray:
-        """Position in the queue of the first token of turns of groups."""
-        own, before = self.turns[group], np.zeros(len(turn), np.int64)
-        for other, (n, size) in enumerate(zip(self.turns.tolist(), self.size.tolist(), strict=True)):
-            times = (2 * turn + 1) * n - (other >= group)
-            before += (times // own + 1) // 2 * size
-        return before
-
-    def spread(self, at: np.ndarray, n: np.ndarray, whole: np.ndarray, tail: np.ndarray, whole_rank: np.ndarray, tail_rank: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Row, start in the row, size and position in the queue of the parts of rows that lie at `at` in their sources."""
-        g = self.quantum
-        first = at // g
-        count = np.where(n > 0, (at + n - 1) // g - first + 1, 0)
-        row = np.repeat(np.arange(len(at)), count)
-        block = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count) + first[row]
-        begin = np.maximum(block * g, at[row])
-        size = np.minimum((block + 1) * g, (at + n)[row]) - begin
-        full = block < whole[row]
-        group = np.where(full, np.searchsorted(self.whole, whole[row]), len(self.whole) + np.searchsorted(self.tail, tail[row]))
-        turn = np.where(full, block * self.members[group] + whole_rank[row], tail_rank[row])
-        return row, begin - at[row], size, self.place(group, turn) + begin - block * g
-
-
-def _ranked(runs: DataFrame, quantum: int) -> DataFrame:
-    """runs with the whole blocks and the tail of their source, and its ranks among the sources of its queue with as many."""
-    own = runs.groupBy("lane", "queue", "source").agg(F.sum("n").alias("total"))
-    own = own.withColumns({"whole": F.floor(F.col("total") / quantum).cast("long"), "tail": F.col("total") % quantum})
-    rank = lambda c: (F.row_number().over(Window.partitionBy("lane", "queue", c).orderBy("source")) - 1).cast("long")
-    own = own.withColumn("whole_rank", rank("whole")).withColumn("tail_rank", rank("tail"))
-    return runs.join(own.drop("total"), ["lane", "queue", "source"])
-
-
-def _groups(offsets: DataFrame, quantum: int) -> dict[tuple[int, int], Shared]:
-    """By lane and queue its groups. A queue of B blocks has at most sqrt(2B) groups of blocks, and quantum - 1 of tails."""
-    own = offsets.select("lane", "queue", "source", "whole", "tail").distinct()
-    long = own.select("lane", "queue", F.explode(F.array(*(F.struct(F.lit(i).alias("kind"), F.col(c).alias("of")) for i, c in enumerate(["whole", "tail"])))).alias("x"))
-    found: dict[tuple[int, int], tuple[list, list]] = {}
-    for r in long.groupBy("lane", "queue", "x.kind", "x.of").count().collect():
-        found.setdefault((r["lane"], r["queue"]), ([], []))[r["kind"]].append((r["of"], r["count"]))
-    return {k: Shared(*v, quantum) for k, v in found.items()}
-
-
-def _mixed(order: Order, groups: dict[int, Shared], queue: np.ndarray, at: np.ndarray, n: np.ndarray, ranks: list[np.ndarray], length: int) -> tuple[np.ndarray, ...]:
-    """As Order.pieces, where rows lie at `at` in their sources and sources share queues."""
-    parts = []
-    for q, group in groups.items():
-        mine = np.flatnonzero(queue == q)
-        row, *rest = group.spread(at[mine], n[mine], *(x[mine] for x in ranks))
-        parts.append((mine[row], *rest, np.full(len(row), q)))
-    row, start, size, place, own = (np.concatenate(x) for x in zip(*parts, strict=True))
-    part, inner, size, position = order.pieces(own, place, size, length)
-    return joined(row[part], start[part] + inner, size, position, length)
-
-
-def pack(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", path: str | None = None, length: int = LENGTH, quantum: int = QUANTUM, end_id: int = END_ID) -> DataFrame:
+
+def _parts(quantum: int, names: list[str]):
+    """The parts of rows by turn: the columns `names` of PARTS, with the ids only if they are among them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            place, n = column(batch, "place").to_numpy(), column(batch, "n").to_numpy()
+            row, turn, start, size = turns_of(place, n, quantum)
+            own = {"turn": turn, "place": place[row] + start, "start": start, "n": size, "doc_tokens": n[row]}
+            if "ids" in names:
+                own["ids"] = _binary(_bytes(column(batch, "ids")), np.concatenate([[0], np.cumsum(size) * 2]))
+            at = pa.array(row)
+            yield pa.record_batch([pa.array(own[c]) if c in own else column(batch, c).take(at) for c in names], names)
+
+    return run
+
+
+def pieces_of(position: np.ndarray, size: np.ndarray, follows: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, begin in the row and length of pieces: parts that follow on their predecessor join it, windows cut them."""
+    ends = np.cumsum(size)
+    begins = ends - size
+    # Where windows end inside parts; a part is no longer than a window.
+    room = length - position % length
+    over = room < size
+    cuts = np.sort(np.concatenate([begins[~follows | (position % length == 0)], (begins + room)[over]]))
+    row = np.searchsorted(begins, cuts, "right") - 1
+    return row, cuts - begins[row], np.diff(np.append(cuts, ends[-1] if len(ends) else 0))
+
+
+def _cut(length: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            docs = column(batch, "doc_id")
+            place, start, size, position, of = (column(batch, c).to_numpy() for c in ("place", "start", "n", "position", "of"))
+            follows = np.zeros(len(size), bool)
+            follows[1:] = (start[1:] > 0) & (of[1:] == of[:-1])
+            for x in (place, start, position):
+                follows[1:] &= x[1:] == x[:-1] + size[:-1]
+            row, inner, own = pieces_of(position, size, follows, length)
+            ids = _bytes(column(batch, "ids")).view(np.uint16).astype("<u4").view(np.uint8)
+            at = position[row] + inner
+            yield pa.record_batch([docs.take(pa.array(row)), pa.array(start[row] + inner), pa.array(own), _binary(ids, np.concatenate([[0], np.cumsum(own) * 4])), column(batch, "doc_tokens").take(pa.array(row)), pa.array(at // length), pa.array(at % length)], _names(PIECES))
+
+    return run
+
+
+def spans(targets: Mapping[str, float], totals: Mapping[str, int], tokens: int) -> tuple[dict[str, float], float, float]:
+    """(span of each source with a target, span of the others, where theirs begins)."""
+    if any(not x > 0 for x in targets.values()) or sum(targets.values()) > 1 + 1e-9:
+        raise ValueError("targets are not positive shares of one")
+    own = {s: totals.get(s, 0) / x for s, x in targets.items()}
+    left, rest = 1 - sum(targets.values()), tokens - sum(totals.get(s, 0) for s in targets)
+    if left > 1e-9:
+        return own, rest / left, 0.0
+    return own, float(rest), max(own.values(), default=0.0)  # no share is left for the others: they follow
+
+
+def pack(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", path: str | None = None, length: int = LENGTH, quantum: int = QUANTUM, end_id: int = END_ID, targets: Mapping[str, float] | None = None) -> DataFrame:
     """One row for each piece: (doc_id, start, length, ids, doc_tokens, sequence_id, offset).
 
-    A null or empty text has the end id only; a null source is the source ''. Repeated rows are packed each. An empty
-    table gives no rows. `length` has to be a multiple of `quantum`. The tokens are kept in one table of the shared
-    folder and read again when all totals are known.
+    `targets` are shares of the tokens of each window by source; sources without one share what is left in proportion to
+    their totals, or follow at the end if nothing is. Without targets all do. A null or empty text has the end id only; a
+    null source is the source ''. Repeated rows are packed each, null keys too. An empty table gives no rows. Other
+    columns of df are not looked at. `length` has to be a multiple of `quantum`. The tokens are kept in one table of the
+    shared folder and read again when all totals are known.
     """
     if length % quantum:
         raise ValueError("length is not a multiple of quantum")
+    targets = dict(targets or {})
     tokens = written(tokenized(df, key, text, source, path or default_path(), end_id), "tokens")
     runs = tokens.groupBy("run", "source").agg(F.sum("n").alias("n"))
-    sources = [r[0] for r in runs.select("source").distinct().limit(MOST_QUEUES + 1).collect()]
-    if len(sources) <= MOST_QUEUES:
-        queue = F.array_position(F.lit(sorted(sources)) if sources else F.array().cast("array<string>"), F.col("source")) - 1
-    else:
-        queue = F.pmod(F.xxhash64("source"), F.lit(MOST_QUEUES))
+    own = Window.partitionBy("source")
+    before = own.orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+    runs = written(runs.select("run", "source", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"), F.sum("n").over(own).alias("total"), "n"), "offsets")
     total = runs.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    lanes = max(1, -(-total // (LANE_BLOCKS * quantum // 2)))
-    runs = runs.withColumns({"lane": F.pmod("run", F.lit(lanes)).cast("int"), "queue": queue.cast("int")})
-    before = Window.partitionBy("lane", "queue", "source").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
-    runs = runs.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    shared = len(sources) > MOST_QUEUES
-    offsets = written(_ranked(runs, quantum) if shared else runs, "offsets")
-    totals = [[0] * MOST_QUEUES for _ in range(lanes)]
-    for r in offsets.groupBy("lane", "queue").agg(F.sum("n").alias("n")).collect():  # lanes * MOST_QUEUES rows at most
-        totals[r["lane"]][r["queue"]] = r["n"]
-    orders = [Order(t, quantum) for t in totals]
-    groups = _groups(offsets, quantum) if shared else {}
-    ranks = ["whole", "tail", "whole_rank", "tail_rank"] if shared else []
-    counts = [-(-o.tokens // length) for o in orders]
-    firsts = [sum(counts[:i]) for i in range(lanes)]
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            docs, ids = column(batch, "doc_id"), column(batch, "ids")
-            lane, queue, at, n = (column(batch, c).to_numpy() for c in ("lane", "queue", "place", "n"))
-            for one in np.unique(lane):
-                mine = np.flatnonzero(lane == one)
-                if shared:
-                    more = [column(batch, c).to_numpy()[mine] for c in ranks]
-                    row, start, size, position = _mixed(orders[one], {q: groups[one, q] for q in np.unique(queue[mine]).tolist()}, queue[mine], at[mine], n[mine], more, length)
-                else:
-                    row, start, size, position = orders[one].pieces(queue[mine], at[mine], n[mine], length)
-                for lo in range(0, len(row), 20_000):
-                    r, s, m, p = (x[lo : lo + 20_000] for x in (mine[row], start, size, position))
-                    out, last, raw = [], -1, b""
-                    for i, a, b in zip(r.tolist(), (s * 4).tolist(), ((s + m) * 4).tolist(), strict=True):
-                        if i != last:
-                            last, raw = i, np.frombuffer(ids[i].as_buffer(), np.uint16).astype("<u4").tobytes()
-                        out.append(raw[a:b])
-                    yield pa.record_batch([docs.take(pa.array(r)), pa.array(s), pa.array(m), pa.array(out, pa.binary()), pa.array(n[r]), pa.array(p // length + firsts[one]), pa.array(p % length)], [x.split()[0] for x in PIECES.split(", ")])
-
-    small = offsets.select("run", "source", "lane", "queue", "before", *ranks)
-    small = F.broadcast(small) if offsets.count() <= MOST_OFFSETS else small
-    return tokens.join(small, ["run", "source"]).select("doc_id", "lane", "queue", (F.col("before") + F.col("at")).alias("place"), "n", "ids", *ranks).mapInArrow(cut, PIECES)
+    totals = {r[0]: r[1] for r in runs.where(F.col("source").isin(list(targets))).groupBy("source").agg(F.first("total")).collect()} if targets else {}
+    span, rest, after = spans(targets, totals, total)
+
+    def when(values: Mapping[str, float], other: float) -> Column:
+        out = None
+        for s, x in values.items():
+            out = (F if out is None else out).when(F.col("source") == s, F.lit(x))
+        return F.lit(other) if out is None else out.otherwise(F.lit(other))
+
+    phase = (F.pmod(F.xxhash64("source"), F.lit(1 << 40)) + 0.5) / float(1 << 40)
+    at = (F.col("turn") + phase) / F.ceil(F.col("total") / quantum)
+    time = at * when(span, rest) + when(dict.fromkeys(span, 0.0), after)
+    # Tokens that are expected before a time.
+    rate = lambda n, s: F.lit(float(n)) * F.least(F.col("time") / s, F.lit(1.0))
+    left = total - sum(totals.values())
+    expected = sum((rate(totals.get(s, 0), x) for s, x in span.items() if x), F.lit(0.0))
+    if left:
+        expected = expected + F.lit(float(left)) * F.least(F.greatest(F.col("time") - after, F.lit(0.0)) / rest, F.lit(1.0))
+    joined = tokens.join(runs.drop("n"), ["run", "source"]).withColumn("place", F.col("before") + F.col("at"))
+
+    def parts_with(names: list[str]) -> DataFrame:
+        schema = ", ".join(x for x in PARTS.split(", ") if x.split()[0] in names)
+        own = joined.select(*(c for c in names if c in joined.columns)).mapInArrow(_parts(quantum, names), schema)
+        return own.withColumn("time", time).withColumn("cell", F.floor(expected / CELL).cast("long"))
+
+    cells = _before(parts_with(["source", "total", "turn", "place", "n"]))
+    parts = parts_with(_names(PARTS))
+    order = Window.partitionBy("cell").orderBy("time", "source", "place").rowsBetween(Window.unboundedPreceding, -1)
+    placed = parts.drop("total", "turn").withColumn("inner", F.coalesce(F.sum("n").over(order), F.lit(0)))
+    placed = placed.join(cells, "cell").select("doc_id", F.xxhash64("source").alias("of"), "place", "start", "n", "doc_tokens", "ids", (F.col("base") + F.col("inner")).alias("position"))
+    return placed.mapInArrow(_cut(length), PIECES)
+
+
+def _before(parts: DataFrame) -> DataFrame:
+    """(cell, base): the tokens in the cells before each."""
+    sums = written(parts.groupBy("cell").agg(F.sum("n").alias("n")).withColumn("group", F.floor(F.col("cell") / CELL_GROUP).cast("long")), "cells")
+    groups, base = sums.groupBy("group").agg(F.sum("n").alias("n")).orderBy("group").collect(), 0  # one row for CELL * CELL_GROUP tokens
+    first: dict[int, int] = {}
+    for r in groups:
+        first[r["group"]] = base
+        base += r["n"]
+    starts = parts.sparkSession.createDataFrame(list(first.items()), "`group` long, first long")
+    inside = Window.partitionBy("group").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    return sums.join(starts, "group").select("cell", (F.col("first") + F.coalesce(F.sum("n").over(inside), F.lit(0))).alias("base"))
 
 
 def digests(pieces: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ def library():
 
 
 def test_bpe_is_exact(library, rows):
-    own = bpe.tokenizer(bpe.default_path())
+    own, other = bpe.tokenizer(bpe.default_path()), bpe.id_maker(bpe.default_path())
     r = random.Random(2)
     alphabet = "aaabbbthe ing's't’Éß漢字́İΣςſ1²٣!?.-_\n\t\x1c\x85😀ǅŉ"
     texts = [t or "" for _, t, *_ in rows] + ["".join(r.choice(alphabet) for _ in range(r.randint(0, 30))) for _ in range(3000)]
@@ -24,7 +24,7 @@ def test_bpe_is_exact(library, rows):
     for t in texts:
         want = library.encode(t, add_special_tokens=False).ids
         got = array("H", own.encode(t))
-        assert list(got) == want
+        assert list(got) == want and other.encode(t) == got.tobytes()
         assert own.decode(got) == library.decode(want, skip_special_tokens=False)
 
 
@@ -69,82 +69,79 @@ def test_packing(request, library, frame):
         assert got == want
 
 
-def test_mixture_of_each_window():
-    """Each window has each queue's share to within two blocks; places are those of a plain round-robin by deficit."""
-    totals, g = [4096 * 3, 4096, 512 * 5, 1000], 32
-    order = packing.Order(totals, g)
-    places = sorted((int(p), q) for q, t in enumerate(totals) for p in order.place(q, np.arange(t // g)))
-    assert [p for p, _ in places] == list(range(0, len(places) * g, g))
-    times = sorted(((2 * j + 1) / (2 * (t // g)), q) for q, t in enumerate(totals) for j in range(t // g))
-    assert [q for _, q in places] == [q for _, q in times]
-    window, share = 16, [t // g / len(places) for t in totals]
-    for at in range(0, len(places) - window, window):
-        for q in range(4):
-            assert abs(sum(x == q for _, x in places[at : at + window]) - window * share[q]) <= 2
-
-
-def test_packing_many_sources_and_none(spark, empty, monkeypatch):
-    monkeypatch.setattr(packing, "MOST_QUEUES", 4)
-    df = spark.createDataFrame([(i, "some words here", f"s{i}") for i in range(40)], "doc_id long, text string, source string")
-    out = packing.pack(df, length=16, quantum=4).collect()
-    assert sum(r.length for r in out) == 40 * 4 and len({r.doc_id for r in out}) == 40
-    assert packing.pack(empty).count() == 0
+def shares(out, home, length):
+    """Tokens of each source in each window, after a test that windows are full and without gaps."""
+    windows, fill = {}, {}
+    for r in out:
+        own = windows.setdefault(r.sequence_id, {})
+        own[home[r.doc_id]] = own.get(home[r.doc_id], 0) + r.length
+        fill.setdefault(r.sequence_id, []).extend(range(r.offset, r.offset + r.length))
+    assert sorted(windows) == list(range(len(windows)))
+    for s, x in fill.items():
+        assert sorted(x) == list(range(len(x))) and (len(x) == length or s == max(fill))
+    return windows
 
 
-def test_shares_of_sources_that_share_queues(spark, monkeypatch):
-    """With more sources than queues each window still has each source's share, hot sources and small ones alike."""
-    monkeypatch.setattr(packing, "MOST_QUEUES", 4)
+def test_shares_of_the_corpus(spark, monkeypatch):
+    """Each window has each source's share, hot sources and many small ones alike, over cells and partitions."""
+    monkeypatch.setattr(packing, "CELL", 4096)
+    monkeypatch.setattr(packing, "CELL_GROUP", 2)
     hot = [(i, "some words here " * 20, f"hot{i % 3}") for i in range(240)]
-    small = [(1000 + i, "some words", f"small{i % 60}") for i in range(600)]
+    small = [(1000 + i, "some words", f"small{i % 600}") for i in range(600)]
     df = spark.createDataFrame(hot + small, "doc_id long, text string, source string").repartition(5)
     out = packing.pack(df, length=512, quantum=8).collect()
-    home, total, windows, fill = {r[0]: r[2] for r in hot + small}, {}, {}, {}
-    for r in out:
-        s = home[r.doc_id]
-        total[s] = total.get(s, 0) + r.length
-        windows.setdefault(r.sequence_id, {}).setdefault(s, []).append(r.length)
-        fill.setdefault(r.sequence_id, []).extend(range(r.offset, r.offset + r.length))
+    windows = shares(out, {r[0]: r[2] for r in hot + small}, 512)
+    total = {s: sum(w.get(s, 0) for w in windows.values()) for s in {r[2] for r in hot + small}}
     tokens = sum(total.values())
-    assert tokens == sum(r.doc_tokens for r in {r.doc_id: r for r in out}.values()) and len(total) == 63
-    assert all(sorted(v) == list(range(len(v))) for v in fill.values())
-    assert len(windows) > 20
+    assert len(windows) > 20 and len(total) == 603
+    assert tokens == sum(r.doc_tokens for r in {r.doc_id: r for r in out}.values())
     for w in sorted(windows)[:-1]:
-        for s, t in total.items():
-            assert abs(sum(windows[w].get(s, [])) - 512 * t / tokens) <= 6 * 8, (w, s)
-    # Small sources reach over the whole order too, rather than one end of it.
-    for s in ("hot0", "hot1", "hot2"):
-        assert all(s in windows[w] for w in sorted(windows)[:-1])
-    assert all(any(s.startswith("small") for s in windows[w]) for w in sorted(windows)[:-1])
-
-
-def test_shared_queue_is_a_plain_round_robin():
-    g = 8
-    totals = [8 * 5, 8 * 5 + 3, 3, 3, 8 * 2 + 7, 0, 8 * 40, 1]
-    count = lambda xs: [(x, xs.count(x)) for x in set(xs)]
-    whole, tail = [t // g for t in totals], [t % g for t in totals]
-    shared = packing.Shared(count(whole), count(tail), g)
-    rank = lambda xs: np.array([xs[:i].count(x) for i, x in enumerate(xs)])
-    row, start, size, place = shared.spread(np.zeros(len(totals), np.int64), np.array(totals), np.array(whole), np.array(tail), rank(whole), rank(tail))
-    taken = sorted(p for a, n in zip(place.tolist(), size.tolist(), strict=True) for p in range(a, a + n))
-    assert taken == list(range(sum(totals)))
-    for i, t in enumerate(totals):
-        assert size[row == i].sum() == t
-    # At any place each source with blocks has had its share to within two blocks.
-    for at in range(0, sum(totals), g):
-        for i, t in enumerate(totals):
-            had = np.clip(at - place[row == i], 0, size[row == i]).sum()
-            assert abs(had - at * t / sum(totals)) <= 2 * g
-
-
-def test_lanes(spark, monkeypatch):
-    monkeypatch.setattr(packing, "LANE_BLOCKS", 8)
-    df = spark.createDataFrame([(i, "some words here " * 9, f"s{i % 3}") for i in range(40)], "doc_id long, text string, source string").repartition(6)
-    out = packing.pack(df, length=16, quantum=4).collect()
-    assert sum(r.length for r in out) == 40 * 28
-    fill = {}
+        for s in ("hot0", "hot1", "hot2"):
+            assert abs(windows[w].get(s, 0) - 512 * total[s] / tokens) <= 4 * 8
+        assert any(s.startswith("small") for s in windows[w])
+
+
+def test_shares_by_targets(spark):
+    """Windows have the target shares while all queues last; those with none share what is left."""
+    rows = [(i, "some words here " * 20, "abcd"[i % 4]) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(6)
+    home = {r[0]: r[2] for r in rows}
+    windows = shares(packing.pack(df, length=512, quantum=16, targets={"a": 0.5, "b": 0.3}).collect(), home, 512)
+    want = {"a": 256, "b": 153.6, "c": 51.2, "d": 51.2}
+    lasting = 100 * 61 / 0.5 / 512  # windows until a is empty
+    for w in range(int(lasting) - 1):
+        assert all(abs(windows[w].get(s, 0) - x) <= 2 * 16 for s, x in want.items()), (w, windows[w])
+    after = windows[int(lasting) + 2]
+    assert "a" not in after and abs(after["b"] - 512 * 0.3 / 0.5) <= 32  # the others go on in their proportions
+    windows = shares(packing.pack(df, length=512, quantum=16, targets={"a": 0.5, "b": 0.5}).collect(), home, 512)
+    assert all(set(windows[w]) <= {"a", "b"} for w in range(20)) and set(windows[40]) == {"c", "d"}
+    with pytest.raises(ValueError):
+        packing.pack(df, targets={"a": 0.8, "b": 0.3})
+
+
+def test_order_is_a_plain_round_robin_by_deficit(spark):
+    """Positions are those of a plain sort by time, and at any place each source has had its share to within a turn."""
+    sizes = {"s0": 5 * 8 - 1, "s1": 43, "s2": 2, "s3": 2, "s4": 23, "s5": 319}
+    rows = [(i, "a " * (n - 1), s) for i, (s, n) in enumerate(sizes.items())]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    out = packing.pack(df, length=64, quantum=8).collect()
+    total, home = sum(sizes.values()), {r[0]: r[2] for r in rows}
+    taken = {home[r.doc_id]: [] for r in out}
     for r in out:
-        fill.setdefault(r.sequence_id, set()).update(range(r.offset, r.offset + r.length))
-    assert all(v == set(range(len(v))) for v in fill.values()) and sum(map(len, fill.values())) == 40 * 28
+        taken[home[r.doc_id]] += range(r.sequence_id * 64 + r.offset, r.sequence_id * 64 + r.offset + r.length)
+    assert sorted(x for v in taken.values() for x in v) == list(range(total))
+    for s, v in taken.items():
+        assert len(v) == sizes[s]
+        for at in range(total):
+            # Another turn of each other source may be due before or after.
+            assert abs(sum(x < at for x in v) - at * sizes[s] / total) <= 2 * 8 + 8 * len(sizes) * sizes[s] / total
+
+
+def test_packing_many_sources_and_none(spark, empty):
+    df = spark.createDataFrame([(i, "some words here", f"s{i}") for i in range(40)], "doc_id long, text string, source string")
+    out = packing.pack(df, length=16, quantum=4).collect()
+    assert sum(r.length for r in out) == 40 * 4 and len({r.doc_id for r in out}) == 40
+    assert packing.pack(empty).count() == 0
 
 
 def test_unigram_counts(odd, empty):
