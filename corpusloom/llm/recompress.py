@@ -37,6 +37,8 @@ from corpusloom.llm.exchange import blobs, bucket_edges, buckets_for, i64, key_f
 WIDTH = 13
 #: Text of which each symbol is sent once.
 CHUNK_BYTES = 32 << 20
+#: Tasks that the copies of one text are dealt over.
+SALTS = 16
 #: Rounds after which the symbols that are left of a text are named as one sequence.
 MOST_ROUNDS = 300
 NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -284,6 +286,14 @@ def _cleaned(width: int):
     return run
 
 
+def _texts_of(rows: DataFrame, some: DataFrame, what: str) -> DataFrame:
+    """(k, id, t, what) for the documents of some(k, id, what); a fixed filter keeps most other texts out of the shuffle."""
+    own = F.xxhash64("k", "id")
+    passes = key_filter(some.select(own.alias("h")), "h")
+    texts = rows.where(F.col("k").isNotNull()).where(passes(own)).join(some, ["k", "id"])
+    return texts.groupBy("k", "id").agg(F.first("t").alias("t"), F.first(what).alias(what))
+
+
 def changed_texts(rows: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
     """From rows(k, t, id): (k, id, n_words, top, sha) of all, and (k, id, n_removed, kept) of those that lose words.
 
@@ -297,7 +307,11 @@ def changed_texts(rows: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
     docs = written(table.select("docs", "none", "ids", "n_words", "tops", "sha").mapInArrow(_documents, DOCS), "docs")
     known = docs.where(F.col("k").isNotNull() & (F.col("n_words") >= width))
     first = known.groupBy("top", "sha", "n_words").agg(F.min("k").alias("low"), F.max("k").alias("last")).where("low < last").drop("last")
-    copies = written(known.join(first, ["top", "sha", "n_words"]).where("k > low").select("k", "id", "n_words").distinct(), "copies")
+    # A text may have any number of copies, so they are dealt over SALTS tasks.
+    first = first.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
+    known = known.withColumn("salt", F.pmod(F.xxhash64("k"), F.lit(SALTS)).cast("int"))
+    copies = known.join(first, ["top", "sha", "n_words", "salt"]).where("k > low").select("k", "id", "n_words")
+    copies = written(copies.distinct(), "copies")
     keys = table.agg(F.coalesce(F.sum(F.octet_length("keys")), F.lit(0))).first()[0] // 8
     found = _repeated(table, buckets_for(keys, parts_for(spark)))
     active = table.select("b", "docs", "ids", "n_keys", "keys").join(found, "b").mapInArrow(_actives, "k long, id long, keys binary")
@@ -305,10 +319,7 @@ def changed_texts(rows: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
     active = written(active.groupBy("k", "id").agg(F.first("keys").alias("keys")), "active")
     forget(table)
     settle(spark)
-    own = F.xxhash64("k", "id")
-    passes = key_filter(active.select(own.alias("h")), "h")
-    texts = rows.where(F.col("k").isNotNull()).where(passes(own)).join(active, ["k", "id"])
-    texts = written(texts.groupBy("k", "id").agg(F.first("t").alias("t"), F.first("keys").alias("keys")), "texts")
+    texts = _texts_of(rows, active, "keys")
     found = written(texts.mapInArrow(_windows(width), WINDOWS), "windows")
     forget(active)
     settle(spark)
@@ -320,8 +331,7 @@ def changed_texts(rows: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
     forget(found)
     forget(first)
     settle(spark)
-    kept = written(texts.select("k", "id", "t").join(late, ["k", "id"]).mapInArrow(_cleaned(width), KEPT), "kept")
-    forget(texts)
+    kept = written(_texts_of(rows, late, "late").mapInArrow(_cleaned(width), KEPT), "kept")
     forget(late)
     settle(spark)
     return docs, kept.unionByName(copies.select("k", "id", F.col("n_words").alias("n_removed"), F.lit("").alias("kept")))
