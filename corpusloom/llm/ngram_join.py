@@ -20,6 +20,7 @@ different components follow, each verified once. What lies in one component need
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +36,8 @@ WIDTH, PERCENT = 5, 80
 #: The counted share of shingles, as the highest hash; more than the 1/5 that prefixes take.
 COUNTED = np.uint64(int(0.3 * 2**64))
 STAR_ROUNDS = 2
-NULL = -(1 << 63)
+#: Tasks that the nodes of one component are dealt over.
+SALTS = 16
 
 
 def shingle_sets(texts: pa.Array, width: int = WIDTH) -> list[np.ndarray]:
@@ -56,7 +58,7 @@ def prefix_length(n, percent: int = PERCENT):
     return n - (-(-n * percent // 100)) + 1
 
 
-SLICES = "b long, docs binary, ids binary, n binary, h1 binary, h2 binary, n_counted binary, n_keys binary, keys binary"
+SLICES = "b long, docs binary, none binary, ids binary, n binary, h1 binary, h2 binary, n_counted binary, n_keys binary, keys binary"
 _SALT = np.uint64(0x5851F42D4C957F2D)
 
 
@@ -75,9 +77,10 @@ def _shingled(percent: int, width: int):
                     h1 = np.array([mix(s).sum(dtype=np.uint64) for s in sets], np.uint64)
                     h2 = np.array([(mix(s ^ _SALT) * (mix(s) | np.uint64(1))).sum(dtype=np.uint64) for s in sets], np.uint64)
                 keys = np.concatenate([s[:k] for s, k in zip(sets, n_keys.tolist(), strict=True)])
-                docs = column(batch, "k")[lo:hi].fill_null(NULL).to_numpy()
+                docs = column(batch, "k")[lo:hi]
+                none, docs = docs.is_null().to_numpy(zero_copy_only=False), docs.fill_null(0).to_numpy()
                 ids = column(batch, "id")[lo:hi].to_numpy()
-                cells = [docs, ids, n, h1, h2, counted, n_keys, keys]
+                cells = [docs, none, ids, n, h1, h2, counted, n_keys, keys]
                 yield pa.record_batch([pa.array([(part << 32) + number], pa.int64()), *(pa.array([c.tobytes()], pa.binary()) for c in cells)], [x.split()[0] for x in SLICES.split(", ")])
                 number += 1
 
@@ -90,7 +93,8 @@ def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in range(len(batch)):
             docs, ids, n, h1, h2 = (i64(column(batch, c)[row]) for c in ("docs", "ids", "n", "h1", "h2"))
             b = np.full(len(docs), column(batch, "b")[row].as_py())
-            yield pa.record_batch([pa.array(x) for x in (b, np.arange(len(docs)), docs, ids, n, h1, h2)], ["b", "nth", "k", "id", "n", "h1", "h2"])
+            keys = pa.array(docs, mask=np.frombuffer(column(batch, "none")[row].as_buffer(), bool))
+            yield pa.record_batch([pa.array(b), pa.array(np.arange(len(docs))), keys, *(pa.array(x) for x in (ids, n, h1, h2))], ["b", "nth", "k", "id", "n", "h1", "h2"])
 
 
 def _keys(batch: pa.RecordBatch, row: int) -> tuple[np.ndarray, np.ndarray]:
@@ -156,7 +160,8 @@ def _active(percent: int):
                 single = (_looked_up(column(batch, "found")[row].values, keys) == 1) & (keys < COUNTED)
                 # Singles come first: is there anything but them in the prefix?
                 hit = (np.bincount(doc[single], minlength=len(n)) < prefix_length(n, percent)) & (cls >= 0)
-                yield pa.record_batch([pa.array(x[hit]) for x in (cls, docs, ids)], ["c", "k", "id"])
+                none = np.frombuffer(column(batch, "none")[row].as_buffer(), bool)
+                yield pa.record_batch([pa.array(cls[hit]), pa.array(docs[hit], mask=none[hit]), pa.array(ids[hit])], ["c", "k", "id"])
 
     return run
 
@@ -259,8 +264,11 @@ def components(links: DataFrame, nodes: DataFrame) -> DataFrame:
     while True:
         around = edges.join(labels.withColumnRenamed("c", "y"), "y").groupBy(F.col("x").alias("c")).agg(F.min("label").alias("near"))
         new = labels.join(around, "c").select("c", F.least("label", "near").alias("new"), F.col("label").alias("old"))
-        jump = new.select(F.col("c").alias("new"), F.col("new").alias("next"))
-        new = written(new.join(jump, "new", "left").select("c", F.coalesce("next", "new").alias("label"), "old"), "labels")
+        # Only labels that are in use and have a smaller one are joined; the nodes of a large component are dealt by salt.
+        jump = new.select(F.col("c").alias("new"), F.col("new").alias("next")).where("next < new").join(new.select("new").distinct(), "new")
+        jump = jump.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
+        new = new.withColumn("salt", F.pmod(F.xxhash64("c"), F.lit(SALTS)).cast("int")).join(jump, ["new", "salt"], "left")
+        new = written(new.select("c", F.coalesce("next", "new").alias("label"), "old"), "labels")
         forget(labels)
         labels = new.select("c", "label")
         labels._corpusloom_path = new._corpusloom_path
@@ -278,8 +286,12 @@ def _cross(postings: DataFrame, labels: DataFrame, done: DataFrame | None, star:
     if star:
         pairs = own.select("key", record.alias("y")).join(spread.select("key", F.col("head").alias("x")), "key")
     else:
-        own = own.join(spread.select("key"), "key", "left_semi").select("key", record.alias("r"))
-        pairs = own.select("key", F.col("r").alias("x")).join(own.select("key", F.col("r").alias("y")), "key").where(F.col("x.c") < F.col("y.c"))
+        # Sets with that similarity have sizes in one class of ratio 100 / percent or in neighbouring ones.
+        size = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent) + 1e-9) if percent < 100 else F.col("n")
+        own = own.join(spread.select("key"), "key", "left_semi").select("key", size.cast("long").alias("size"), record.alias("r"))
+        near = own.select("key", F.explode(F.array("size", F.col("size") + 1)).alias("size"), F.col("r").alias("x"))
+        first = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.c") < F.col("y.c")))
+        pairs = near.join(own.select("key", "size", F.col("r").alias("y")), ["key", "size"]).where(first)
     pairs = pairs.where((F.col("x.label") != F.col("y.label")) & _possible(percent))
     pairs = pairs.select(F.least("x.c", "y.c").alias("x"), F.greatest("x.c", "y.c").alias("y")).distinct()
     return pairs.join(done, ["x", "y"], "left_anti") if done is not None else pairs
@@ -294,13 +306,15 @@ def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", w
     A text without words, or a null one, has no shingles, is linked with nothing and is a component of its own row's
     key. Texts with equal sets are one class, with similarity 1. Component ids are the smallest keys; null keys are
     passed over in that, and a component of null keys only has a null id. Repeated rows are reported each. Links of
-    all pairs at `percent` or more are respected; the result has components, not pairs. An empty table gives no rows.
+    all pairs at `percent` or more are respected; the result has components, not pairs. An empty table gives no rows. Other
+    columns are not looked at. Keys have to be integers, else ValueError is raised.
     """
+    if dict(df.dtypes)[key] not in ("tinyint", "smallint", "int", "bigint"):
+        raise ValueError(f"{key} is not an integer")
     spark = df.sparkSession
     rows = df.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).withColumn("id", F.xxhash64("t"))
     table = written(rows.mapInArrow(_shingled(percent, width), SLICES), "shingles")
-    docs = table.select("b", "docs", "ids", "n", "h1", "h2").mapInArrow(_documents, "b long, nth long, k long, id long, n long, h1 long, h2 long")
-    docs = docs.withColumn("k", F.when(F.col("k") != NULL, F.col("k")))
+    docs = table.select("b", "docs", "none", "ids", "n", "h1", "h2").mapInArrow(_documents, "b long, nth long, k long, id long, n long, h1 long, h2 long")
     full = docs.where("n > 0")
     classes = full.groupBy("h1", "h2", "n").agg(F.min("k").alias("low"), F.min(F.struct("b", "nth", "k", "id")).alias("one"))
     classes = written(classes.withColumn("c", F.monotonically_increasing_id()), "classes")
@@ -308,8 +322,8 @@ def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", w
     # Counted keys fill 3/10 of the range of hashes.
     found = _frequencies(table, buckets_for(keys * 10 // 3, parts_for(spark)), COUNTED)
     own = classes.groupBy("one.b").agg(F.collect_list(F.struct("one.nth", "c")).alias("own"))
-    known = table.select("b", "docs", "ids", "n", "n_counted", "n_keys", "keys").join(own, "b").join(found, "b", "left")
-    active = known.mapInArrow(_active(percent), "c long, k long, id long").withColumn("k", F.when(F.col("k") != NULL, F.col("k")))
+    known = table.select("b", "docs", "none", "ids", "n", "n_counted", "n_keys", "keys").join(own, "b").join(found, "b", "left")
+    active = known.mapInArrow(_active(percent), "c long, k long, id long")
     active = written(active.withColumn("h", F.xxhash64("k", "id")), "active")
     settle(spark)
     passes = key_filter(active, "h")
@@ -358,16 +372,15 @@ def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     first = F.min(F.struct(F.col("k").isNull().alias("none"), "k", "id")).alias("head")
     head = found.where("n_shingles > 0").groupBy("component").agg(first).select("head.k", "head.id")
     empty = found.where("n_shingles = 0").select("k", "id").dropDuplicates()
-    stay = written(head.withColumn("single", F.lit(True)).unionByName(empty.withColumn("single", F.lit(False))), "stay")
-    again = stay.where("single").join(found.groupBy("k", "id").count().where("count > 1").withColumnsRenamed({"k": "rk", "id": "rid"}), F.col("k").eqNullSafe(F.col("rk")) & (F.col("id") == F.col("rid")))
-    repeats = again.limit(1).count() > 0
-    stay = stay.select(F.col("k").alias("_loom_k"), F.col("id").alias("_loom_id"), "single")
+    stay = head.withColumn("single", F.lit(True)).unionByName(empty.withColumn("single", F.lit(False)))
+    # Rows that repeat the key and text of one that stays: of those one stays.
+    again = found.groupBy("k", "id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    stay = stay.join(again.select(F.col("k").alias("rk"), F.col("id").alias("rid"), F.lit(True).alias("again")), F.col("k").eqNullSafe(F.col("rk")) & (F.col("id") == F.col("rid")), "left")
+    stay = written(stay.select(F.col("k").alias("_loom_k"), F.col("id").alias("_loom_id"), (F.col("single") & F.coalesce("again", F.lit(False))).alias("again")), "stay")
     kept = df.select(F.struct("*").alias("row"), F.col(key).cast("long").alias("_loom_key"), F.xxhash64(text).alias("_loom_text"))
     kept = kept.join(stay, F.col("_loom_key").eqNullSafe(F.col("_loom_k")) & (F.col("_loom_text") == F.col("_loom_id")))
-    if not repeats:
-        return kept.select("row.*")
-    single = kept.where("single").groupBy("_loom_k", "_loom_id").agg(F.first("row").alias("row")).select("row.*")
-    return single.unionByName(kept.where("NOT single").select("row.*"))
+    single = kept.where("again").groupBy("_loom_k", "_loom_id").agg(F.first("row").alias("row")).select("row.*")
+    return kept.where("NOT again").select("row.*").unionByName(single)
 
 
 def op3_ngram_jaccard(spark, sf_dir):

@@ -22,6 +22,21 @@ def test_chain_and_group(spark):
     assert got == want
 
 
+def test_one_shingle_in_many_sizes(spark):
+    """A shingle that unlike sets of many sizes share, rare in all of them, and sets at the bound of similarity."""
+    texts = [" ".join(["k l m n o", *(f"x{i}_{j}" for j in range(3 * i))]) for i in range(30)]
+    texts += [" ".join(f"y{j}" for j in range(n)) for n in (44, 54, 55, 69, 84)]
+    docs = list(enumerate(texts))
+    got = {r.k: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == brute.components(docs)
+
+
+def test_least_key_is_a_key(spark):
+    rows = [(-(1 << 63), "a b c d e f"), (3, "a b c d e f"), (None, "a b c d e f"), (None, "alone")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(((r.k, r.component_id) for r in ngram_join.jaccard_components(df).collect()), key=str) == sorted([(-(1 << 63), -(1 << 63)), (3, -(1 << 63)), (None, -(1 << 63)), (None, None)], key=str)
+
+
 def test_one_of_each(odd, rows):
     out = ngram_join.one_of_each(odd).collect()
     want = brute.components([(r[0], r[1]) for r in rows])
