@@ -7,7 +7,6 @@ text can be cut on bytes without decoding it.
 from __future__ import annotations
 
 import gc
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -19,6 +18,9 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: Text that one numpy slice holds at most, unless a single document is longer.
 SLICE_BYTES = 2 << 20
+#: Bytes of an Arrow batch, for sessions with Spark's own bound of 64 MB.
+BATCH_BYTES = f"{8 << 20}b"
+_BATCH, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", f"{64 << 20}b"
 
 _SEP = np.zeros(256, bool)
 _SEP[[0x20, *range(0x09, 0x0E)]] = True
@@ -28,17 +30,22 @@ _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one of our own if unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset one in the warehouse."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="corpusloom-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
+    return (base or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints").rstrip("/")
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of a few MB, unless the session says otherwise: a worker and the JVM hold a batch or two each, and
+    rows here may be texts or packed arrays."""
+    if spark.conf.get(_BATCH, _BATCH_DEFAULT) == _BATCH_DEFAULT:
+        spark.conf.set(_BATCH, BATCH_BYTES)
 
 
 def written(df: DataFrame, what: str = "t") -> DataFrame:
     """The rows of df as a table in the shared folder: lineage ends here and a lost executor costs nothing."""
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{shared_dir(spark)}/corpusloom/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
@@ -61,6 +68,7 @@ def settle(spark: SparkSession) -> None:
 
 
 def parquet(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
