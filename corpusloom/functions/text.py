@@ -24,7 +24,7 @@ def is_blank(c: Column) -> Column:
 
 
 def word_count(c: Column) -> Column:
-    return F.coalesce(F.size(F.filter(F.split(c, f"{WHITE}+"), lambda w: w != "")), F.lit(0)).cast("long")
+    return F.coalesce(F.regexp_count(c, F.lit(f"[^{WHITE[1:]}+")), F.lit(0)).cast("long")
 
 
 def _edge(ascii_letter: bool, after: bool) -> str:
@@ -32,29 +32,28 @@ def _edge(ascii_letter: bool, after: bool) -> str:
     return f"(?{'' if after else '<'}{'!' if ascii_letter else '='}[a-z0-9_])"
 
 
-def _hits(tokens: Column, words: list[str]) -> Column:
-    return F.size(F.filter(tokens, lambda t: t.isin(words)))
+def _bound(value: Column, use) -> Column:
+    """use(value) with value computed once, however often it is named."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def language_scores(c: Column) -> dict[str, Column]:
-    low = F.lower(c)
-    tokens = F.split(low, "[^a-z0-9_]+")
-    out = {}
-    for code, words in STOP_WORDS.items():
-        plain = [w for w in words.split() if w.isascii()]
-        score = _hits(tokens, plain)
-        for w in words.split():
-            if not w.isascii():
-                score = score + F.regexp_count(low, F.lit(_edge(w[0].isascii(), False) + re.escape(w) + _edge(w[-1].isascii(), True)))
-        out[code] = score
+def _score(x: Column, words: list[str]) -> Column:
+    """Function words among x.hits, and those with letters outside ASCII, which are looked for only where they occur."""
+    out = F.size(F.filter(x["hits"], lambda t: t.isin([w for w in words if w.isascii()])))
+    for w in words:
+        if not w.isascii():
+            pattern = _edge(w[0].isascii(), False) + re.escape(w) + _edge(w[-1].isascii(), True)
+            out = out + F.when(F.contains(x["low"], F.lit(w)), F.regexp_count(x["low"], F.lit(pattern))).otherwise(0)
     return out
 
 
 def language(c: Column) -> Column:
     """The language with most function words, the first of equals; en without any, unknown for blank text."""
-    scores = language_scores(c)
-    best = F.array_max(F.array(*(F.struct(s.alias("score"), F.lit(-i).alias("rank")) for i, s in enumerate(scores.values()))))
-    return F.when(is_blank(c), "unknown").otherwise(F.element_at(F.lit(list(scores)), F.lit(1) - best["rank"]))
+    lists = {code: words.split() for code, words in STOP_WORDS.items()}
+    plain = sorted({w for words in lists.values() for w in words if w.isascii()})
+    low = _bound(F.lower(c), lambda x: F.struct(x.alias("low"), F.filter(F.split(x, "[^a-z0-9_]+"), lambda t: t.isin(plain)).alias("hits")))
+    best = _bound(low, lambda x: F.array_max(F.array(*(F.struct(_score(x, words).alias("score"), F.lit(-i).alias("rank")) for i, words in enumerate(lists.values())))))
+    return F.when(is_blank(c), "unknown").otherwise(F.element_at(F.lit(list(lists)), F.lit(1) - best["rank"]))
 
 
 def content_hash(c: Column) -> Column:

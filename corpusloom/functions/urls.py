@@ -42,7 +42,7 @@ def resolved(href: Column, base: Column) -> Column:
 def organisation(url: Column) -> Column:
     """The label before .edu, else the first one, without www."""
     labels = F.split(F.regexp_replace(host(url), r"^www\.", ""), r"\.")
-    return F.when(host(url).isNull(), "unknown-organisation").when((F.size(labels) >= 2) & (F.element_at(labels, -1) == "edu"), F.element_at(labels, -2)).otherwise(F.element_at(labels, 1))
+    return F.when(host(url).isNull(), "unknown-university").when((F.size(labels) >= 2) & (F.element_at(labels, -1) == "edu"), F.element_at(labels, -2)).otherwise(F.element_at(labels, 1))
 
 
 def directory_name(name: Column) -> Column:

@@ -2,29 +2,40 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.constants import REQUEST_CAP
 from corpusloom.functions import urls
 from corpusloom.session import checkpointed
+from corpusloom.sources.pages import fetch
 
 
-def frontier(edges: DataFrame, seeds: DataFrame, max_depth: int, edge_filter: Column | None = None) -> DataFrame:
+def frontier(edges: DataFrame, seeds: DataFrame, max_depth: int, edge_filter: Column | None = None, cap: int | None = None, on_level: Callable[[int], None] | None = None) -> DataFrame:
     """(node, depth, parent) of what seeds(node) reach over edges(src, dst) within max_depth steps, each node once, at
-    its least depth and from its least parent there. The filter applies to edges before any join. A level is a
-    checkpoint in the shared folder; the loop ends with the first empty level."""
+    its least depth and from its least parent there. The filter applies to edges before any join.
+
+    The edges are written once to the shared folder, and so is each level. The search ends with the first empty level, or
+    with the level that reaches `cap` nodes; that level is whole. on_level gets the number of nodes so far."""
     edges = edges.where(edge_filter) if edge_filter is not None else edges
-    edges = edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct()
     kind = edges.schema["dst"].dataType
     level = checkpointed(seeds.select(F.col("node").cast(kind)).distinct().select("node", F.lit(0).alias("depth"), F.lit(None).cast(kind).alias("parent")))
-    visited = level
+    if max_depth > 0:
+        edges = checkpointed(edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct())
+    visited, count = level, level.count()
     for depth in range(1, max_depth + 1):
+        if on_level:
+            on_level(count)
+        if cap is not None and count >= cap:
+            break
         reached = level.join(edges, level["node"] == edges["src"]).groupBy(F.col("dst").alias("node")).agg(F.min("src").alias("parent"))
         level = checkpointed(reached.join(visited.select("node"), "node", "left_anti").select("node", F.lit(depth).alias("depth"), "parent"))
-        if level.isEmpty():
+        new = level.count()
+        if not new:
             break
-        visited = visited.unionByName(level)
+        visited, count = visited.unionByName(level), count + new
     return visited
 
 
@@ -32,12 +43,12 @@ def effective_depth(max_depth: int, include_subpages: bool) -> int:
     return max_depth if include_subpages else 0
 
 
-def crawl(pages: DataFrame, links: DataFrame, seed_url: str, max_depth: int, include_subpages: bool = True, cap: int = REQUEST_CAP, keep_failed: bool = True) -> DataFrame:
+def crawl(pages: DataFrame, links: DataFrame, seed_url: str, max_depth: int, include_subpages: bool = True, cap: int | None = REQUEST_CAP, keep_failed: bool = True, on_level: Callable[[int], None] | None = None) -> DataFrame:
     """Discovered urls from a seed, over links(url, link) on the seed's host.
 
     (url, depth, parent_url, status_code, content_type, crawl_ms, link_type, skipped_reason). A url that the corpus
     lacks is a failed request, or left out without keep_failed. Without subpages the seed alone is given, unfetched.
-    The cap takes the first urls by depth and url.
+    The cap takes the first urls by depth and url, and ends the search; None is no cap.
     """
     spark = pages.sparkSession
     seed_host = F.lit(spark.range(1).select(urls.host(F.lit(seed_url))).first()[0])
@@ -46,7 +57,8 @@ def crawl(pages: DataFrame, links: DataFrame, seed_url: str, max_depth: int, inc
         found, known = seeds.select("node", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("parent")), seeds.select(F.col("node").alias("url"))
     else:
         edges = links.select(F.col("url").alias("src"), F.col("link").alias("dst"))
-        found, known = frontier(edges, seeds, max_depth, urls.host(F.col("dst")) == seed_host), pages.select("url").distinct()
+        found = frontier(edges, seeds, max_depth, urls.host(F.col("dst")) == seed_host, cap if keep_failed else None, on_level)
+        known = pages.join(found.select(F.col("node").alias("url")), "url", "left_semi").select("url").distinct()
     known = known.withColumn("known", F.lit(True))
     joined = found.withColumnRenamed("node", "url").join(known, "url", "left" if keep_failed else "inner")
     ok = F.col("known").isNotNull()
@@ -56,7 +68,7 @@ def crawl(pages: DataFrame, links: DataFrame, seed_url: str, max_depth: int, inc
         F.lit(0).cast("long").alias("crawl_ms"), urls.link_type(F.col("url"), seed_host).alias("link_type"),
         F.when(~ok, "Request failed").alias("skipped_reason"),
     )
-    return out.orderBy("depth", "url").limit(cap)
+    return out if cap is None else out.orderBy("depth", "url").limit(cap)
 
 
 def crawl_and_scrape(pages: DataFrame, links: DataFrame, seed_url: str, max_depth: int, **options) -> DataFrame:
@@ -64,9 +76,9 @@ def crawl_and_scrape(pages: DataFrame, links: DataFrame, seed_url: str, max_dept
     from corpusloom.operators.extract import scrape
 
     found = crawl(pages, links, seed_url, max_depth, keep_failed=False, **options)
-    return scrape(found.select("url", "depth", "parent_url", "status_code", "content_type").join(pages.select("page_id", "url", "html"), "url"))
+    return scrape(fetch(pages, found.select("url", "depth", "parent_url", "status_code", "content_type"), columns=("page_id", "html")))
 
 
-def total_estimate(done: Column, step: int = 5, least: int = 10) -> Column:
+def total_estimate(done: int | Column, step: int = 5, least: int = 10) -> int | Column:
     """The moving estimate of a crawl's size after so many pages."""
-    return F.greatest(F.lit(least), done + step)
+    return max(least, done + step) if isinstance(done, int) else F.greatest(F.lit(least), done + step)

@@ -40,10 +40,11 @@ def native_links(html: Column, url: Column) -> Column:
     return F.array_distinct(F.filter(found, lambda h: F.coalesce(h.startswith("http"), F.lit(False))))
 
 
-def scrape(pages: DataFrame, native: bool = True) -> DataFrame:
+def scrape(pages: DataFrame, native: bool = False) -> DataFrame:
     """Records of pages(page_id, url, html, ...): title, headings, content, links, metrics, status.
 
-    Columns that are not selected afterwards are not computed on the native path. A page without html is FAILED: empty
+    The tree path takes any markup. The native path is for corpora whose pages have one plain `<article>`, a `<title>` and
+    quoted `href` values, and cuts nothing out; there, columns that are not selected afterwards are not computed. A page without html is FAILED: empty
     fields, status code 0, type unknown. On the tree path, a page that can't be parsed keeps its HTTP data. Optional
     columns depth, parent_url, status_code and content_type are kept over the defaults.
     """

@@ -94,6 +94,24 @@ def links_only_rows(df: DataFrame) -> DataFrame:
     return df.select(*(c for c in ("page_id",) if c in df.columns), "url", "title", F.size("links").cast("long").alias("link_count"), "links")
 
 
+#: Names of the fields in JSON output.
+FIELD_NAMES = {
+    "scraped_at": "scrapedAt", "scrape_ms": "scrapeDurationMs", "parent_url": "parentUrl", "status_code": "statusCode", "content_type": "contentType",
+    "word_count": "wordCount", "content_hash": "contentHash", "error_message": "errorMessage", "link_count": "linkCount",
+}
+
+
+def _as_written(df: DataFrame) -> list[Column]:
+    """The columns of df, and the fields of its structs, by the names of JSON output."""
+    out = []
+    for f in df.schema.fields:
+        c = F.col(f.name)
+        if hasattr(f.dataType, "fields"):
+            c = F.struct(*(c[x.name].alias(FIELD_NAMES.get(x.name, x.name)) for x in f.dataType.fields))
+        out.append(c.alias(FIELD_NAMES.get(f.name, f.name)))
+    return out
+
+
 def formatted_rows(df: DataFrame, kind: str) -> DataFrame:
     """One column `formatted` per page; an unknown format is JSON."""
     if kind == "MARKDOWN":
@@ -101,7 +119,15 @@ def formatted_rows(df: DataFrame, kind: str) -> DataFrame:
     if kind == "HTML":
         return html_page(df)
     rows = {"SUMMARY": summary_rows, "LINKS_ONLY": links_only_rows}.get(kind, json_rows)(df)
-    return rows.withColumn("formatted", F.to_json(F.struct(*(c for c in rows.columns if c != "page_id"))))
+    return rows.withColumn("formatted", F.to_json(F.struct(*_as_written(rows.drop("page_id")))))
+
+
+def statistics_record(s, languages: dict[str, int]) -> dict:
+    """Statistics by the names of JSON output, from their row and the pages by language."""
+    return {
+        "totalPages": s.total_pages, "successCount": s.success_count, "failedCount": s.failed_count, "successRate": f"{s.success_rate:.1f}%" if s.total_pages else "0%", "totalWords": s.total_words,
+        "averageWordsPerPage": s.average_words_per_page, "totalLinks": s.total_links, "averageScrapeTimeMs": s.average_scrape_time_ms, "languageBreakdown": languages,
+    }
 
 
 STYLE = "body{font:16px sans-serif;max-width:60rem;margin:auto;padding:1rem}article{border:1px solid #ccc;padding:1rem;margin:1rem 0}article.failed{border-color:#c00}.error{background:#fee}"
@@ -130,7 +156,7 @@ def document(df: DataFrame, kind: str, order: str, generated_at: str) -> Iterato
         import json
 
         head = {"formatType": kind, "generatedAt": generated_at}
-        head |= {"totalPages": s.total_pages, "totalLinks": s.total_links} if kind == "LINKS_ONLY" else {"statistics": dict(table)}
+        head |= {"totalPages": s.total_pages, "totalLinks": s.total_links} if kind == "LINKS_ONLY" else {"statistics": statistics_record(s, {r["language"]: r["pages"] for r in stats.language_breakdown(df).orderBy("language").collect()})}  # a row a language
         yield json.dumps(head)[:-1] + ', "results": ['
         for i, p in enumerate(pages):
             yield (",\n" if i else "\n") + p

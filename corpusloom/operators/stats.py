@@ -35,7 +35,9 @@ def job_counts(jobs: DataFrame) -> DataFrame:
     return jobs.agg(F.count(F.lit(1)).alias("total"), *(F.count_if(F.col("status") == s).alias(s.lower()) for s in STATUSES))
 
 
-def crawl_summary(discovered: DataFrame) -> DataFrame:
+def crawl_summary(discovered: DataFrame, started_at: Column | None = None, completed_at: Column | None = None) -> DataFrame:
+    """One row; with the times of a crawl also those and the milliseconds between them."""
     n = F.count(F.lit(1))
     own = discovered.agg(n.alias("n"), F.count_if(F.col("link_type") == "internal").alias("inner"), F.count_if(F.col("link_type") == "external").alias("outer"), F.coalesce(F.sum("crawl_ms"), F.lit(0)).alias("ms"))
-    return own.select(F.col("n").alias("total_urls"), F.col("inner").alias("internal_urls"), F.col("outer").alias("external_urls"), tx.rounded(F.col("ms"), F.col("n")).alias("average_crawl_ms"))
+    times = [] if started_at is None or completed_at is None else [started_at.alias("started_at"), completed_at.alias("completed_at"), (F.unix_millis(completed_at) - F.unix_millis(started_at)).alias("total_duration_ms")]
+    return own.select(F.col("n").alias("total_urls"), F.col("inner").alias("internal_urls"), F.col("outer").alias("external_urls"), tx.rounded(F.col("ms"), F.col("n")).alias("average_crawl_ms"), *times)

@@ -7,15 +7,16 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.constants import REQUEST_CAP, TTL_MS
 from corpusloom.operators import formatters, paging, stats
 from corpusloom.plans import export, jobs
 from corpusloom.plans.engine import Engine
 
 
 class Service:
-    def __init__(self, spark: SparkSession, pages: DataFrame, native: bool = False):
-        self.spark, self.engine = spark, Engine(spark, pages, native)
-        self.runner = jobs.JobRunner(spark, self.engine.job)
+    def __init__(self, spark: SparkSession, pages: DataFrame, native: bool = False, cap: int | None = REQUEST_CAP, ttl_ms: int = TTL_MS):
+        self.spark, self.engine = spark, Engine(spark, pages, native, cap)
+        self.runner = jobs.JobRunner(spark, self.engine.job, ttl_ms)
         self.configs: dict[str, dict] = {}
 
     def health(self) -> dict:
@@ -35,18 +36,32 @@ class Service:
         return jobs.fold(self.runner.log())
 
     def list(self, status: str | None = None) -> DataFrame:
-        return jobs.listed(self.jobs(), status)
+        return jobs.list_rows(jobs.listed(self.jobs(), status), F.lit(datetime.now())).orderBy(F.desc("created_at"), "job_id")
 
     def stats(self) -> DataFrame:
         return stats.job_counts(self.jobs())
 
     def status(self, job: str) -> dict | None:
-        """Status, progress, duration and error of a job; None if there is none of that id."""
+        """Status, progress, duration and error of a job; None if there is none of that id. A completed one also has a
+        summary of its results and the calls that give them."""
         if self.runner.status(job) is None:
             return None
         mode = F.lit(self.configs.get(job, {}).get("operationMode") or "CRAWL_AND_SCRAPE")
         own = jobs.phase_progress(self.jobs().where(F.col("job_id") == job), mode)
-        return jobs.durations(own, F.lit(datetime.now())).first().asDict()
+        out = jobs.durations(own, F.lit(datetime.now())).first().asDict()
+        config = self.configs.get(job, {})
+        out["config"] = config
+        out["duration"] = out["duration"] if out["started_at"] else "Not started"
+        if out["status"] == "COMPLETED":
+            found = self.runner.outcomes.get(job, {})
+            rows = lambda name: found[name].count() if name in found else 0
+            report = found["report"].first() if "report" in found else None
+            out["summary"] = {
+                "org_name": config.get("orgName"), "urls_discovered": rows("crawled"), "pages_scraped": rows("scraped"),
+                "validation": None if report is None else {k: report[k] for k in ("total_crawled", "total_scraped", "success_rate", "completeness_rate")},
+            }
+            out["links"] = {"crawl_results": ("results", job, "crawled"), "scrape_results": ("results", job, "scraped"), "export_results": ("export", job)}
+        return out
 
     def progress(self, job: str) -> dict | None:
         if self.runner.status(job) is None:

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from datetime import UTC, datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.constants import REQUEST_CAP
 from corpusloom.operators import crawl as cr
 from corpusloom.operators import stats, validate
 from corpusloom.operators.extract import scrape
@@ -18,9 +22,15 @@ def links_of(scraped: DataFrame) -> DataFrame:
     return scraped.select("url", F.explode("links").alias("link"))
 
 
+def _quiet(kind: str, value: str | None = None, completed: int | None = None, total: int | None = None) -> None:
+    pass
+
+
 class Engine:
-    def __init__(self, spark: SparkSession, pages: DataFrame, native: bool = False):
-        self.spark, self.pages, self.native = spark, pages, native
+    """`cap` is the number of urls of a crawl, None for no bound; `native` takes the native path of extraction."""
+
+    def __init__(self, spark: SparkSession, pages: DataFrame, native: bool = False, cap: int | None = REQUEST_CAP):
+        self.spark, self.pages, self.native, self.cap = spark, pages, native, cap
 
     def _checked(self, request: dict, error: str) -> dict:
         row = rq.checked(self.spark.createDataFrame([request], REQUEST)).first().asDict()
@@ -34,26 +44,38 @@ class Engine:
         depth = cr.effective_depth(row["depth_v1"], row["includeSubpages"] is not False)
         return self.run(row["seedUrl"], depth, row["includeSubpages"] is not False, row["operationMode"])
 
-    def run(self, seed: str, depth: int, subpages: bool, mode: str) -> dict[str, DataFrame]:
+    def run(self, seed: str, depth: int, subpages: bool, mode: str, tell: Callable = _quiet) -> dict[str, DataFrame]:
+        """The tables of a mode by name. tell(kind, value, completed, total) gets phases and progress meanwhile."""
         out: dict[str, DataFrame] = {}
         if mode == "SCRAPE_ONLY":
-            urls = self.spark.range(1).select(F.lit(seed).alias("url"))
-            out["scraped"] = scrape(fetch(self.pages, urls), self.native)
+            out["scraped"] = self._scraped(self.spark.range(1).select(F.lit(seed).alias("url")), 1, tell)
         else:
+            tell("phase", "CRAWLING")
+            began = datetime.now(UTC)
             links = links_of(scrape(self.pages, self.native))
-            out["crawled"] = checkpointed(cr.crawl(self.pages, links, seed, depth, subpages))
-            out["crawl_summary"] = stats.crawl_summary(out["crawled"])
+            found = cr.crawl(self.pages, links, seed, depth, subpages, self.cap, on_level=lambda n: tell("crawl", completed=n, total=cr.total_estimate(n)))
+            out["crawled"] = checkpointed(found)
+            n = out["crawled"].count()
+            tell("crawl", completed=n, total=n)
+            out["crawl_summary"] = stats.crawl_summary(out["crawled"], F.lit(began), F.lit(datetime.now(UTC)))
         if mode == "CRAWL_AND_SCRAPE":
-            found = out["crawled"].select("url", "depth", "parent_url")
-            out["scraped"] = checkpointed(scrape(fetch(self.pages, found), self.native))
+            out["scraped"] = self._scraped(out["crawled"].select("url", "depth", "parent_url"), n, tell)
+            tell("phase", "VALIDATING")
             out["report"] = validate.report(out["crawled"], out["scraped"])
             out["missing"] = validate.missing(out["crawled"], out["scraped"])
         if "scraped" in out:
             out["statistics"] = stats.statistics(out["scraped"])
         return out
 
-    def job(self, spark: SparkSession, config: dict) -> dict[str, DataFrame]:
+    def _scraped(self, wanted: DataFrame, n: int, tell: Callable) -> DataFrame:
+        tell("phase", "SCRAPING")
+        tell("scrape", completed=0, total=n)
+        out = checkpointed(scrape(fetch(self.pages, wanted), self.native))
+        tell("scrape", completed=n, total=n)
+        return out
+
+    def job(self, spark: SparkSession, config: dict, tell: Callable = _quiet) -> dict[str, DataFrame]:
         """The work of a submitted job, for JobRunner."""
         row = self._checked(config, "error_v2")
         subpages = row["includeSubpages"] is not False
-        return self.run(row["seedUrl"], cr.effective_depth(row["depth_v2"], subpages), subpages, row["mode_v2"])
+        return self.run(row["seedUrl"], cr.effective_depth(row["depth_v2"], subpages), subpages, row["mode_v2"], tell)

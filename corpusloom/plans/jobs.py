@@ -7,6 +7,7 @@ it is passed over.
 
 from __future__ import annotations
 
+import json
 import threading
 import uuid
 from collections.abc import Callable
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.constants import TTL_MS
 from corpusloom.functions import text as tx
+from corpusloom.schemas import REQUEST
 
 TERMINAL = ("COMPLETED", "FAILED", "CANCELLED")
 
@@ -40,6 +42,7 @@ def fold(events: DataFrame) -> DataFrame:
         F.coalesce(last(F.col("total"), kind == "scrape"), F.lit(0)).alias("scrape_total"),
         F.max("ts").alias("updated_at"),
         last(value, kind == "error").alias("error"),
+        last(value, kind == "config").alias("config"),
     )
 
 
@@ -72,6 +75,17 @@ def durations(jobs: DataFrame, as_of: Column) -> DataFrame:
     return jobs.withColumn("duration_ms", ms).withColumn("duration", tx.duration(F.col("duration_ms")))
 
 
+def list_rows(jobs: DataFrame, as_of: Column) -> DataFrame:
+    """What a list of jobs shows: request, state, overall per cent, phase and times; no duration before the start."""
+    asked = F.from_json("config", REQUEST)
+    own = jobs.withColumn("asked", asked).withColumn("mode", tx.or_default(F.col("asked.operationMode"), "CRAWL_AND_SCRAPE"))
+    own = durations(phase_progress(own, F.col("mode")), as_of)
+    return own.select(
+        "job_id", F.col("asked.seedUrl").alias("seed_url"), F.nullif("asked.orgName", F.lit("")).alias("org_name"), "mode", "status", F.col("overall").alias("progress"), "phase",
+        "created_at", "completed_at", F.when(F.col("started_at").isNotNull(), F.col("duration")).alias("duration"),
+    )
+
+
 def unexpired(jobs: DataFrame, as_of: Column, ttl_ms: int = TTL_MS) -> DataFrame:
     """Without jobs that ended longer ago than the time to live."""
     return jobs.where(F.col("completed_at").isNull() | (F.unix_millis(as_of) - F.unix_millis("completed_at") <= ttl_ms))
@@ -84,13 +98,15 @@ def listed(jobs: DataFrame, status: str | None = None) -> DataFrame:
 
 
 class JobRunner:
-    """Runs functions (spark, config) -> dict of DataFrames in threads with a job group of their own.
+    """Runs functions (spark, config, tell) -> dict of DataFrames in threads with a job group of their own.
 
-    What the caller polls is kept on the driver: one small record a job. Cancelling stops the Spark jobs of the group.
+    tell(kind, value, completed, total) adds an event of the job. What the caller polls is kept on the driver: one small
+    record a job, until the time to live of ended jobs is over. Cancelling stops the Spark jobs of the group.
     """
 
-    def __init__(self, spark: SparkSession, work: Callable[[SparkSession, dict], dict]):
-        self.spark, self.work = spark, work
+    def __init__(self, spark: SparkSession, work: Callable[[SparkSession, dict, Callable], dict], ttl_ms: int = TTL_MS):
+        self.spark, self.work, self.ttl_ms = spark, work, ttl_ms
+        self.count = 0
         self.events: list[tuple] = []
         self.outcomes: dict[str, dict] = {}
         self.threads: dict[str, threading.Thread] = {}
@@ -100,11 +116,14 @@ class JobRunner:
         from datetime import datetime
 
         with self.lock:
-            self.events.append((job, len(self.events), datetime.now(), kind, value, completed, total))
+            self.count += 1
+            self.events.append((job, self.count, datetime.now(), kind, value, completed, total))
 
     def submit(self, config: dict, job: str | None = None) -> str:
+        self.evict()
         job = job or str(uuid.uuid4())
         self._tell(job, "status", "QUEUED")
+        self._tell(job, "config", json.dumps(config))
         self.threads[job] = threading.Thread(target=self._run, args=(job, config), daemon=True)
         self.threads[job].start()
         return job
@@ -113,7 +132,8 @@ class JobRunner:
         self.spark.sparkContext.setJobGroup(job, f"job {job}", interruptOnCancel=True)
         self._tell(job, "status", "RUNNING")
         try:
-            self.outcomes[job] = self.work(self.spark, config)
+            self.outcomes[job] = self.work(self.spark, config, lambda *a, **k: self._tell(job, *a, **k))
+            self._tell(job, "phase", "COMPLETED")
             self._tell(job, "status", "COMPLETED")
         except Exception as e:  # whatever ends a job is its outcome
             self._tell(job, "error", str(e)[:500])
@@ -133,8 +153,24 @@ class JobRunner:
             known = any(e[0] == job for e in self.events)
             self.events = [e for e in self.events if e[0] != job]
         self.outcomes.pop(job, None)
+        self.threads.pop(job, None)
         return known
 
+    def evict(self) -> list[str]:
+        """Forgets jobs that ended longer ago than the time to live."""
+        from datetime import datetime, timedelta
+
+        bound = datetime.now() - timedelta(milliseconds=self.ttl_ms)
+        with self.lock:
+            ends: dict[str, datetime] = {}
+            for e in self.events:
+                if e[3] == "status" and e[4] in TERMINAL:
+                    ends.setdefault(e[0], e[2])
+        gone = [job for job, at in ends.items() if at < bound]
+        for job in gone:
+            self.delete(job)
+        return gone
+
     def status(self, job: str) -> str | None:
         with self.lock:
             states = [e[4] for e in self.events if e[0] == job and e[3] == "status"]
@@ -147,6 +183,7 @@ class JobRunner:
     def log(self) -> DataFrame:
         from corpusloom.schemas import JOB_EVENT
 
+        self.evict()
         with self.lock:
             return self.spark.createDataFrame(list(self.events), JOB_EVENT)
 

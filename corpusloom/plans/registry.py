@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +13,7 @@ from corpusloom.functions import urls
 from corpusloom.operators import crawl as cr
 from corpusloom.operators import extract, formatters, paging, stats, validate
 from corpusloom.plans import jobs, requests
+from corpusloom.session import shared_dir
 from corpusloom.sources.pages import fetch, fetch_one, table
 from corpusloom.streaming import jobs as stream_jobs
 
@@ -70,7 +70,8 @@ def _escape(c: str) -> str:
 
 
 def scraped(spark: SparkSession, d: str) -> DataFrame:
-    return extract.scrape(table(spark, d, "pages"))
+    """Records by the native path, which suits these pages; dom_extract takes the tree path."""
+    return extract.scrape(table(spark, d, "pages"), native=True)
 
 
 @query(f"WITH {_EXTRACT} SELECT page_id, url, title, content, word_count, language, content_hash, status FROM ex")
@@ -167,11 +168,11 @@ _BFS = f"""WITH RECURSIVE {_EDGES},
   least AS (SELECT node, min(depth) AS depth FROM walk GROUP BY node)"""
 
 
-def _frontier(spark, d):
+def _frontier(spark, d, edge_filter=None):
     pages = table(spark, d, "pages")
     n = pages.count()
     edges = pages.select(F.col("page_id").alias("src"), F.explode(F.array(*(F.lit(k) for k in (1, 2, 7)))).alias("k")).select("src", ((F.col("src") * 2 + F.col("k")) % F.lit(n)).alias("dst"))
-    return cr.frontier(edges, spark.range(1).select(F.lit(0).cast("long").alias("node")), 4)
+    return cr.frontier(edges, spark.range(1).select(F.lit(0).cast("long").alias("node")), 4, edge_filter)
 
 
 @query(f"{_BFS} SELECT node, depth FROM least")
@@ -184,12 +185,77 @@ def crawl_parents(spark, d):
     return _frontier(spark, d).select("node", "depth", "parent")
 
 
-@query(f"{_BFS}, x AS (SELECT l.depth, lower(regexp_extract(url, '^https?://([^/?#]+)', 1)) = {_SEED} AS inner_link FROM least l JOIN pages ON page_id = node) SELECT count(*) AS total_urls, count(*) FILTER (inner_link) AS internal_urls, count(*) FILTER (NOT inner_link) AS external_urls, ((2 * sum(depth * 10) + count(*)) // (2 * count(*)))::BIGINT AS average_crawl_ms FROM x")
+@query(f"{_BFS}, x AS (SELECT l.depth, lower(regexp_extract(url, '^https?://([^/?#]+)', 1)) = {_SEED} AS inner_link FROM least l JOIN pages ON page_id = node) SELECT count(*) AS total_urls, count(*) FILTER (inner_link) AS internal_urls, count(*) FILTER (NOT inner_link) AS external_urls, ((2 * sum(depth * 10) + count(*)) // (2 * count(*)))::BIGINT AS average_crawl_ms, TIMESTAMP '2024-01-01 00:00:00' AS started_at, TIMESTAMP '2024-01-01 00:01:30.5' AS completed_at, 90500::BIGINT AS total_duration_ms FROM x")
 def crawl_summary(spark, d):
     pages = table(spark, d, "pages").select("page_id", "url")
     seed = pages.orderBy("page_id").limit(1).select(urls.host(F.col("url")).alias("seed"))
     found = _frontier(spark, d).join(pages, F.col("node") == F.col("page_id")).crossJoin(F.broadcast(seed))  # one row
-    return stats.crawl_summary(found.select(urls.link_type(F.col("url"), F.col("seed")).alias("link_type"), (F.col("depth") * 10).cast("long").alias("crawl_ms")))
+    found = found.select(urls.link_type(F.col("url"), F.col("seed")).alias("link_type"), (F.col("depth") * 10).cast("long").alias("crawl_ms"))
+    out = stats.crawl_summary(found, *(F.lit(t).cast("timestamp") for t in ("2024-01-01 00:00:00", "2024-01-01 00:01:30.5")))
+    return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("started_at", "completed_at")})
+
+
+@query(f"""WITH RECURSIVE {_EDGES}, kept AS (SELECT src, dst FROM edges WHERE dst % 3 <> 0),
+  walk AS (SELECT 0::BIGINT AS node, 0 AS depth UNION SELECT dst, depth + 1 FROM walk JOIN kept ON src = node WHERE depth < 4) SELECT node, min(depth) AS depth FROM walk GROUP BY node""")
+def crawl_filtered(spark, d):
+    return _frontier(spark, d, F.col("dst") % 3 != 0).select("node", "depth")
+
+
+#: A crawl over extracted links from the first page, to depth 2 on its host.
+_CRAWL = f"""WITH {_LINKS}, seed AS (SELECT url, lower(regexp_extract(url, '^https?://([^/?#]+)', 1)) AS host FROM pages ORDER BY page_id LIMIT 1),
+  hops AS (SELECT DISTINCT links.url, link FROM links, seed WHERE lower(regexp_extract(link, '^https?://([^/?#]+)', 1)) = seed.host),
+  d0 AS (SELECT url, 0 AS depth, NULL AS parent_url FROM seed),
+  d1 AS (SELECT link AS url, 1 AS depth, min(hops.url) AS parent_url FROM hops JOIN d0 ON d0.url = hops.url WHERE link NOT IN (SELECT url FROM d0) GROUP BY link),
+  d2 AS (SELECT link AS url, 2 AS depth, min(hops.url) AS parent_url FROM hops JOIN d1 ON d1.url = hops.url WHERE link NOT IN (SELECT url FROM d0) AND link NOT IN (SELECT url FROM d1) GROUP BY link),
+  found AS (FROM d0 UNION ALL FROM d1 UNION ALL FROM d2),
+  crawled AS (SELECT url, depth, parent_url, CASE WHEN url IN (SELECT url FROM pages) THEN 200 ELSE 0 END AS status_code, CASE WHEN url IN (SELECT url FROM pages) THEN 'text/html' ELSE 'unknown' END AS content_type,
+    'internal' AS link_type, CASE WHEN url NOT IN (SELECT url FROM pages) THEN 'Request failed' END AS skipped_reason FROM found)"""
+
+
+def _crawl(spark, d):
+    pages = table(spark, d, "pages")
+    seed = pages.orderBy("page_id").select("url").first()[0]
+    links = scraped(spark, d).select("url", F.explode("links").alias("link"))
+    return cr.crawl(pages, links, seed, 2, cap=None).drop("crawl_ms")
+
+
+@query(f"{_CRAWL} SELECT * FROM crawled")
+def crawl_links(spark, d):
+    return _crawl(spark, d)
+
+
+@query(f"{_CRAWL} SELECT url, parent_url, skipped_reason FROM crawled WHERE status_code = 0")
+def crawl_failed(spark, d):
+    return _crawl(spark, d).where("status_code = 0").select("url", "parent_url", "skipped_reason")
+
+
+@query(f"""WITH {_EXTRACT}, want AS (SELECT url FROM pages UNION ALL SELECT url || '/gone' FROM pages WHERE page_id % 5 = 0)
+  SELECT w.url, coalesce(title, '') AS title, coalesce(word_count, 0) AS word_count, coalesce(language, 'unknown') AS language, coalesce(content_hash, '') AS content_hash, coalesce(status, 'FAILED') AS status,
+  CASE WHEN page_id IS NULL THEN 0 ELSE 200 END AS status_code, CASE WHEN page_id IS NULL THEN 'unknown' ELSE 'text/html' END AS content_type, CASE WHEN page_id IS NULL THEN 'navigation failed' END AS error_message FROM want w LEFT JOIN ex USING (url)""")
+def scrape_failed(spark, d):
+    """HTTP data and failed records: a fifth of the urls is not in the corpus."""
+    pages = table(spark, d, "pages")
+    want = pages.select("url").unionByName(pages.where("page_id % 5 = 0").select(F.concat("url", F.lit("/gone")).alias("url")))
+    return extract.scrape(fetch(pages, want)).select("url", "title", "word_count", "language", "content_hash", "status", "status_code", "content_type", "error_message")
+
+
+@query(f"""WITH {_LINKS}, n AS (SELECT page_id, pos, link, {_NORM.format(c="link || CASE WHEN page_id % 2 = 0 THEN '#x' ELSE '' END")} AS norm FROM links) SELECT norm, max((page_id, pos))[1] AS page_id, max((page_id, pos))[2] AS pos FROM n GROUP BY norm""")
+def last_scrape(spark, d):
+    """Of records with the same normalised url the last one."""
+    own = page_links(spark, d).withColumn("url", F.concat("link", F.when(F.col("page_id") % 2 == 0, "#x").otherwise("")))
+    return validate.last_of_each(own.withColumn("at", F.struct("page_id", "pos")).drop("link"), "at").select("norm", "page_id", "pos")
+
+
+@query("SELECT event_id, strftime(ts, '%Y-%m-%dT%H-%M-%S') AS slug, strftime(ts, '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS iso FROM events")
+def time_slug(spark, d):
+    ts = F.col("ts").cast("timestamp")
+    return table(spark, d, "events").select("event_id", tx.time_slug(ts).alias("slug"), tx.iso_time(ts).alias("iso"))
+
+
+@query("SELECT page_id, trim(split_part(c, ';', 1)) AS base FROM (SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'text/html; charset=utf-8' WHEN 1 THEN ' application/xml ;q=1;b' ELSE 'text/plain' END AS c FROM pages)")
+def content_type(spark, d):
+    c = F.when(F.col("page_id") % 3 == 0, "text/html; charset=utf-8").when(F.col("page_id") % 3 == 1, " application/xml ;q=1;b").otherwise("text/plain")
+    return table(spark, d, "pages").select("page_id", tx.content_type_base(c).alias("base"))
 
 
 _CRAWLED = f"{_LINKS}, crawled AS (SELECT url FROM pages UNION ALL SELECT link FROM links), want AS (SELECT DISTINCT {_NORM.format(c='url')} AS url FROM crawled), have AS (SELECT {_NORM.format(c='url')} AS url FROM pages), missing AS (SELECT url FROM want WHERE url NOT IN (SELECT url FROM have))"
@@ -223,7 +289,7 @@ def failed_top10(spark, d):
 @query(f"WITH {_EXTRACT} SELECT page_id, url, title, word_count FROM ex WHERE url = (SELECT url FROM pages ORDER BY page_id LIMIT 1)")
 def scrape_one(spark, d):
     url = table(spark, d, "pages").orderBy("page_id").select("url").first()[0]
-    return extract.scrape(fetch_one(table(spark, d, "pages"), url)).select("page_id", "url", "title", "word_count")
+    return extract.scrape(fetch_one(table(spark, d, "pages"), url), native=True).select("page_id", "url", "title", "word_count")
 
 
 _MARKDOWN = """'# ✓ ' || CASE WHEN title = '' THEN 'Untitled Page' ELSE title END || chr(10) || chr(10) || '## Metadata' || chr(10) || chr(10) || '| Field | Value |' || chr(10) || '|-------|-------|' || chr(10)
@@ -279,6 +345,12 @@ def json_rows(spark, d):
     return formatters.json_rows(scraped(spark, d)).select("page_id", "url", "title", "content", *(f"metadata.{c}" for c in ("word_count", "language", "content_hash", "status", "status_code", "content_type", "depth")))
 
 
+@query(f"""WITH {_EXTRACT}, {_LINKS}, l AS (SELECT page_id, count(*) AS n, list(link ORDER BY pos) AS ls FROM links GROUP BY 1)
+  SELECT page_id, to_json({{'url': url, 'title': title, 'linkCount': coalesce(n, 0), 'links': coalesce(ls, [])}})::VARCHAR AS formatted FROM ex LEFT JOIN l USING (page_id)""")
+def links_only_json(spark, d):
+    return formatters.formatted_rows(scraped(spark, d), "LINKS_ONLY").select("page_id", "formatted")
+
+
 @query("SELECT doc_id, source FROM documents ORDER BY doc_id LIMIT 100 OFFSET 200")
 def paginate_docs(spark, d):
     return paging.page_of(table(spark, d, "documents").select("doc_id", "source"), ["doc_id"], 3, 100)
@@ -295,26 +367,44 @@ _LOG = """log AS (SELECT user_id || '-' || strftime(ts, '%Y%m%d') AS job_id, eve
   own AS (SELECT log.*, z FROM log LEFT JOIN ends USING (job_id) WHERE z IS NULL OR (ts, seq) <= (z[1], z[2])),
   job AS (SELECT job_id, min(ts) AS created_at, min(ts) FILTER (e = 'view') AS started_at, any_value(z[1]) AS completed_at,
     CASE any_value(z[3]) WHEN 'purchase' THEN 'COMPLETED' WHEN 'error' THEN 'FAILED' ELSE coalesce(max(CASE WHEN e IN ('signup', 'view') THEN (ts, seq, CASE e WHEN 'view' THEN 'RUNNING' ELSE 'QUEUED' END) END)[3], 'QUEUED') END AS status,
-    coalesce(max(CASE WHEN e = 'click' THEN (ts, seq, k) END)[3], 0) AS crawl_completed, CASE WHEN count(*) FILTER (e = 'click') > 0 THEN 60 ELSE 0 END::BIGINT AS crawl_total, max(ts) AS updated_at FROM own GROUP BY 1)"""
+    split_part(job_id, '-', 1)::BIGINT AS u, count(*) FILTER (e = 'signup') > 0 AS asked, coalesce(max(CASE WHEN e = 'click' THEN (ts, seq, k) END)[3], 0) AS crawl_completed, CASE WHEN count(*) FILTER (e = 'click') > 0 THEN 60 ELSE 0 END::BIGINT AS crawl_total, max(ts) AS updated_at FROM own GROUP BY 1)"""
 
 
-def job_log(events: DataFrame) -> DataFrame:
-    e = F.col("event_type")
+def job_log(events: DataFrame, configs: bool = False) -> DataFrame:
+    """The log; with configs, each signup also tells a request."""
+    e, u = F.col("event_type"), F.col("user_id").cast("string")
     kind = F.when(e == "click", "crawl").otherwise("status")
     value = F.when(e == "signup", "QUEUED").when(e == "view", "RUNNING").when(e == "purchase", "COMPLETED").when(e == "error", "FAILED")
-    return events.select(
-        F.concat_ws("-", F.col("user_id").cast("string"), F.date_format("ts", "yyyyMMdd")).alias("job_id"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts"), kind.alias("kind"), value.alias("value"),
-        F.get_json_object("props", "$.k").cast("long").alias("completed"), F.lit(60).cast("long").alias("total"),
+    mode = F.element_at(F.array(F.lit("CRAWL_ONLY"), F.lit("SCRAPE_ONLY"), F.lit("CRAWL_AND_SCRAPE")), (F.col("user_id") % 3 + 1).cast("int"))
+    asked = F.to_json(F.struct(F.concat(F.lit("http://u"), u, F.lit(".example/")).alias("seedUrl"), F.when(F.col("user_id") % 2 == 0, F.concat(F.lit("org "), u)).alias("orgName"), mode.alias("operationMode")))
+    own = events.select(
+        F.concat_ws("-", u, F.date_format("ts", "yyyyMMdd")).alias("job_id"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts"), kind.alias("kind"), value.alias("value"),
+        F.get_json_object("props", "$.k").cast("long").alias("completed"), F.lit(60).cast("long").alias("total"), F.when(e == "signup", asked).alias("asked"),
     )
+    if not configs:
+        return own.drop("asked")
+    told = F.array(F.struct("kind", "value"), F.struct(F.lit("config").alias("kind"), F.col("asked").alias("value")))
+    both = own.withColumn("x", F.explode(F.when(F.col("asked").isNotNull(), told).otherwise(F.slice(told, 1, 1))))
+    return both.select("job_id", "seq", "ts", "x.kind", "x.value", "completed", "total")
 
 
 def _jobs(spark, d):
     return jobs.fold(job_log(table(spark, d, "events")))
 
 
-@query(f"WITH {_LOG} SELECT job_id, status, created_at::TIMESTAMP AS created_at, started_at::TIMESTAMP AS started_at, completed_at::TIMESTAMP AS completed_at FROM job")
+_AS_OF = "2024-01-20 12:00:00"
+_P = "CASE WHEN crawl_total = 0 AND crawl_completed = 0 THEN 0 ELSE (200 * crawl_completed + greatest(crawl_total, crawl_completed)) // (2 * greatest(crawl_total, crawl_completed)) END"
+_DURATION = "CASE WHEN duration_ms < 1000 THEN duration_ms || 'ms' WHEN s >= 3600 THEN s // 3600 || 'h ' || (s // 60) % 60 || 'm ' || s % 60 || 's' WHEN s >= 60 THEN s // 60 || 'm ' || s % 60 || 's' ELSE s || 's' END"
+
+
+@query(f"""WITH {_LOG}, m AS (SELECT *, CASE WHEN asked THEN ['CRAWL_ONLY', 'SCRAPE_ONLY', 'CRAWL_AND_SCRAPE'][u % 3 + 1] ELSE 'CRAWL_AND_SCRAPE' END AS mode, {_P} AS p,
+    coalesce((epoch_us(coalesce(completed_at, TIMESTAMP '{_AS_OF}')) // 1000) - (epoch_us(started_at) // 1000), 0)::BIGINT AS duration_ms FROM job), t AS (SELECT *, duration_ms // 1000 AS s FROM m)
+  SELECT job_id, CASE WHEN asked THEN 'http://u' || u || '.example/' END AS seed_url, CASE WHEN asked AND u % 2 = 0 THEN 'org ' || u END AS org_name, mode, status,
+    CASE mode WHEN 'CRAWL_ONLY' THEN p WHEN 'SCRAPE_ONLY' THEN 0 ELSE (8 * p + 10) // 20 END::BIGINT AS progress, CASE status WHEN 'FAILED' THEN 'ERROR' ELSE 'IDLE' END AS phase,
+    created_at::TIMESTAMP AS created_at, completed_at::TIMESTAMP AS completed_at, CASE WHEN started_at IS NOT NULL THEN {_DURATION} END AS duration FROM t""")
 def job_list(spark, d):
-    return jobs.listed(_jobs(spark, d)).select("job_id", "status", *(F.col(c).cast("timestamp_ntz").alias(c) for c in ("created_at", "started_at", "completed_at")))
+    own = jobs.listed(jobs.fold(job_log(table(spark, d, "events"), configs=True)))
+    return jobs.list_rows(own, F.lit(_AS_OF).cast("timestamp")).withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("created_at", "completed_at")})
 
 
 @query(f"WITH {_LOG} SELECT job_id, status FROM job WHERE status = 'FAILED'")
@@ -327,7 +417,6 @@ def job_stats(spark, d):
     return stats.job_counts(_jobs(spark, d))
 
 
-_P = "CASE WHEN crawl_total = 0 AND crawl_completed = 0 THEN 0 ELSE (200 * crawl_completed + greatest(crawl_total, crawl_completed)) // (2 * greatest(crawl_total, crawl_completed)) END"
 _MS = "((epoch_us(updated_at) // 1000) - (epoch_us(started_at) // 1000))"
 
 
@@ -342,15 +431,12 @@ def job_progress(spark, d):
   SELECT *, CASE WHEN eta_seconds <= 0 THEN '--' WHEN eta_seconds < 60 THEN '~' || eta_seconds || 's' ELSE '~' || eta_seconds // 60 || 'm ' || eta_seconds % 60 || 's' END AS eta FROM x""")
 def job_eta(spark, d):
     own = jobs.phase_progress(_jobs(spark, d), F.lit("CRAWL_AND_SCRAPE"))
-    items = jobs.item_progress(own.drop("overall", "eta_seconds")).select("job_id", F.col("eta_seconds").alias("eta_by_items"))
-    return own.select("job_id", "eta_seconds").join(items, "job_id").select("job_id", "eta_seconds", "eta_by_items", F.when(F.col("eta_seconds").isNotNull(), tx.eta(F.col("eta_seconds"))).alias("eta"))
-
-
-_AS_OF = "2024-01-20 12:00:00"
+    both = jobs.item_progress(own.withColumnRenamed("eta_seconds", "by_phases")).withColumnsRenamed({"eta_seconds": "eta_by_items", "by_phases": "eta_seconds"})
+    return both.select("job_id", "eta_seconds", "eta_by_items", F.when(F.col("eta_seconds").isNotNull(), tx.eta(F.col("eta_seconds"))).alias("eta"))
 
 
 @query(f"""WITH {_LOG}, x AS (SELECT job_id, coalesce((epoch_us(coalesce(completed_at, TIMESTAMP '{_AS_OF}')) // 1000) - (epoch_us(started_at) // 1000), 0)::BIGINT AS duration_ms FROM job), s AS (SELECT *, duration_ms // 1000 AS s FROM x)
-  SELECT job_id, duration_ms, CASE WHEN duration_ms < 1000 THEN duration_ms || 'ms' WHEN s >= 3600 THEN s // 3600 || 'h ' || (s // 60) % 60 || 'm ' || s % 60 || 's' WHEN s >= 60 THEN s // 60 || 'm ' || s % 60 || 's' ELSE s || 's' END AS duration FROM s""")
+  SELECT job_id, duration_ms, {_DURATION} AS duration FROM s""")
 def job_duration(spark, d):
     return jobs.durations(_jobs(spark, d), F.lit(_AS_OF).cast("timestamp")).select("job_id", "duration_ms", "duration")
 
@@ -362,16 +448,14 @@ def ttl_cleanup(spark, d):
 
 @query(f"WITH {_LOG} SELECT user_id || '-' || strftime(ts, '%Y%m%d') AS job_id, count(*) AS events, max(event_id) AS last_event, count(*) FILTER (event_type = 'error') AS errors FROM events GROUP BY 1")
 def stream_job_fold(spark, d):
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="corpusloom-")
     log = job_log(stream_jobs.event_stream(spark, d, "events"))
     counts = log.groupBy("job_id").agg(F.count(F.lit(1)).alias("events"), F.max("seq").alias("last_event"), F.count_if(F.col("value") == "FAILED").alias("errors"))
-    return stream_jobs.run_available(counts, f"{base}/streams/{uuid.uuid4().hex}")
+    return stream_jobs.run_available(counts, f"{shared_dir(spark)}/streams/{uuid.uuid4().hex}")
 
 
-@query(SQL["job_list"])
+@query(f"WITH {_LOG} SELECT job_id, status, created_at::TIMESTAMP AS created_at, started_at::TIMESTAMP AS started_at, completed_at::TIMESTAMP AS completed_at FROM job")
 def stream_job_list(spark, d):
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="corpusloom-")
-    rows = stream_jobs.run_available(stream_jobs.fold_all(job_log(stream_jobs.event_stream(spark, d, "events"))), f"{base}/streams/{uuid.uuid4().hex}")
+    rows = stream_jobs.run_available(stream_jobs.fold_all(job_log(stream_jobs.event_stream(spark, d, "events"))), f"{shared_dir(spark)}/streams/{uuid.uuid4().hex}")
     return rows.select("job_id", "status", *(F.col(c).cast("timestamp_ntz").alias(c) for c in ("created_at", "started_at", "completed_at")))
 
 
@@ -389,10 +473,10 @@ _IS = "regexp_matches(seed, '^https?://[^ /?#]+')"
 @query(f"""WITH r(id, seed, depth, mode, format) AS (VALUES {_VALUES})
   SELECT id, CASE WHEN coalesce(seed, '') = '' THEN '{requests.MISSING}' WHEN NOT {_IS} THEN '{requests.BAD_URL}' WHEN coalesce(mode, '') NOT IN {_in(MODES)} THEN '{requests.BAD_MODE}' WHEN coalesce(format, 'JSON') NOT IN {_in(FORMATS)} THEN '{requests.BAD_FORMAT}' END AS error_v1,
   CASE WHEN coalesce(seed, '') = '' THEN '{requests.MISSING}' WHEN NOT {_IS} THEN '{requests.BAD_SEED}' WHEN mode NOT IN {_in(MODES)} THEN '{requests.BAD_MODE}' WHEN format NOT IN {_in(FORMATS)} THEN '{requests.BAD_FORMAT}' WHEN depth < 0 OR depth > 10 THEN '{requests.BAD_DEPTH}' END AS error_v2,
-  least(greatest(coalesce(depth, 1), 0), 5) AS depth_v1, coalesce(depth, 2) AS depth_v2, coalesce(mode, 'CRAWL_AND_SCRAPE') AS mode_v2 FROM r""")
+  CASE WHEN coalesce(seed, '') = '' THEN '{requests.MISSING}' WHEN NOT {_IS} THEN '{requests.BAD_URL}' END AS error_single_pass, least(greatest(coalesce(depth, 1), 0), 5) AS depth_v1, coalesce(depth, 2) AS depth_v2, coalesce(mode, 'CRAWL_AND_SCRAPE') AS mode_v2 FROM r""")
 def request_validation(spark, d):
     own = spark.createDataFrame([(i, *r) for i, r in enumerate(_REQUESTS)], "id int, seedUrl string, depth int, operationMode string, outputFormat string")
-    return requests.checked(own).select("id", "error_v1", "error_v2", "depth_v1", "depth_v2", "mode_v2")
+    return requests.checked(own).select("id", "error_v1", "error_v2", "error_single_pass", "depth_v1", "depth_v2", "mode_v2")
 
 
 def queries() -> dict:

@@ -15,6 +15,11 @@ def test_job_from_start_to_export(spark, tmp_path):
     assert service.runner.wait(job, 120) == "COMPLETED"
     assert service.status(job)["status"] == "COMPLETED" and service.status("none") is None and service.progress("none") is None
     assert service.stats().first().completed == 1 and service.list("FAILED").count() == 0
+    row = service.list().first()
+    assert (row.seed_url, row.org_name, row.mode, row.progress, row.phase) == ("http://s.example/", "An Org", "CRAWL_AND_SCRAPE", 100, "COMPLETED") and row.duration
+    own = service.status(job)
+    assert own["summary"] == {"org_name": "An Org", "urls_discovered": 2, "pages_scraped": 2, "validation": {"total_crawled": 2, "total_scraped": 2, "success_rate": 100.0, "completeness_rate": 100.0}}
+    assert (own["crawl_completed"], own["crawl_total"], own["scrape_completed"], own["scrape_total"]) == (2, 2, 2, 2)
     page = service.results(job, "scraped", "1", "1", "MARKDOWN")
     assert page["pagination"]["total"] == 2 and page["data"].count() == 1 and page["statistics"]["total_pages"] == 1
     assert service.results(job, "crawled")["data"].count() == 2

@@ -64,7 +64,7 @@ def test_is_http(spark):
 
 def test_organisation(spark):
     rows = ["http://www.x.edu/", "http://a.b.edu", "http://sub.x.com/", "http://localhost/", "%%"]
-    assert values(spark, urls.organisation, rows) == ["x", "b", "sub", "localhost", "unknown-organisation"]
+    assert values(spark, urls.organisation, rows) == ["x", "b", "sub", "localhost", "unknown-university"]
 
 
 @pytest.mark.parametrize(("name", "want"), [("A b--C", "a-b-c"), ("--x--", "x"), ("é", ""), ("a" * 60, "a" * 50)])

@@ -36,7 +36,7 @@ def test_fold(spark):
 
 
 def test_runner(spark):
-    runner = jobs.JobRunner(spark, lambda s, c: {"crawled": s.range(c["n"])} if c["n"] else 1 / 0)
+    runner = jobs.JobRunner(spark, lambda s, c, tell: {"crawled": s.range(c["n"])} if c["n"] else 1 / 0)
     good, bad = runner.submit({"n": 3}), runner.submit({"n": 0})
     assert runner.wait(good, 60) == "COMPLETED" and runner.wait(bad, 60) == "FAILED"
     assert runner.result(good, "crawled").count() == 3 and not runner.cancel(good)
@@ -45,8 +45,44 @@ def test_runner(spark):
     assert runner.delete(good) and runner.status(good) is None
 
 
+def test_progress_of_a_running_job(spark):
+    """What is polled while a job runs: phases, counts, per cent and time left; then its end."""
+    import threading
+
+    go, told = threading.Event(), threading.Event()
+
+    def work(s, c, tell):
+        tell("phase", "CRAWLING")
+        tell("crawl", completed=5, total=10)
+        told.set()
+        go.wait(30)
+        tell("scrape", completed=10, total=10)
+        return {}
+
+    runner = jobs.JobRunner(spark, work)
+    job = runner.submit({"seedUrl": "http://a.b/", "orgName": "An Org", "operationMode": None})
+    assert told.wait(30)
+    now = jobs.fold(runner.log())
+    row = jobs.list_rows(now, F.current_timestamp()).first()
+    assert (row.seed_url, row.org_name, row.mode, row.status, row.phase, row.progress) == ("http://a.b/", "An Org", "CRAWL_AND_SCRAPE", "RUNNING", "CRAWLING", 20)
+    assert jobs.item_progress(now).first().overall == 50
+    go.set()
+    assert runner.wait(job, 30) == "COMPLETED"
+    row = jobs.list_rows(jobs.fold(runner.log()), F.current_timestamp()).first()
+    assert (row.status, row.phase, row.progress) == ("COMPLETED", "COMPLETED", 80) and row.completed_at and row.duration
+
+
+def test_ended_jobs_are_forgotten(spark):
+    runner = jobs.JobRunner(spark, lambda s, c, tell: {}, ttl_ms=300)
+    job = runner.submit({})
+    assert runner.wait(job, 30) == "COMPLETED"
+    time.sleep(0.5)
+    other = runner.submit({})
+    assert runner.status(job) is None and job not in runner.outcomes and job not in runner.threads and runner.status(other)
+
+
 def test_cancelled_job_stays_cancelled(spark):
-    runner = jobs.JobRunner(spark, lambda s, c: time.sleep(1) or {})
+    runner = jobs.JobRunner(spark, lambda s, c, tell: time.sleep(1) or {})
     job = runner.submit({})
     assert runner.cancel(job) and runner.wait(job, 30) == "CANCELLED"
 

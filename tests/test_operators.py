@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from corpusloom.operators import crawl, extract, formatters, paging, stats, validate
 from corpusloom.plans import export
 from corpusloom.plans.engine import Engine
+from corpusloom.sources.pages import fetch
 
 PAGE = "<html><title>T&amp;x</title><body><article><h1>H</h1><p>The cat is here.</p><a href='/b'>b</a></article></body></html>"
 
@@ -22,6 +23,25 @@ def test_native_and_tree_agree(spark, small):
     assert native == tree
 
 
+def test_paths_on_irregular_pages(spark):
+    """Other content places, single quotes and elements to cut out: only the tree path takes them."""
+    html = "<TITLE>T</TITLE><body><nav>menu</nav><main><h1>H</h1>text<aside>gone</aside><a href='/b'>b</a></main></body>"
+    pages = spark.createDataFrame([(1, "http://s.example/", html)], "page_id long, url string, html string")
+    tree, native = extract.scrape(pages).first(), extract.scrape(pages, native=True).first()
+    assert (tree.title, tree.headings, tree.content, tree.links) == ("T", ["H"], "Htextb", ["http://s.example/b"])
+    assert (native.title, native.content, native.links) == ("", "", [])
+
+
+def test_fetch(spark):
+    """Of rows of one url, the one with html and the smallest page_id; nulls and repeated urls in what is wanted."""
+    pages = spark.createDataFrame([(3, "u", "c"), (1, "u", None), (2, "u", "b"), (4, "v", None), (5, None, "x")], "page_id long, url string, html string")
+    want = spark.createDataFrame([("u",), ("u",), ("v",), ("w",), (None,)], "url string")
+    assert sorted(map(tuple, fetch(pages, want).collect()), key=str) == sorted([("u", "b"), ("u", "b"), ("v", None), ("w", None), (None, None)], key=str)
+    assert fetch(pages.drop("page_id"), want.limit(1)).first().html == "b"
+    plan = fetch(pages, want)._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan  # what is not wanted leaves before pages are grouped
+
+
 @pytest.mark.parametrize("native", [True, False])
 def test_failed_page(site, native):
     r = extract.scrape(site, native).where("page_id = 4").first()
@@ -39,6 +59,11 @@ def test_crawl(spark, site):
     alone = crawl.crawl(site, links, "http://absent.example/", 3, include_subpages=False).collect()
     assert [(r.url, r.status_code) for r in alone] == [("http://absent.example/", 200)]
     assert crawl.crawl(site, links, "http://s.example/", 2, cap=2).count() == 2
+    counts = []
+    assert crawl.crawl(site, links, "http://s.example/", 5, cap=3, on_level=counts.append).count() == 3 and counts == [1, 3]  # the cap ends the search
+    assert crawl.crawl(site, links, "http://s.example/", 2, cap=None).count() == 4
+    twice = site.unionByName(site)
+    assert crawl.crawl_and_scrape(twice, links, "http://s.example/", 2).count() == 3
     assert {r.depth for r in crawl.crawl_and_scrape(site, links, "http://s.example/", 2).collect()} == {0, 1}
 
 
@@ -88,7 +113,12 @@ def test_formats(site):
         assert "s.example" in text and "now" in text
     import json
 
-    assert len(json.loads("".join(formatters.document(rows, "SUMMARY", "page_id", "now")))["results"]) == 4
+    out = json.loads("".join(formatters.document(rows, "SUMMARY", "page_id", "now")))
+    assert len(out["results"]) == 4 and out["statistics"]["languageBreakdown"] == {"en": 3, "unknown": 1} and out["statistics"]["successRate"] == "75.0%"
+    assert set(out["statistics"]) == {"totalPages", "successCount", "failedCount", "successRate", "totalWords", "averageWordsPerPage", "totalLinks", "averageScrapeTimeMs", "languageBreakdown"}
+    assert set(out["results"][0]["analysis"]) == {"wordCount", "language", "contentHash"} and set(out["results"][0]["timing"]) == {"scrapedAt", "scrapeDurationMs", "depth"}
+    out = json.loads("".join(formatters.document(rows, "JSON", "page_id", "now")))
+    assert {"statusCode", "contentType", "errorMessage"} <= set(out["results"][3]["metadata"])
     assert formatters.output_name("MARKDOWN") == ("scrape-output.md", "text/markdown")
 
 
