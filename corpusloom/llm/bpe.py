@@ -250,7 +250,8 @@ SCHEMA = "doc_id long, ids binary, decoded string"
 def encode_texts(df: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None, decode: bool = True) -> DataFrame:
     """(doc_id, ids, decoded) for every row: ids as little-endian unsigned 32-bit numbers, and the text they give.
 
-    A null text is an empty one and has no ids. Keys are passed on as they are; other columns are not looked at.
+    A null text is an empty one and has no ids. Keys are passed on as they are, nulls too; repeated rows are encoded each;
+    an empty table gives no rows; other columns are not looked at, whatever their names.
     """
     path = path or default_path()
 

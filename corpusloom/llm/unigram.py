@@ -89,7 +89,8 @@ SCHEMA = "doc_id long, n_words long, n_tokens long"
 
 
 def count_tokens(df: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
-    """(doc_id, n_words, n_tokens) for every row; a null or empty text, or one of separators only, has 0 of both."""
+    """(doc_id, n_words, n_tokens) for every row; a null or empty text, or one of separators only, has 0 of both.
+    Repeated rows are counted each and null keys passed on; an empty table gives no rows; other columns are not looked at."""
     if path is None:
         from corpusloom.llm.bpe import default_path
 

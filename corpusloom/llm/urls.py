@@ -105,7 +105,7 @@ def filter_urls(df: DataFrame, rules: list[Rule], key: str = "page_id", url: str
     """(key, host, path, rule, verdict) for every row. Null urls and urls without :// have an empty host and path and
     get the default. Repeated rows are judged each; an empty table gives none; other columns are not looked at."""
     own = df.select(F.col(key).alias("key"), host_of(url).alias("host"), path_of(url).alias("path"))
-    if sum(len(h) + len(p) for _, h, p in rules) <= most_bytes:
+    if sum(len(h.encode()) + len(p.encode()) for _, h, p in rules) <= most_bytes:
         own = judge_by_trie(own, rules, default)
     else:
         own = own.withColumn("n", F.monotonically_increasing_id())

@@ -1,4 +1,6 @@
+import itertools
 import random
+import re
 
 import pytest
 
@@ -22,6 +24,43 @@ def cheapest(roles):
     return best[0]
 
 
+def plain_cheapest(roles):
+    """Least cost over all ways to treat each row, told legal by a pattern; shares nothing with the operator. S, U and A
+    are roles, a merge costs 1 into its own role and 3 into another, another role 2, an empty turn 2."""
+    ways, best = [("merge", "", "")] + [("turn", x, y) for x in ("", "S", "U", "A") for y in "SUA"], 1 << 30
+    for choice in itertools.product(ways, repeat=len(roles)):
+        turns, cost = "", 0
+        for role, (kind, before, own) in zip(roles, choice, strict=True):
+            if kind == "merge":
+                if not turns:
+                    break
+                cost += 1 if turns[-1] == role else 3
+            else:
+                turns += before + own
+                cost += 2 * len(before) + 2 * (own != role)
+        else:
+            best = min([best, *(cost + 2 * len(end) for end in ("", "A", "UA") if re.fullmatch("S?(UA)+", turns + end))])
+    return best
+
+
+def test_search_is_that_of_a_plain_one():
+    """The dynamic program, and the search that tests it, against all ways for short conversations."""
+    letters = {"S": chat.SYSTEM, "U": chat.USER, "A": chat.ASSISTANT, "-": chat.NONE}
+    for n in (1, 2, 3):
+        for roles in itertools.product("SUA-", repeat=n):
+            codes = [letters[x] for x in roles]
+            cost, _ = chat.solve(codes, chat.NONE)
+            assert plain_cheapest(roles) == cheapest(codes) == min(c + chat.CLOSING[e] for e, c in enumerate(cost))
+
+
+def test_clashing_columns(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(1, 0, "user", "hi"), (1, 1, "user", "there")], "conv_id long, turn long, role string, text string")
+    more = df.withColumns({c: F.lit(c) for c in ("part", "nth", "d", "x", "kind", "pair", "conv", "costs", "final", "fragment", "id")})
+    assert sorted(map(tuple, chat.repair_roles(more).collect()), key=str) == sorted(map(tuple, chat.repair_roles(df).collect()), key=str)
+
+
 def cost_of(rows):
     """Cost of a result, testing that it is legal."""
     cost, state = 0, chat.NONE

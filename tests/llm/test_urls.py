@@ -42,5 +42,16 @@ def test_sql(spark, pages, small):
         assert got == want
 
 
+def test_repeated_rows(pages):
+    got = sorted(map(tuple, urls.filter_urls(pages.unionByName(pages), RULES).collect()), key=str)
+    assert got == sorted(2 * list(map(tuple, urls.filter_urls(pages, RULES).collect())), key=str)
+
+
+def test_bound_counts_bytes(pages):
+    """The trie is sent only if its entries are few in bytes, not in characters; both ways give the same."""
+    rules = [("block", "com", "/é" * 3)]
+    assert sorted(map(tuple, urls.filter_urls(pages, rules, most_bytes=9).collect()), key=str) == sorted(map(tuple, urls.filter_urls(pages, rules, most_bytes=99).collect()), key=str)
+
+
 def test_empty(pages):
     assert urls.filter_urls(pages.limit(0), RULES).count() == 0
