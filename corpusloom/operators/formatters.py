@@ -1,4 +1,7 @@
-"""Records to text. Each page is one expression; a whole report is assembled from them in order."""
+"""Records to text. Each page is one expression; a whole report is assembled from them in order.
+
+Headings, labels, table rows, class names and field names below are fixed values: readers of the outputs rely on them.
+"""
 
 from __future__ import annotations
 

@@ -1,4 +1,5 @@
 import os
+import signal
 import sys
 
 import pytest
@@ -8,6 +9,20 @@ sys.path.insert(0, ROOT)
 os.environ["PYTHONPATH"] = ROOT + os.pathsep + os.environ.get("PYTHONPATH", "")
 
 
+@pytest.fixture(autouse=True)
+def time_limit():
+    """No test runs for more than five minutes."""
+
+    def stop(*_):
+        raise TimeoutError("test took more than 300 s")
+
+    old = signal.signal(signal.SIGALRM, stop)
+    signal.alarm(300)
+    yield
+    signal.alarm(0)
+    signal.signal(signal.SIGALRM, old)
+
+
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
     from pyspark.sql import SparkSession
