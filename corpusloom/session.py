@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
@@ -17,9 +19,14 @@ def session(name: str = "corpusloom", **settings: str) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset one in the warehouse."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset it is one in the warehouse, or
+    a temporary one if all of Spark is one process."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return (base or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints").rstrip("/")
+    if not base:
+        alone = spark.sparkContext._jsc.sc().isLocal()
+        base = "file://" + tempfile.mkdtemp(prefix="corpusloom-") if alone else f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
+        spark.conf.set("spark.checkpoint.dir", base)
+    return base.rstrip("/")
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
