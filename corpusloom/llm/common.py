@@ -19,9 +19,9 @@ from corpusloom.session import shared_dir
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Text that one numpy slice holds at most, unless a single document is longer.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 #: Bytes of an Arrow batch, for sessions with Spark's own bound of 64 MB.
-BATCH_BYTES = f"{8 << 20}b"
+BATCH_BYTES = f"{4 << 20}b"
 _BATCH, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", f"{64 << 20}b"
 
 _SEP = np.zeros(256, bool)

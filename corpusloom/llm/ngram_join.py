@@ -36,6 +36,8 @@ WIDTH, PERCENT = 5, 80
 #: The counted share of shingles, as the highest hash; more than the 1/5 that prefixes take.
 COUNTED = np.uint64(int(0.3 * 2**64))
 STAR_ROUNDS = 2
+#: Text of which a shingle is sent once.
+EXCHANGED_BYTES = 2 << 20
 #: Tasks that the nodes of one component are dealt over.
 SALTS = 16
 
@@ -67,7 +69,7 @@ def _shingled(percent: int, width: int):
         part, number = TaskContext.get().partitionId(), 0
         for batch in batches:
             texts = column(batch, "t").fill_null("")
-            for lo, hi in slices(texts):
+            for lo, hi in slices(texts, EXCHANGED_BYTES):
                 sets = shingle_sets(texts[lo:hi], width)
                 n = np.array([len(s) for s in sets], np.int64)
                 counted = np.array([int(np.searchsorted(s, COUNTED)) for s in sets], np.int64)
@@ -174,7 +176,7 @@ def _set_rows(width: int):
         part, number = TaskContext.get().partitionId(), 0
         for batch in batches:
             texts = column(batch, "t")
-            for lo, hi in slices(texts):
+            for lo, hi in slices(texts, EXCHANGED_BYTES):
                 sets = shingle_sets(texts[lo:hi], width)
                 cells = [column(batch, "c")[lo:hi].to_numpy(), np.array([len(s) for s in sets], np.int64), np.concatenate(sets)]
                 yield pa.record_batch([pa.array([(part << 32) + number], pa.int64()), *(pa.array([c.tobytes()], pa.binary()) for c in cells)], [x.split()[0] for x in SETS.split(", ")])
