@@ -179,3 +179,14 @@ def windows(hashes: np.ndarray, width: int, seed: int) -> np.ndarray:
         for j in range(1, width):
             total += hashes[j : n + j] * factors[j]
     return mix(total)
+
+
+def sql_words(text: str) -> str:
+    """SQL of the words of documents, one a row: (doc_id, word, i, n_words)."""
+    return rf"""SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i, len(w) AS n_words
+      FROM (SELECT doc_id, regexp_extract_all({text}, '[^\x20\x09-\x0D]+') AS w FROM documents)"""
+
+
+def sql_window(width: int) -> str:
+    """SQL of the words of the window that begins at a row, null at the end of a text; `doc` is the window clause."""
+    return " || ' ' || ".join(["word", *(f"lead(word, {k}) OVER doc" for k in range(1, width))])

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import Words, column, forget, mix, parquet, parts_for, settle, slices, windows, written
+from corpusloom.llm.common import Words, column, forget, mix, parquet, parts_for, settle, slices, sql_window, sql_words, windows, written
 from corpusloom.llm.exchange import blobs, bucket_edges, buckets_for, i64, key_filter, u64
 
 WIDTH, PERCENT = 5, 80
@@ -302,8 +302,8 @@ def _cross(postings: DataFrame, labels: DataFrame, done: DataFrame | None, star:
 def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """(b, nth, k, id, n_shingles, class_id, component, component_id) for every row of df.
 
-    k is the key, id the hash of the text, (b, nth) the place of the row in the slices, class_id and component are
-    numbers of one run, and component_id is the smallest key of the component.
+    k is the key, id the hash of the text, (b, nth) the place of the row in the slices, class_id is the
+    smallest key of the rows with that set, component a number of one run, and component_id the smallest key of the component.
 
     A text without words, or a null one, has no shingles, is linked with nothing and is a component of its own row's
     key. Texts with equal sets are one class, with similarity 1. Component ids are the smallest keys; null keys are
@@ -359,7 +359,7 @@ def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", w
     forget(postings)
     lows = classes.select("h1", "h2", "n", "c", "low").join(labels, "c", "left").withColumn("label", F.coalesce("label", "c"))
     smallest = lows.groupBy("label").agg(F.min("low").alias("component_id"))
-    lows = lows.join(smallest, "label").select("h1", "h2", "n", F.col("c").alias("class_id"), F.col("label").alias("component"), "component_id")
+    lows = lows.join(smallest, "label").select("h1", "h2", "n", F.col("low").alias("class_id"), F.col("label").alias("component"), "component_id")
     out = full.join(lows, ["h1", "h2", "n"]).select("b", "nth", "k", "id", F.col("n").alias("n_shingles"), "class_id", "component", "component_id")
     alone = docs.where("n = 0").select("b", "nth", "k", "id", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("class_id"), F.lit(None).cast("long").alias("component"), F.col("k").alias("component_id"))
     return out.unionByName(alone)
@@ -391,4 +391,28 @@ def op3_ngram_jaccard(spark, sf_dir):
 
 
 QUERIES = {"op3_ngram_jaccard": op3_ngram_jaccard}
-SQL: dict[str, str] = {}
+SQL = {
+    "op3_ngram_jaccard": f"""
+    WITH RECURSIVE words AS ({sql_words("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")}
+    ), shingles AS (
+      SELECT DISTINCT doc_id, content FROM (
+        SELECT doc_id, {sql_window(WIDTH)} AS content FROM words WINDOW doc AS (PARTITION BY doc_id ORDER BY i)
+        UNION ALL SELECT doc_id, string_agg(word, ' ' ORDER BY i) FROM words WHERE n_words < {WIDTH} GROUP BY doc_id
+      ) WHERE content IS NOT NULL
+    ), sets AS (
+      SELECT doc_id, count(*) AS n, sha256(string_agg(content, chr(10) ORDER BY content)) AS of FROM shingles GROUP BY doc_id
+    ), classes AS (
+      SELECT doc_id, n, min(doc_id) OVER (PARTITION BY of) AS class_id FROM sets
+    ), entries AS (
+      SELECT class_id, n, content FROM classes JOIN shingles USING (doc_id) WHERE doc_id = class_id
+    ), links AS (
+      SELECT x.class_id AS x, y.class_id AS y FROM entries x JOIN entries y USING (content)
+      WHERE x.class_id <> y.class_id AND 100 * least(x.n, y.n) >= {PERCENT} * greatest(x.n, y.n)
+      GROUP BY x.class_id, y.class_id, x.n, y.n HAVING 100 * count(*) >= {PERCENT} * (x.n + y.n - count(*))
+    ), reached AS (
+      SELECT DISTINCT class_id AS x, class_id AS y FROM classes
+      UNION SELECT reached.x, links.y FROM reached JOIN links ON reached.y = links.x
+    ), components AS (SELECT x AS class_id, min(y) AS component_id FROM reached GROUP BY x)
+    SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(component_id, doc_id) AS component_id, class_id
+    FROM documents LEFT JOIN classes USING (doc_id) LEFT JOIN components USING (class_id)"""
+}

@@ -20,7 +20,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import parquet, written
+from corpusloom.llm.common import parquet, sql_window, sql_words, written
 
 #: Rules: value in thousandths, from the feature columns.
 RULES = {
@@ -194,5 +194,48 @@ def op6_quality_rules(spark, sf_dir):
     return rate(parquet(spark, sf_dir, "documents"), parquet(spark, sf_dir, "labels"))
 
 
+_VALUES = ", ".join(f"coalesce({over} * 1000 // nullif({under}, 0), 0) AS {rule}" for rule, (over, under) in RULES.items())
+_GRID = ", ".join(f"('{rule}', {cutoff})" for rule, cutoffs in CUTOFFS.items() for cutoff in cutoffs)
+_VALUE = "CASE rule " + " ".join(f"WHEN '{rule}' THEN {rule}" for rule in RULES) + " END"
 QUERIES = {"op6_quality_rules": op6_quality_rules}
-SQL: dict[str, str] = {}
+SQL = {
+    "op6_quality_rules": rf"""
+    WITH texts AS (SELECT doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS t FROM documents
+    ), words AS ({sql_words("text")}
+    ), windows AS (
+      SELECT doc_id, i, {sql_window(5)} AS content FROM words WINDOW doc AS (PARTITION BY doc_id ORDER BY i)
+    ), twice AS (
+      SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, content) AS n FROM windows WHERE content IS NOT NULL) WHERE n > 1
+    ), repeated AS (
+      SELECT doc_id, count(DISTINCT place) AS n_repeat_words FROM (SELECT doc_id, i + unnest(range(5)) AS place FROM twice) GROUP BY doc_id
+    ), lengths AS (SELECT doc_id, count(*) AS n_words, sum(length(word))::BIGINT AS word_chars FROM words GROUP BY doc_id
+    ), lines AS (
+      SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines FROM (SELECT doc_id, unnest(str_split(t, chr(10))) AS line FROM texts)
+      WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id
+    ), features AS (
+      SELECT doc_id, stratum, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0) AS word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]+', '', 'g')) AS n_symbols,
+             coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines, length(t) - length(regexp_replace(t, '[A-Z]+', '', 'g')) AS n_capitals
+      FROM texts LEFT JOIN lengths USING (doc_id) LEFT JOIN lines USING (doc_id) LEFT JOIN repeated USING (doc_id)
+    ), based AS (
+      SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, {_VALUES} FROM features
+    ), grid(rule, cutoff) AS (VALUES {_GRID}
+    ), labelled AS (
+      SELECT doc_id, max((quality > 0)::INT) AS good FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id
+    ), counted AS (
+      SELECT stratum, rule, cutoff, sum(good) AS n, sum(good) FILTER (WHERE {_VALUE} > cutoff) AS k, count(*) FILTER (WHERE {_VALUE} > cutoff AND good = 0) AS bad
+      FROM based JOIN labelled USING (doc_id), grid WHERE NOT base_failed GROUP BY stratum, rule, cutoff
+    ), hits AS (
+      SELECT stratum, rule, max(bad) AS bad, 0.05::DOUBLE * max(bad) / sum(max(bad)) OVER (PARTITION BY stratum) AS share FROM counted GROUP BY stratum, rule
+    ), tested AS (
+      SELECT counted.*, coalesce(k, 0)::BIGINT AS lost, share, (SELECT count(*) FROM hits WHERE bad > 0) AS tests FROM counted JOIN hits USING (stratum, rule) WHERE hits.bad > 0
+    ), tail AS (
+      SELECT *, lost < n AND list_sum(list_transform(range(lost + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln(share) + (n - j) * ln(1 - share)))) <= 0.05 / tests AS within
+      FROM tested WHERE n > 0
+    ), walked AS (
+      SELECT *, bad - 20 * lost AS gain FROM (SELECT *, bool_and(within) OVER (PARTITION BY stratum, rule ORDER BY cutoff DESC) AS certified FROM tail) WHERE certified
+    ), taken AS (
+      SELECT stratum, rule, arg_max(cutoff, (gain, -cutoff)) AS cutoff FROM walked WHERE gain > 0 GROUP BY stratum, rule
+    ), rejected AS (SELECT DISTINCT doc_id FROM based JOIN taken USING (stratum) WHERE {_VALUE} > cutoff)
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND rejected.doc_id IS NULL AS kept
+    FROM based LEFT JOIN rejected USING (doc_id)"""
+}

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import Words, column, forget, mix, parquet, parts_for, settle, slices, windows, written
+from corpusloom.llm.common import Words, column, forget, mix, parquet, parts_for, settle, slices, sql_window, sql_words, windows, written
 from corpusloom.llm.exchange import blobs, bucket_edges, buckets_for, i64, key_filter, u64
 
 WIDTH = 13
@@ -373,4 +373,19 @@ def op10_substring_dedup(spark, sf_dir):
 
 
 QUERIES = {"op10_substring_dedup": op10_substring_dedup}
-SQL: dict[str, str] = {}
+SQL = {
+    "op10_substring_dedup": f"""
+    WITH words AS ({sql_words("text")}
+    ), windows AS (
+      SELECT doc_id, i, {sql_window(WIDTH)} AS content FROM words WINDOW doc AS (PARTITION BY doc_id ORDER BY i)
+    ), late AS (
+      SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY content) AS least FROM windows WHERE content IS NOT NULL) WHERE least < doc_id
+    ), gone AS (
+      SELECT DISTINCT doc_id, i + unnest(range({WIDTH})) AS i FROM late
+    ), kept AS (
+      SELECT doc_id, count(*) AS n_words, count(gone.i) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (WHERE gone.i IS NULL) AS content
+      FROM words LEFT JOIN gone USING (doc_id, i) GROUP BY doc_id
+    )
+    SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(content, '')) AS kept_sha256
+    FROM documents LEFT JOIN kept USING (doc_id)"""
+}
