@@ -7,6 +7,7 @@ text can be cut on bytes without decoding it.
 from __future__ import annotations
 
 import gc
+import hashlib
 import uuid
 from collections.abc import Iterator
 
@@ -86,15 +87,10 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(max(n, 1), np.uint64(base), np.uint64)
-    out[0] = 1
-    with np.errstate(over="ignore"):
-        return np.cumprod(out, dtype=np.uint64)
-
-
-_BYTE = mix(np.arange(256, dtype=np.uint64) + np.uint64(1000))
-_POWERS = _powers(0x2545F4914F6CDD1D, 4096)
+#: Words of up to so many bytes are hashed by table, longer ones one by one.
+TABLE_BYTES = 64
+#: For each of two independent hashes a number for every byte at every place.
+_TABLES = [mix(np.arange(TABLE_BYTES * 256, dtype=np.uint64) + np.uint64(seed << 32)) for seed in (1, 2)]
 
 
 def slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
@@ -145,19 +141,29 @@ class Words:
         self.first = np.searchsorted(self.start, self.offsets)
         self._inside = inside
 
-    def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word, the same on every machine."""
+    def hashes(self, which: int = 0) -> np.ndarray:
+        """A 64-bit hash of each word, the same on every machine; `which` is 0 or 1, and the two are independent.
+
+        A word of up to TABLE_BYTES bytes has the sum of random numbers, one for each byte and its place, a longer one
+        BLAKE2b's digest. So whatever the words are, two of them agree by chance alone.
+        """
         if not len(self.start):
             return np.zeros(0, np.uint64)
         length = self.end - self.start
         at = np.zeros(len(length), np.int64)
         np.cumsum(length[:-1], out=at[1:])
         where = np.arange(int(length.sum())) - np.repeat(at, length)
-        longest = int(length.max())
-        powers = _POWERS if longest <= len(_POWERS) else _powers(0x2545F4914F6CDD1D, longest)
+        long = np.flatnonzero(length > TABLE_BYTES)
+        if len(long):
+            np.minimum(where, TABLE_BYTES - 1, out=where)
+        where <<= 8
+        where += self.data[self._inside]
         with np.errstate(over="ignore"):
-            sums = np.add.reduceat(_BYTE[self.data[self._inside]] * powers[where], at)
-            return mix(sums + length.astype(np.uint64))
+            out = mix(np.add.reduceat(_TABLES[which][where], at) + length.astype(np.uint64))
+        for i in long.tolist():
+            word = self.data[self.start[i] : self.end[i]].tobytes()
+            out[i] = int.from_bytes(hashlib.blake2b(word, digest_size=8, person=b"%d" % which).digest(), "little")
+        return out
 
     def kept_text(self, row: int, keep: np.ndarray | None = None) -> bytes:
         """The words of a row, or those where keep holds, joined by one space."""

@@ -8,17 +8,18 @@ range; a bucket is what one task sorts, and their number grows with the keys.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import mix
-
 #: Keys of a bucket on average.
 BUCKET_KEYS = 500_000
-#: Bits of a filter over keys: fixed, so what is broadcast has one size. When full it lets all rows pass.
-FILTER_BITS, FILTER_PARTS = 1 << 26, 64
+#: Bits of a filter over keys: fixed, so what is broadcast has one size. It is used while a quarter of the bits at most
+#: can be set. Bits are gathered in blocks of 32,768, the size of Spark's bitmaps.
+FILTER_BITS, BLOCK_BITS = 1 << 26, 1 << 15
 
 
 def buckets_for(keys: int, least: int) -> int:
@@ -43,38 +44,30 @@ def i64(blob) -> np.ndarray:
     return np.frombuffer(blob.as_buffer() if isinstance(blob, pa.Scalar) else blob, np.int64)
 
 
-def key_filter(keys: DataFrame, column: str):
-    """A pandas UDF that is true for every 64-bit value in `column` of keys, and false for most others while there
-    are few: one bit array of FILTER_BITS, put together in FILTER_PARTS parts."""
-    size = FILTER_BITS // FILTER_PARTS
-
-    def bits(key, table):
-        own = np.zeros(size, bool)
-        for k in _places(table.column("h").to_numpy()):
-            own[k // FILTER_PARTS] = True
-        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([np.packbits(own).tobytes()], pa.binary())})
+def key_filter(keys: DataFrame, column: str) -> Callable[[Column], Column]:
+    """A condition on 64-bit hashes that holds for every one in `column` of keys, and for few others.
 
-    # Both places of a value are in the part of its hash, so a part sees all it needs; values are made distinct first.
-    found = keys.select(F.col(column).alias("h")).distinct().withColumn("part", F.pmod("h", F.lit(FILTER_PARTS)).cast("int"))
-    table = np.zeros((FILTER_PARTS, size // 8), np.uint8)
-    for r in found.groupBy("part").applyInArrow(bits, "part int, bits binary").collect():  # FILTER_BITS / 8 bytes in all
-        table[r["part"]] = np.frombuffer(r["bits"], np.uint8)
-    shared = keys.sparkSession.sparkContext.broadcast(table)
+    One bit array of FILTER_BITS with two bits a key. Every task of keys makes its own blocks of it, and those are joined
+    by partial aggregates, so no task sees more than one block of each of the others. For more keys than a filter of that
+    size can tell apart, the condition holds for all.
+    """
+    if keys.count() > FILTER_BITS // 8:
+        return lambda _: F.lit(True)
+    places = F.array(F.pmod(column, F.lit(FILTER_BITS)), F.pmod(F.shiftright(column, 32), F.lit(FILTER_BITS)))
+    bits = keys.select(F.explode(places).alias("p")).groupBy(F.floor(F.col("p") / BLOCK_BITS).alias("block"))
+    table = np.zeros((FILTER_BITS // BLOCK_BITS, BLOCK_BITS // 8), np.uint8)
+    for r in bits.agg(F.bitmap_construct_agg(F.pmod("p", F.lit(BLOCK_BITS))).alias("bits")).collect():  # FILTER_BITS / 8 bytes in all
+        table[r["block"]] = np.frombuffer(r["bits"], np.uint8)
+    shared = keys.sparkSession.sparkContext.broadcast(table.reshape(-1))
 
     @F.pandas_udf("boolean")
     def passes(h):
         import pandas as pd
 
         values = h.to_numpy(np.int64)
-        part, ok = values % FILTER_PARTS, np.ones(len(values), bool)
-        for k in _places(values):
-            k = k // FILTER_PARTS
-            ok &= (shared.value[part, k >> 3] >> (7 - (k & 7)).astype(np.uint8)) & 1 == 1
+        ok = np.ones(len(values), bool)
+        for k in (values % FILTER_BITS, (values >> 32) % FILTER_BITS):
+            ok &= (shared.value[k >> 3] >> (k & 7).astype(np.uint8)) & 1 == 1
         return pd.Series(ok)
 
     return passes
-
-
-def _places(values: np.ndarray) -> list[np.ndarray]:
-    own = mix(values.astype(np.int64).view(np.uint64))
-    return [(own % np.uint64(FILTER_BITS)).astype(np.int64), ((own >> np.uint64(32)) % np.uint64(FILTER_BITS)).astype(np.int64)]

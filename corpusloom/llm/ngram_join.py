@@ -329,7 +329,7 @@ def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", w
     active = written(active.withColumn("h", F.xxhash64("k", "id")), "active")
     settle(spark)
     passes = key_filter(active, "h")
-    texts = rows.withColumn("h", F.xxhash64("k", "id")).where(passes("h")).join(active.select("c", F.col("k").alias("ak"), F.col("id").alias("aid"), "h"), "h").where(F.col("k").eqNullSafe(F.col("ak")) & (F.col("id") == F.col("aid")))
+    texts = rows.withColumn("h", F.xxhash64("k", "id")).where(passes(F.col("h"))).join(active.select("c", F.col("k").alias("ak"), F.col("id").alias("aid"), "h"), "h").where(F.col("k").eqNullSafe(F.col("ak")) & (F.col("id") == F.col("aid")))
     sets = written(texts.groupBy("h", "c").agg(F.first("t").alias("t")).select("c", "t").mapInArrow(_set_rows(width), SETS), "sets")
     settle(spark)
     keys = sets.agg(F.coalesce(F.sum(F.octet_length("keys")), F.lit(0))).first()[0] // 8

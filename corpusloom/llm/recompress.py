@@ -14,7 +14,8 @@ until a text is one symbol.
   with as many words to either side as rounds were made; so many have been cut off. A window without any such round is its
   own symbol. Equal windows have equal symbols, and neighbouring windows mostly have the same.
 - Symbols are counted over all documents. Windows whose symbol only one text has are done. The others are compared: those
-  with equal 96-bit hashes of all words are one window, and one that starts in a document with a smaller key goes.
+  with equal hashes of 96 bits are one window, and one that starts in a document with a smaller key goes. 64 of the bits
+  come from one hash of the words and 32 from an independent one.
 
 Symbols are exchanged in packed arrays, a symbol once per chunk of about 32 MB of text, windows as rows of plain joins and
 aggregates: partial sums go before each shuffle and no group is ever held in one task.
@@ -184,18 +185,20 @@ def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _repeated(table: DataFrame, buckets: int) -> DataFrame:
-    """(b, found): for each chunk, its keys that texts with different last symbols have."""
+    """(b, found): for each chunk, its keys that texts with different words have. Texts are told apart by the last symbol and
+    the SHA-256 together."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(len(batch)):
-                keys, top = u64(column(batch, "keys")[row]), np.repeat(u64(column(batch, "tops")[row]), i64(column(batch, "n_keys")[row]))
+                text = u64(column(batch, "tops")[row]) ^ u64(column(batch, "sha")[row])[::4]
+                keys, top = u64(column(batch, "keys")[row]), np.repeat(text, i64(column(batch, "n_keys")[row]))
                 order = np.argsort(keys, kind="stable")
                 keys, top = keys[order], top[order]
                 new = np.ones(len(keys), bool)
                 new[1:] = keys[1:] != keys[:-1]
                 heads = np.flatnonzero(new)
-                # Keys of which not all have the last symbol of the first.
+                # Keys of which not all are of the text of the first.
                 many = np.bincount((np.cumsum(new) - 1)[top != np.repeat(top[heads], np.diff(np.append(heads, len(keys))))], minlength=len(heads)) > 0
                 keys, top = keys[heads], top[heads]
                 edges = bucket_edges(keys, buckets)
@@ -215,7 +218,7 @@ def _repeated(table: DataFrame, buckets: int) -> DataFrame:
         keep = [i for i, f in enumerate(found) if len(f)]
         return pa.table({"b": table.column("b").take(pa.array(keep, pa.int64())), "found": blobs(found[i] for i in keep)})
 
-    sent = table.select("b", "tops", "n_keys", "keys").mapInArrow(send, "bucket long, b long, keys binary, tops binary, many binary")
+    sent = table.select("b", "tops", "sha", "n_keys", "keys").mapInArrow(send, "bucket long, b long, keys binary, tops binary, many binary")
     return sent.groupBy("bucket").applyInArrow(answer, "b long, found binary").groupBy("b").agg(F.collect_list("found").alias("found"))
 
 
@@ -247,7 +250,7 @@ def _windows(width: int):
         for batch in batches:
             for lo, hi in slices(column(batch, "t")):
                 words = Words(column(batch, "t")[lo:hi])
-                hashes = words.hashes()
+                hashes, again = words.hashes(), words.hashes(1)
                 own, _ = symbols(hashes, words.first[:-1], width, whole=False)
                 hit = np.zeros(len(hashes), bool)
                 for i, keys in enumerate(column(batch, "keys")[lo:hi]):
@@ -256,7 +259,7 @@ def _windows(width: int):
                     hit[a:b] = known[np.minimum(np.searchsorted(known, own[a:b]), len(known) - 1)] == own[a:b]
                 at = np.flatnonzero(hit)
                 row = np.searchsorted(words.first, at, "right") - 1
-                high, low = (windows(hashes, width, seed)[at] if len(at) else np.zeros(0, np.uint64) for seed in (17, 13))
+                high, low = (windows(of_words, width, seed)[at] if len(at) else np.zeros(0, np.uint64) for of_words, seed in ((hashes, 17), (again, 13)))
                 doc, of = (column(batch, c)[lo:hi].to_numpy()[row] for c in ("k", "id"))
                 cells = [doc, of, (at - words.first[row]).astype(np.int32), high.view(np.int64), low.astype(np.uint32).view(np.int32)]
                 for i in range(0, len(at), 100_000):
