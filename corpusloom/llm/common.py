@@ -39,12 +39,12 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(_BATCH, BATCH_BYTES)
 
 
-def written(df: DataFrame, what: str = "t") -> DataFrame:
+def written(df: DataFrame, what: str = "t", compression: str = "snappy") -> DataFrame:
     """The rows of df as a table in the shared folder: lineage ends here and a lost executor costs nothing."""
     spark = df.sparkSession
     small_batches(spark)
     path = f"{shared_dir(spark)}/corpusloom/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     out = spark.read.schema(df.schema).parquet(path)
     out._corpusloom_path = path
     return out

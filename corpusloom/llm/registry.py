@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import bpe, chat, media, ngram_join, packing, quality, recompress, sharding, unigram, urls
+from corpusloom.llm import alignment, bpe, chat, fim, language, media, ngram_join, packing, quality, recompress, sharding, unigram, urls
 
-MODULES = (sharding, chat, ngram_join, unigram, packing, quality, bpe, urls, media, recompress)
+MODULES = (sharding, chat, ngram_join, unigram, packing, quality, bpe, urls, media, recompress, fim, alignment, language)
 
 
 def queries() -> dict:
