@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import html
 import re
+import time
+from datetime import UTC, datetime
 from html.parser import HTMLParser
 from urllib.parse import quote, urljoin
 
@@ -63,6 +65,19 @@ class Element:
         return "".join(out)
 
 
+#: What a start tag ends, and the elements that it does not look beyond.
+_ROWS = frozenset(("tr", "td", "th"))
+IMPLIED = {
+    "li": (frozenset(("li",)), frozenset(("ul", "ol", "menu"))),
+    **dict.fromkeys(("dt", "dd"), (frozenset(("dt", "dd")), frozenset(("dl",)))),
+    **dict.fromkeys(("td", "th"), (frozenset(("td", "th")), frozenset(("tr", "table")))),
+    "tr": (_ROWS, frozenset(("table", "thead", "tbody", "tfoot"))),
+    **dict.fromkeys(("thead", "tbody", "tfoot"), (_ROWS | {"thead", "tbody", "tfoot", "caption", "colgroup"}, frozenset(("table",)))),
+    "option": (frozenset(("option",)), frozenset(("select", "datalist", "optgroup"))),
+    "optgroup": (frozenset(("option", "optgroup")), frozenset(("select",))),
+}
+
+
 class _Builder(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
@@ -70,12 +85,14 @@ class _Builder(HTMLParser):
         self.open = [self.root]
 
     def handle_starttag(self, tag, attrs):
-        if tag in BLOCKS and any(e.tag == "p" for e in self.open):
+        if (tag in BLOCKS or tag in ("li", "dt", "dd")) and any(e.tag == "p" for e in self.open):
             self._close("p")
-        if tag == "li":
-            inside = [e.tag for e in self.open]
-            if "li" in inside and not {"ul", "ol"} & set(inside[len(inside) - inside[::-1].index("li") :]):
-                self._close("li")
+        ended, around = IMPLIED.get(tag, ((), ()))
+        while ended:
+            inside = next((e.tag for e in reversed(self.open) if e.tag in ended or e.tag in around), None)
+            if inside not in ended:
+                break
+            self._close(inside)
         element = Element(tag, {k: v or "" for k, v in attrs})
         self.open[-1].children.append(element)
         if tag not in VOID:
@@ -129,39 +146,47 @@ def absolute(href: str, base: str) -> str:
     return quote(urljoin(base, href.strip()), safe="%/:=&?~#+!$,;'@()*[]")
 
 
-def extract(text: str, url: str) -> dict:
-    """Title of the whole page; headings, content and cleaned html without unwanted elements; absolute http links of
-    the whole page, each once, at its first place."""
+def parts(text: str) -> dict:
+    """Title of the whole page; headings, content and cleaned html without unwanted elements; the references of the whole
+    page as they are written, each once, at its first place."""
     root = parse(text)
     title = next((e.text() for e in root.walk() if e.tag == "title"), "")
     headings = [t for t in (e.text(unwanted).strip(_ENDS) for e in root.walk(unwanted) if e.tag in HEADINGS) if t]
-    links = dict.fromkeys(absolute(e.attributes["href"], url) for e in root.walk() if e.tag == "a" and "href" in e.attributes)
     main, skip = _content(root)
     return {
         "title": _ASCII_WHITE.sub(" ", title).strip("\t\n\f\r "),
         "headings": headings,
         "content": _WHITE.sub(" ", main.text(skip)).strip(_ENDS),
-        "links": [x for x in links if x.startswith("http")],
+        "references": list(dict.fromkeys(e.attributes["href"] for e in root.walk() if e.tag == "a" and "href" in e.attributes)),
         "cleaned_html": main.inner_html(skip),
         "error": None,
     }
 
 
-EXTRACTED = "title string, headings array<string>, content string, links array<string>, cleaned_html string, error string"
-_EMPTY = {"title": "", "headings": [], "content": "", "links": [], "cleaned_html": ""}
+def extract(text: str, url: str) -> dict:
+    """The parts of a page, with absolute http links in place of references."""
+    out = parts(text)
+    links = dict.fromkeys(absolute(x, url) for x in out.pop("references"))
+    return out | {"links": [x for x in links if x.startswith("http")]}
+
+
+EXTRACTED = "title string, headings array<string>, content string, references array<string>, cleaned_html string, error string, at string, ms long"
+_EMPTY = {"title": "", "headings": [], "content": "", "references": [], "cleaned_html": ""}
 
 
-def extract_rows(text: pd.Series, url: pd.Series) -> pd.DataFrame:
-    """A page that fails has empty fields and the message of its error."""
+def extract_rows(text: pd.Series) -> pd.DataFrame:
+    """A page that fails has empty fields and the message of its error. With the time at which each began and how long it took."""
     rows = []
-    for t, u in zip(text, url, strict=True):
+    for t in text:
+        at, began = datetime.now(UTC), time.perf_counter()
         try:
-            rows.append(_EMPTY | {"error": "navigation failed"} if t is None else extract(t, u or ""))
+            own = _EMPTY | {"error": "navigation failed"} if t is None else parts(t)
         except Exception as e:  # any page may be malformed in its own way; the row carries the error
-            rows.append(_EMPTY | {"error": str(e) or type(e).__name__})
-    return pd.DataFrame(rows, columns=["title", "headings", "content", "links", "cleaned_html", "error"])
+            own = _EMPTY | {"error": str(e) or type(e).__name__}
+        rows.append(own | {"at": f"{at:%Y-%m-%dT%H:%M:%S}.{at.microsecond // 1000:03}Z", "ms": round(1000 * (time.perf_counter() - began))})
+    return pd.DataFrame(rows, columns=[x.split()[0] for x in EXTRACTED.split(", ")])
 
 
-def extract_udf(text: str, url: str):
+def extract_udf(text: str):
     """The column of extracted structs."""
-    return F.pandas_udf(extract_rows, EXTRACTED)(text, url)
+    return F.pandas_udf(extract_rows, EXTRACTED)(text)

@@ -27,3 +27,28 @@ def test_malformed():
 
 def test_deep_nesting():
     assert extract("<div>" * 5000 + "x", U)["content"] == "x"
+
+
+def test_implied_ends():
+    html = lambda t: extract(t, U)["cleaned_html"]
+    assert html("<article><dl><dt>a<dd>b<dt>c</dl></article>") == "<dl><dt>a</dt><dd>b</dd><dt>c</dt></dl>"
+    assert html("<article><table><tr><td>1<td>2<tr><th>3</table>x</article>") == "<table><tr><td>1</td><td>2</td></tr><tr><th>3</th></tr></table>x"
+    assert html("<article><table><thead><tr><td>1<tbody><tr><td>2<table><tr><td>3</table><td>4</table></article>") == "<table><thead><tr><td>1</td></tr></thead><tbody><tr><td>2<table><tr><td>3</td></tr></table></td><td>4</td></tr></tbody></table>"
+    assert html("<article><select><option>a<option>b</select><ul><li>a<ul><li>b<li>c</ul><li>d</ul><p>x<li>y</article>") == "<select><option>a</option><option>b</option></select><ul><li>a<ul><li>b</li><li>c</li></ul></li><li>d</li></ul><p>x</p><li>y</li>"
+
+
+def test_a_page_that_raises(spark, monkeypatch):
+    """X11: the row carries the error, and what the source knew of the page."""
+    import pandas as pd
+
+    from corpusloom.operators import dom, extract
+
+    real = dom.parse
+    monkeypatch.setattr(dom, "parse", lambda t: 1 / 0 if "boom" in t else real(t))
+    rows = dom.extract_rows(pd.Series(["<p>fine", "boom", None]))
+    assert rows["error"].tolist() == [None, "division by zero", "navigation failed"] and rows["content"].tolist() == ["fine", "", ""]
+    assert rows["at"].str.fullmatch(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d\.\d{3}Z").all() and (rows["ms"] >= 0).all()
+    monkeypatch.setattr(extract, "extract_udf", lambda c: __import__("pyspark.sql.functions", fromlist=["F"]).expr("named_struct('title', '', 'headings', array(), 'content', '', 'references', array(), 'cleaned_html', '', 'error', 'boom', 'at', 'T', 'ms', 3L)"))
+    pages = spark.createDataFrame([("http://a.b/", "x", 203, "text/html; charset=x", 4)], "url string, html string, status_code int, content_type string, depth int")
+    r = extract.scrape(pages, timed=True).first()
+    assert (r.status, r.error_message, r.status_code, r.content_type, r.depth, r.word_count, r.language, r.scraped_at, r.scrape_ms) == ("FAILED", "boom", 203, "text/html", 4, 0, "unknown", "T", 3)

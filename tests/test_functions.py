@@ -72,6 +72,33 @@ def test_directory_name(spark, name, want):
     assert values(spark, urls.directory_name, [name]) == [want]
 
 
+#: A url and how a browser writes it; None where it isn't one of http or https.
+WRITTEN = {
+    "http://a.com:80/x": "http://a.com/x", "https://a.com:443": "https://a.com/", "http://a.com:8080/x": "http://a.com:8080/x", "http://a.com:080/": "http://a.com/", "http://a.com:/": "http://a.com/",
+    "http://a.com/a/../b": "http://a.com/b", "http://a.com/a/./b/..": "http://a.com/a/", "http://a.com/../..": "http://a.com/", "http://a.com/%2e%2E/z/%2e": "http://a.com/z/", "http://a.com/.well": "http://a.com/.well", "http://a.com/a..b/c.": "http://a.com/a..b/c.",
+    "http://a.com/a b": "http://a.com/a%20b", "http://a.com/a|b": "http://a.com/a|b", "http://a.com/{x}^`": "http://a.com/%7Bx%7D%5E%60", "http://a.com/%zz": "http://a.com/%zz", "http://a.com/x?": "http://a.com/x?", "http://a.com/x#": "http://a.com/x#", "http://a.com?x#y": "http://a.com/?x#y",
+    "http://bücher.example/ü?ü=ß#ü": "http://xn--bcher-kva.example/%C3%BC?%C3%BC=%C3%9F#%C3%BC", "https://\U0001f600.com/\U0001f600": "https://xn--e28h.com/%F0%9F%98%80",
+    " HTTP://A.com\\x\\..\\y?a'b ": "http://a.com/y?a%27b", "http:a.com": "http://a.com/", "http:///a.com/x": "http://a.com/x", "http://a.com/\tx\ny": "http://a.com/xy",
+    "http://u:p@h.com/": "http://u:p@h.com/", "http://@h.com/": "http://h.com/", "http://%61.com/": "http://a.com/", "http://a_b.com/": "http://a_b.com/", "http://1.2.3.4/": "http://1.2.3.4/", "http://[::1]:80/x": "http://[::1]/x",
+    "http://h.com:99999/": None, "http://h.com:x/": None, "http://": None, "http://a b/": None, "http://a^b/": None, "http://1.2.3.256/": None, "http://a.1/": None, "ftp://a.b/c": None, "mailto:x@y": None, "x y": None, "": None,
+}
+
+
+def test_href(spark):
+    assert values(spark, urls.href, [*WRITTEN, None]) == [*WRITTEN.values(), None]
+    again = [w for w in WRITTEN.values() if w]
+    assert values(spark, urls.href, again) == again
+    hosts = values(spark, urls.host, ["http://A.com:8080/x", "http://u:p@bücher.example/", "http://[::1]:80/x", "ftp://A.b/c", "http://a b/", None])
+    assert hosts == ["a.com", "xn--bcher-kva.example", "[::1]", "a.b", None, None]
+
+
 def test_resolved(spark):
-    df = spark.createDataFrame([("/für",), ("http://x.y/z",), ("//c.d/e",), ("#top",)], "h string")
-    assert [r[0] for r in df.select(urls.resolved(F.col("h"), F.lit("https://a.b/c?d"))).collect()] == ["https://a.b/f%C3%BCr", "http://x.y/z", "https://c.d/e", None]
+    cases = {
+        "/für": "https://a.b/f%C3%BCr", "http://x.y/z": "http://x.y/z", "//c.d/e": "https://c.d/e", "#top": "https://a.b/c/d?q=1#top", "page2.html": "https://a.b/c/page2.html", "../x": "https://a.b/x", "../../../x": "https://a.b/x",
+        "?q=2": "https://a.b/c/d?q=2", "HTTP://b.c/": "http://b.c/", "": "https://a.b/c/d?q=1", "./y": "https://a.b/c/y", "x y": "https://a.b/c/x%20y", " /p\n": "https://a.b/p", "/a/../b": "https://a.b/b", "\\z": "https://a.b/z", "/the,": "https://a.b/the,",
+        "mailto:a@b": None, "javascript:void(0)": None, "http://a b/": None,
+    }
+    df = spark.createDataFrame([(i, h) for i, h in enumerate(cases)], "i int, h string").orderBy("i")
+    assert [r[0] for r in df.select(urls.resolved(F.col("h"), F.lit("https://a.b/c/d?q=1#f"))).collect()] == list(cases.values())
+    got = df.where("h = '../x'").select(*(urls.resolved(F.col("h"), F.lit(b)) for b in ("HTTP://A.B:80/c/d/e", "no url", None))).first()
+    assert tuple(got) == ("http://a.b/c/x", None, None)
