@@ -23,7 +23,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from corpusloom.llm.common import column, parquet, slices
+from corpusloom.llm.common import column, keyed, parquet, slices
 
 NAME = "word_bpe_49k.json"
 #: Entries of the caches; a full one starts anew. Longer words are not kept.
@@ -250,7 +250,7 @@ SCHEMA = "doc_id long, ids binary, decoded string"
 def encode_texts(df: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None, decode: bool = True) -> DataFrame:
     """(doc_id, ids, decoded) for every row: ids as little-endian unsigned 32-bit numbers, and the text they give.
 
-    A null text is an empty one and has no ids. Keys are passed on as they are, nulls too; repeated rows are encoded each;
+    A null text is an empty one and has no ids. Keys are passed on as they are, of any type and null too; repeated rows are encoded each;
     an empty table gives no rows; other columns are not looked at, whatever their names.
     """
     path = path or default_path()
@@ -267,7 +267,7 @@ def encode_texts(df: DataFrame, key: str = "doc_id", text: str = "text", path: s
                     decoded.append(bpe.decode(own) if decode else None)
                 yield pa.record_batch([keys[lo:hi], pa.array(ids, pa.binary()), pa.array(decoded, pa.string())], ["doc_id", "ids", "decoded"])
 
-    return df.selectExpr(f"`{key}` AS k", f"`{text}` AS t").mapInArrow(run, SCHEMA)
+    return df.selectExpr(f"`{key}` AS k", f"`{text}` AS t").mapInArrow(run, keyed(SCHEMA, df, key))
 
 
 

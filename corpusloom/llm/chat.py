@@ -137,7 +137,8 @@ def repair_roles(df: DataFrame) -> DataFrame:
     `kind` is merged, turn or inserted; `inserted` is the role of an empty turn before this one, `closing` the empty
     turns that follow the last row. Order is by turn, then role, then text; nulls come first, repeated rows stay. A
     role is taken without case and outer blanks; unknown and null roles cost a relabel or a merge wherever they go.
-    Rows with a null conv_id form one conversation. A null text is an empty one. An empty table gives no rows.
+    Rows with a null conv_id form one conversation. A null text is an empty one. An empty table gives no rows. Other
+    columns than conv_id, turn, role and text are not looked at, whatever their names.
     """
     own = df.select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text").withColumn("id", F.monotonically_increasing_id())
     own = own.repartitionByRange("conv_id", "turn", "role", "text", "id").sortWithinPartitions("conv_id", "turn", "role", "text", "id")

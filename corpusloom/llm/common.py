@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.session import shared_dir
+from corpusloom.session import working_dir
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Text that one numpy slice holds at most, unless a single document is longer.
@@ -40,10 +40,11 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def written(df: DataFrame, what: str = "t", compression: str = "snappy") -> DataFrame:
-    """The rows of df as a table in the shared folder: lineage ends here and a lost executor costs nothing."""
+    """The rows of df as a table in the shared folder: lineage ends here and a lost executor costs nothing. It stays until
+    forget(), or until session.clear_working() for all, as rows that were returned may still be read from it."""
     spark = df.sparkSession
     small_batches(spark)
-    path = f"{shared_dir(spark)}/corpusloom/{what}-{uuid.uuid4().hex}"
+    path = f"{working_dir(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path, compression=compression)
     out = spark.read.schema(df.schema).parquet(path)
     out._corpusloom_path = path
@@ -69,6 +70,11 @@ def parquet(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def keyed(schema: str, df: DataFrame, key: str) -> str:
+    """The schema, which begins with a long doc_id, with the type that the key of df has."""
+    return schema.replace("doc_id long", f"doc_id {df.schema[key].dataType.simpleString()}", 1)
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 

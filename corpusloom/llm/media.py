@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from corpusloom.llm.common import column, parquet, slices
+from corpusloom.llm.common import column, keyed, parquet, slices
 
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 CHANNELS = {0: 1, 2: 3, 4: 2, 6: 4}
@@ -188,7 +188,8 @@ SCHEMA = "doc_id long, n_bytes long, media binary, hash binary"
 def text_media(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_bytes, media, hash): each text, zero-padded to lines of 64 bytes, as a PNG and its cosine hash.
 
-    A null text is an empty one; equal texts give equal bytes. Keys are passed on, nulls and repeats too.
+    A null text is an empty one; equal texts give equal bytes. Keys are passed on, of any type, nulls and repeats too. An empty
+    table gives no rows; other columns are not looked at, whatever their names.
     """
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,7 +201,7 @@ def text_media(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
                 hashes = [cosine_hash(image[:, :, 0]) for image in decode_pngs(media)]
                 yield pa.record_batch([keys[lo:hi], pa.array(map(len, raws), pa.int64()), pa.array(media, pa.binary()), pa.array(hashes, pa.binary())], ["doc_id", "n_bytes", "media", "hash"])
 
-    return df.selectExpr(f"`{key}` AS k", f"`{text}` AS t").mapInArrow(make, SCHEMA)
+    return df.selectExpr(f"`{key}` AS k", f"`{text}` AS t").mapInArrow(make, keyed(SCHEMA, df, key))
 
 
 DIGESTS = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
@@ -218,9 +219,10 @@ def digests(media: DataFrame) -> DataFrame:
                     payload = image.tobytes()
                     rows.append((doc, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-WIDTH:]), len(stored), hashlib.sha256(stored).hexdigest(), bits.hex()))
                 kinds = [pa.int64()] * 3 + [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-                yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], [x.split()[0] for x in DIGESTS.split(", ")])
+                cells = [pa.array(c, k) for c, k in zip(list(zip(*rows, strict=True))[1:], kinds[1:], strict=True)]
+                yield pa.record_batch([column(batch, "doc_id")[lo:hi], *cells], [x.split()[0] for x in DIGESTS.split(", ")])
 
-    return media.mapInArrow(read, DIGESTS)
+    return media.mapInArrow(read, keyed(DIGESTS, media, "doc_id"))
 
 
 def op9_media(spark, sf_dir):

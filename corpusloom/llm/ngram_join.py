@@ -37,7 +37,7 @@ WIDTH, PERCENT = 5, 80
 COUNTED = np.uint64(int(0.3 * 2**64))
 STAR_ROUNDS = 2
 #: Text of which a shingle is sent once.
-EXCHANGED_BYTES = 2 << 20
+EXCHANGED_BYTES = 8 << 20
 #: Tasks that the nodes of one component are dealt over.
 SALTS = 16
 
@@ -64,12 +64,33 @@ SLICES = "b long, docs binary, none binary, ids binary, n binary, h1 binary, h2
 _SALT = np.uint64(0x5851F42D4C957F2D)
 
 
+class _Chunks:
+    """Packs the cells of slices into rows of about EXCHANGED_BYTES of text, numbered within the task."""
+
+    def __init__(self, schema: str):
+        self.names = [x.split()[0] for x in schema.split(", ")]
+        self.part, self.number, self.held, self.size = TaskContext.get().partitionId(), 0, [], 0
+
+    def add(self, cells: list[np.ndarray], size: int) -> Iterator[pa.RecordBatch]:
+        self.held.append(cells)
+        self.size += size
+        if self.size >= EXCHANGED_BYTES:
+            yield from self.rest()
+
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        if self.held:
+            cells = [np.concatenate(x).tobytes() for x in zip(*self.held, strict=True)]
+            b = (self.part << 32) + self.number
+            self.number, self.held, self.size = self.number + 1, [], 0
+            yield pa.record_batch([pa.array([b], pa.int64()), *(pa.array([c], pa.binary()) for c in cells)], self.names)
+
+
 def _shingled(percent: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, number = TaskContext.get().partitionId(), 0
+        chunks = _Chunks(SLICES)
         for batch in batches:
             texts = column(batch, "t").fill_null("")
-            for lo, hi in slices(texts, EXCHANGED_BYTES):
+            for lo, hi in slices(texts):
                 sets = shingle_sets(texts[lo:hi], width)
                 n = np.array([len(s) for s in sets], np.int64)
                 counted = np.array([int(np.searchsorted(s, COUNTED)) for s in sets], np.int64)
@@ -82,9 +103,8 @@ def _shingled(percent: int, width: int):
                 docs = column(batch, "k")[lo:hi]
                 none, docs = docs.is_null().to_numpy(zero_copy_only=False), docs.fill_null(0).to_numpy()
                 ids = column(batch, "id")[lo:hi].to_numpy()
-                cells = [docs, none, ids, n, h1, h2, counted, n_keys, keys]
-                yield pa.record_batch([pa.array([(part << 32) + number], pa.int64()), *(pa.array([c.tobytes()], pa.binary()) for c in cells)], [x.split()[0] for x in SLICES.split(", ")])
-                number += 1
+                yield from chunks.add([docs, none, ids, n, h1, h2, counted, n_keys, keys], int(texts[lo:hi].nbytes))
+        yield from chunks.rest()
 
     return run
 
@@ -173,14 +193,13 @@ SETS = "b long, c binary, n_keys binary, keys binary"
 
 def _set_rows(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, number = TaskContext.get().partitionId(), 0
+        chunks = _Chunks(SETS)
         for batch in batches:
             texts = column(batch, "t")
-            for lo, hi in slices(texts, EXCHANGED_BYTES):
+            for lo, hi in slices(texts):
                 sets = shingle_sets(texts[lo:hi], width)
-                cells = [column(batch, "c")[lo:hi].to_numpy(), np.array([len(s) for s in sets], np.int64), np.concatenate(sets)]
-                yield pa.record_batch([pa.array([(part << 32) + number], pa.int64()), *(pa.array([c.tobytes()], pa.binary()) for c in cells)], [x.split()[0] for x in SETS.split(", ")])
-                number += 1
+                yield from chunks.add([column(batch, "c")[lo:hi].to_numpy(), np.array([len(s) for s in sets], np.int64), np.concatenate(sets)], int(texts[lo:hi].nbytes))
+        yield from chunks.rest()
 
     return run
 

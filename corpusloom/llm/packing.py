@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpusloom.llm.bpe import default_path, id_maker
-from corpusloom.llm.common import column, offsets_of, parquet, slices, written
+from corpusloom.llm.common import column, keyed, offsets_of, parquet, slices, written
 
 LENGTH, QUANTUM, END_ID = 2048, 128, 1
 #: Tokens of a cell, and cells of which the driver sees the sum only.
@@ -66,7 +66,7 @@ def tokenized(df: DataFrame, key: str, text: str, source: str, path: str, end_id
                     seen[s] = at[-1] + m
                 yield pa.record_batch([keys[lo:hi], own, pa.array([run_id] * len(n), pa.int32()), pa.array(at, pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.binary())], _names(TOKENS))
 
-    return df.selectExpr(f"`{key}` AS k", f"`{text}` AS t", f"`{source}` AS s").mapInArrow(run, TOKENS)
+    return df.selectExpr(f"`{key}` AS k", f"`{text}` AS t", f"`{source}` AS s").mapInArrow(run, keyed(TOKENS, df, key))
 
 
 def turns_of(place: np.ndarray, n: np.ndarray, quantum: int) -> tuple[np.ndarray, ...]:
@@ -142,7 +142,7 @@ def pack(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "
 
     `targets` are shares of the tokens of each window by source; sources without one share what is left in proportion to
     their totals, or follow at the end if nothing is. Without targets all do. A null or empty text has the end id only; a
-    null source is the source ''. Repeated rows are packed each, null keys too. An empty table gives no rows. Other
+    null source is the source ''. Repeated rows are packed each; keys may be of any type and null. An empty table gives no rows. Other
     columns of df are not looked at. `length` has to be a multiple of `quantum`. The tokens are kept in one table of the
     shared folder and read again when all totals are known.
     """
@@ -176,7 +176,7 @@ def pack(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "
     joined = tokens.join(runs.drop("n"), ["run", "source"]).withColumn("place", F.col("before") + F.col("at"))
 
     def parts_with(names: list[str]) -> DataFrame:
-        schema = ", ".join(x for x in PARTS.split(", ") if x.split()[0] in names)
+        schema = keyed(", ".join(x for x in PARTS.split(", ") if x.split()[0] in names), tokens, "doc_id")
         own = joined.select(*(c for c in names if c in joined.columns)).mapInArrow(_parts(quantum, names), schema)
         return own.withColumn("time", time).withColumn("cell", F.floor(expected / CELL).cast("long"))
 
@@ -185,7 +185,7 @@ def pack(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "
     order = Window.partitionBy("cell").orderBy("time", "source", "place").rowsBetween(Window.unboundedPreceding, -1)
     placed = parts.drop("total", "turn").withColumn("inner", F.coalesce(F.sum("n").over(order), F.lit(0)))
     placed = placed.join(cells, "cell").select("doc_id", F.xxhash64("source").alias("of"), "place", "start", "n", "doc_tokens", "ids", (F.col("base") + F.col("inner")).alias("position"))
-    return placed.mapInArrow(_cut(length), PIECES)
+    return placed.mapInArrow(_cut(length), keyed(PIECES, tokens, "doc_id"))
 
 
 def _before(parts: DataFrame) -> DataFrame:

@@ -171,7 +171,13 @@ def _kept_features(docs: DataFrame) -> DataFrame:
 
 
 def rate(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept) for every row."""
+    """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept) for every row of docs(doc_id,
+    text, lang), which is judged by labels(doc_id, quality, toxic).
+
+    A null text has no words and is rejected. A null lang is a stratum of its own. Repeated rows are judged each, and alike; a
+    null doc_id has no label. Empty docs give no rows, and empty labels certify no cutoff. Other columns are not looked at,
+    whatever their names.
+    """
     features = _kept_features(docs)
     cutoffs = fit_cutoffs(features, labels)
     return features.select("row.doc_id", *(f"features.{f}" for f in FEATURES[:5]), base_failed().alias("base_failed"), verdict(cutoffs).alias("kept"))

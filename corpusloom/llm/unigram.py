@@ -16,7 +16,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from corpusloom.llm.common import column, parquet, slices
+from corpusloom.llm.common import column, keyed, parquet, slices
 
 NAME, SPACE, UNKNOWN_PENALTY = "piece_bpe_32k.model", "▁", 10.0
 MOST_WORDS, LONGEST_KEPT = 600_000, 48
@@ -90,7 +90,7 @@ SCHEMA = "doc_id long, n_words long, n_tokens long"
 
 def count_tokens(df: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
     """(doc_id, n_words, n_tokens) for every row; a null or empty text, or one of separators only, has 0 of both.
-    Repeated rows are counted each and null keys passed on; an empty table gives no rows; other columns are not looked at."""
+    Repeated rows are counted each; keys are passed on, of any type and null too; an empty table gives no rows; other columns are not looked at."""
     if path is None:
         from corpusloom.llm.bpe import default_path
 
@@ -104,7 +104,7 @@ def count_tokens(df: DataFrame, key: str = "doc_id", text: str = "text", path: s
                 words = [x.as_buffer().to_pybytes().split() for x in texts[lo:hi]]
                 yield pa.record_batch([keys[lo:hi], pa.array(map(len, words), pa.int64()), pa.array([sum(map(own.__getitem__, w)) for w in words], pa.int64())], ["doc_id", "n_words", "n_tokens"])
 
-    return df.selectExpr(f"`{key}` AS k", f"`{text}` AS t").mapInArrow(run, SCHEMA)
+    return df.selectExpr(f"`{key}` AS k", f"`{text}` AS t").mapInArrow(run, keyed(SCHEMA, df, key))
 
 
 def op4_token_counts(spark, sf_dir):

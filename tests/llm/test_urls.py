@@ -55,3 +55,28 @@ def test_bound_counts_bytes(pages):
 
 def test_empty(pages):
     assert urls.filter_urls(pages.limit(0), RULES).count() == 0
+
+
+def test_many_entries_are_small():
+    """What is broadcast is little more than the entries' own bytes, and finds what a plain search does."""
+    import pickle
+
+    r = random.Random(6)
+    rules = [(r.choice(("block", "allow")), ".".join(r.choice("abcdefgh") * r.randint(1, 3) for _ in range(r.randint(1, 4))), "/" + "/".join(r.choice("xyz") * r.randint(1, 4) for _ in range(r.randint(0, 5)))) for _ in range(60_000)]
+    rules += [("block", "a", f"/{i:06d}/") for i in range(40_000)]
+    trie, own = urls.Trie(rules), {(h, p): 0 for _, h, p in rules}
+    raw = sum(len(h) + len(p) for h, p in own)
+    assert trie.nbytes() < raw + 12 * len(own) + 100 and len(pickle.dumps(trie)) < 1.1 * trie.nbytes() + 1_000
+    block = {(h, p) for v, h, p in rules if v == "block"}
+    for _ in range(3_000):
+        _, host, path = r.choice(rules)
+        host, path = r.choice(["", "zz.", "a.", "x\x01y."]) + host, path[: r.randint(0, len(path))] + r.choice(["", "x", "/", "zz/y"])
+        labels = host.split(".")
+        want = None
+        for k in range(1, len(labels) + 1):
+            suffix = ".".join(labels[-k:])
+            hit = next((path[:n] for n in range(len(path), -1, -1) if (suffix, path[:n]) in own), None)
+            want = want if hit is None else (("block" if (suffix, hit) in block else "allow"), suffix + hit)
+        assert trie.find(host, path) == want
+    with pytest.raises(ValueError):
+        urls.Trie([("block", "a\x00b", "/")])
