@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm import ngram_join, packing, quality, recompress
-from corpusloom.llm.common import parquet, written
+from corpusloom.llm.common import forget, parquet, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,8 +46,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written as Parquet and read again by the next."""
-    docs = parquet(spark, sf_dir, "documents")
+    """All stages over documents, each written as Parquet and read again by the next. What a stage wrote goes when the next
+    one has read it."""
+    docs, last = parquet(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name)
+        if last is not None:
+            forget(last)
+        last = docs
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -24,6 +24,8 @@ SUMMARY_CHARS, HTML_LINKS, REPORT_ROWS = 500, 20, 10
 MODES = ("CRAWL_ONLY", "SCRAPE_ONLY", "CRAWL_AND_SCRAPE")
 FORMATS = ("JSON", "MARKDOWN", "SUMMARY", "LINKS_ONLY", "HTML")
 EXTENSIONS = {"JSON": "json", "MARKDOWN": "md", "SUMMARY": "json", "LINKS_ONLY": "json", "HTML": "html"}
+#: Of the report in the folder of an exported job.
+EXPORT_EXTENSIONS = {"JSON": "json", "MARKDOWN": "md", "SUMMARY": "txt", "LINKS_ONLY": "txt", "HTML": "html"}
 MIME_TYPES = {"json": "application/json", "md": "text/markdown", "html": "text/html"}
 STATUSES = ("QUEUED", "RUNNING", "COMPLETED", "FAILED", "CANCELLED")
 PHASES = ("IDLE", "CRAWLING", "SCRAPING", "VALIDATING", "COMPLETED", "ERROR")

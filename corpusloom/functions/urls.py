@@ -115,6 +115,14 @@ def is_http(url: Column) -> Column:
     return href(url).isNotNull()
 
 
+def parses(url: Column) -> Column:
+    """Whether it is a url of any scheme. Those of ftp and web sockets need a host, as those of http do."""
+    clean = F.regexp_replace(url, _EDGES, "")
+    other = clean.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:") & ~clean.rlike(r"(?i)^https?:")
+    hosted = clean.rlike(r"(?i)^(ftp|wss?):")
+    return F.coalesce(href(url).isNotNull() | (other & (~hosted | href(F.regexp_replace(clean, "^[A-Za-z]+:", "http:")).isNotNull())), F.lit(False))
+
+
 def normalized(url: Column) -> Column:
     """As a browser writes it, without fragment and without one final slash of the path, but for the root. Text that is no
     url is trimmed and put in lower case."""

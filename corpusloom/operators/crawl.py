@@ -2,40 +2,73 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.constants import REQUEST_CAP
 from corpusloom.functions import urls
-from corpusloom.session import checkpointed
+from corpusloom.session import checkpointed, working_dir
 from corpusloom.sources.pages import fetch
 
 
+#: Edges of a bucket on average.
+BUCKET_EDGES = 4_000_000
+
+
+def bucketed(edges: DataFrame, buckets: int | None = None) -> DataFrame:
+    """The distinct edges(src, dst) as a table in the shared folder, dealt into buckets and sorted by src. A join with it on src
+    shuffles the other side only. drop_bucketed() forgets it."""
+    spark = edges.sparkSession
+    own = checkpointed(edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct())
+    buckets = buckets or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-own.count() // BUCKET_EDGES))
+    name = f"corpusloom_edges_{uuid.uuid4().hex}"
+    # One file a bucket, by the same hash that joins use.
+    own.repartition(buckets, "src").write.format("parquet").option("path", f"{working_dir(spark)}/{name}").bucketBy(buckets, "src").sortBy("src").saveAsTable(name)
+    out = spark.table(name)
+    out._corpusloom_table = name
+    return out
+
+
+def drop_bucketed(edges: DataFrame) -> None:
+    spark, name = edges.sparkSession, edges._corpusloom_table
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{working_dir(spark)}/{name}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def reached(level: DataFrame, edges: DataFrame, visited: DataFrame) -> DataFrame:
+    """(node, parent) of what one step over edges(src, dst) leads to from level(node) and was not visited(node) before."""
+    step = level.select(F.col("node").alias("src")).join(edges, "src").groupBy(F.col("dst").alias("node")).agg(F.min("src").alias("parent"))
+    return step.join(visited.select("node"), "node", "left_anti")
+
+
 def frontier(edges: DataFrame, seeds: DataFrame, max_depth: int, edge_filter: Column | None = None, cap: int | None = None, on_level: Callable[[int], None] | None = None) -> DataFrame:
     """(node, depth, parent) of what seeds(node) reach over edges(src, dst) within max_depth steps, each node once, at
     its least depth and from its least parent there. The filter applies to edges before any join.
 
-    The edges are written once to the shared folder, and so is each level. The search ends with the first empty level, or
-    with the level that reaches `cap` nodes; that level is whole. on_level gets the number of nodes so far."""
+    The edges are written once to the shared folder, in buckets by src, so that a level joins them where they lie; each level
+    is written too. The search ends with the first empty level, or with the level that reaches `cap` nodes; that level is
+    whole. on_level gets the number of nodes so far."""
     edges = edges.where(edge_filter) if edge_filter is not None else edges
     kind = edges.schema["dst"].dataType
     level = checkpointed(seeds.select(F.col("node").cast(kind)).distinct().select("node", F.lit(0).alias("depth"), F.lit(None).cast(kind).alias("parent")))
-    if max_depth > 0:
-        edges = checkpointed(edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct())
+    edges = bucketed(edges) if max_depth > 0 else edges
     visited, count = level, level.count()
     for depth in range(1, max_depth + 1):
         if on_level:
             on_level(count)
         if cap is not None and count >= cap:
             break
-        reached = level.join(edges, level["node"] == edges["src"]).groupBy(F.col("dst").alias("node")).agg(F.min("src").alias("parent"))
-        level = checkpointed(reached.join(visited.select("node"), "node", "left_anti").select("node", F.lit(depth).alias("depth"), "parent"))
+        level = checkpointed(reached(level, edges, visited).select("node", F.lit(depth).alias("depth"), "parent"))
         new = level.count()
         if not new:
             break
         visited, count = visited.unionByName(level), count + new
+    if max_depth > 0:
+        drop_bucketed(edges)
     return visited
 
 
@@ -71,6 +104,43 @@ def crawl(pages: DataFrame, links: DataFrame, seed_url: str, max_depth: int, inc
     return out if cap is None else out.orderBy("depth", "url").limit(cap)
 
 
+def crawl_live(spark: SparkSession, fetch: Callable[[DataFrame], DataFrame], seed_url: str, max_depth: int, include_subpages: bool = True, cap: int | None = REQUEST_CAP, on_level: Callable[[int], None] | None = None) -> tuple[DataFrame, DataFrame]:
+    """The same search over a live site: discovered urls, with measured times, and the records of their pages.
+
+    fetch(urls) gives the rows of urls(url, depth, parent_url) with their pages, as sources.live.fetcher() does. Each level is
+    fetched and read once, into a table in the shared folder; its links on the seed's host that are new are the next level. With
+    a cap the first urls of a level by url are taken. Without subpages the seed alone is given, unfetched.
+    """
+    from corpusloom.operators.extract import scrape
+
+    seed_host = F.lit(spark.range(1).select(urls.host(F.lit(seed_url))).first()[0])
+    level = spark.range(1).select(F.lit(seed_url).alias("url"), F.lit(0).alias("depth"), F.lit(None).cast("string").alias("parent_url"))
+    if not include_subpages:
+        seed = level.select("*", F.lit(200).alias("status_code"), F.lit("text/html").alias("content_type"), F.lit(0).cast("long").alias("crawl_ms"), urls.link_type(F.col("url"), seed_host).alias("link_type"), F.lit(None).cast("string").alias("skipped_reason"))
+        return seed, scrape(fetch(level.limit(0)), timed=True)
+    records, count = None, 0
+    for depth in range(max_depth + 1):
+        rows = checkpointed(scrape(fetch(level), timed=True))
+        new = rows.count()
+        records, count = rows if records is None else records.unionByName(rows), count + new
+        if on_level:
+            on_level(count)
+        if not new or depth == max_depth or (cap is not None and count >= cap):
+            break
+        found = rows.select(F.col("url").alias("parent_url"), F.explode("links").alias("url")).where(urls.host(F.col("url")) == seed_host)
+        found = found.groupBy("url").agg(F.min("parent_url").alias("parent_url")).join(records.select("url"), "url", "left_anti")
+        level = found.select("url", F.lit(depth + 1).alias("depth"), "parent_url")
+        if cap is not None:
+            level = level.orderBy("url").limit(cap - count)
+        level = checkpointed(level)
+    ok = F.col("status") == "SUCCESS"
+    crawled = records.select(
+        "url", "depth", "parent_url", "status_code", "content_type", F.col("scrape_ms").alias("crawl_ms"),
+        urls.link_type(F.col("url"), seed_host).alias("link_type"), F.when(~ok, "Request failed").alias("skipped_reason"),
+    )
+    return crawled, records
+
+
 def crawl_and_scrape(pages: DataFrame, links: DataFrame, seed_url: str, max_depth: int, **options) -> DataFrame:
     """Single pass: the records of what a crawl reaches, with depth and parent from the crawl."""
     from corpusloom.operators.extract import scrape

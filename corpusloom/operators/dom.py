@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import re
 import time
+from collections.abc import Callable
 from datetime import UTC, datetime
 from html.parser import HTMLParser
 from urllib.parse import quote, urljoin
@@ -187,6 +188,13 @@ def extract_rows(text: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=[x.split()[0] for x in EXTRACTED.split(", ")])
 
 
-def extract_udf(text: str):
-    """The column of extracted structs."""
-    return F.pandas_udf(extract_rows, EXTRACTED)(text)
+def extract_udf(text: str, passed: Callable[[int], None] | None = None):
+    """The column of extracted structs. passed(n) is called in the tasks, after n pages each time."""
+
+    def rows(pages: pd.Series) -> pd.DataFrame:
+        out = extract_rows(pages)
+        if passed:
+            passed(len(out))
+        return out
+
+    return F.pandas_udf(rows, EXTRACTED)(text)

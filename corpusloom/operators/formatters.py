@@ -5,6 +5,7 @@ Headings, labels, table rows, class names and field names below are fixed values
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from corpusloom.constants import EXTENSIONS, FORMATS, HTML_LINKS, MIME_TYPES
 from corpusloom.functions import text as tx
 from corpusloom.operators import stats
+from corpusloom.sinks.report import Frame
 
 SCRAPED_AT = "1970-01-01T00:00:00.000Z"
 
@@ -136,34 +138,41 @@ def statistics_record(s, languages: dict[str, int]) -> dict:
 STYLE = "body{font:16px sans-serif;max-width:60rem;margin:auto;padding:1rem}article{border:1px solid #ccc;padding:1rem;margin:1rem 0}article.failed{border-color:#c00}.error{background:#fee}"
 
 
-def document(df: DataFrame, kind: str, order: str, generated_at: str) -> Iterator[str]:
-    """The lines of a whole report, page after page in order; pages come to the driver one partition at a time.
-
-    A report is one ordered text, so a single process writes it. For corpora, write formatted_rows() instead.
-    """
-    kind = kind if kind in FORMATS else "JSON"
+def frame(df: DataFrame, kind: str, generated_at: str) -> Frame:
+    """What stands around the pages of a whole report: its statistics before them, and what parts and ends them."""
     s = stats.statistics(_with_times(df), F.col("scrape_ms")).first()
-    pages = (r["formatted"] for r in formatted_rows(df, kind).orderBy(order).select("formatted").toLocalIterator())
     table = [("Total Pages", s.total_pages), ("Successful", s.success_count), ("Failed", s.failed_count), ("Success Rate", f"{s.success_rate:.1f}%"), ("Total Words", s.total_words), ("Avg Words/Page", s.average_words_per_page), ("Avg Scrape Time", f"{s.average_scrape_time_ms}ms")]
     if kind == "MARKDOWN":
-        yield "\n".join(["# Scraped Content", "", f"**Generated:** {generated_at}", "", "## Statistics", "", "| Metric | Value |", "|--------|-------|", *(f"| {k} | {v} |" for k, v in table), "", "---", "", ""])
-        for i, p in enumerate(pages):
-            yield ("\n---\n\n" if i else "") + p
-    elif kind == "HTML":
+        head = ["# Scraped Content", "", f"**Generated:** {generated_at}", "", "## Statistics", "", "| Metric | Value |", "|--------|-------|", *(f"| {k} | {v} |" for k, v in table), "", "---", "", ""]
+        return Frame("\n".join(head), between="\n---\n\n")
+    if kind == "HTML":
         cells = "".join(f'<div class="stat"><b>{v}</b> {k}</div>' for k, v in table if k != "Avg Words/Page")
-        yield f'<!DOCTYPE html>\n<html lang="en"><head><meta charset="UTF-8"><title>Scraped Content</title><style>{STYLE}</style></head>\n<body><h1>Scraped Content</h1><div class="stats">{cells}</div><p>Generated: {generated_at}</p>\n'
-        for p in pages:
-            yield p + "\n"
-        yield "</body></html>"
+        head = f'<!DOCTYPE html>\n<html lang="en"><head><meta charset="UTF-8"><title>Scraped Content</title><style>{STYLE}</style></head>\n<body><h1>Scraped Content</h1><div class="stats">{cells}</div><p>Generated: {generated_at}</p>\n'
+        return Frame(head, between="\n", last="\n", tail="</body></html>")
+    head = {"formatType": kind if kind in FORMATS else "JSON", "generatedAt": generated_at}
+    if kind == "LINKS_ONLY":
+        head |= {"totalPages": s.total_pages, "totalLinks": s.total_links}
     else:
-        import json
-
-        head = {"formatType": kind, "generatedAt": generated_at}
-        head |= {"totalPages": s.total_pages, "totalLinks": s.total_links} if kind == "LINKS_ONLY" else {"statistics": statistics_record(s, {r["language"]: r["pages"] for r in stats.language_breakdown(df).orderBy("language").collect()})}  # a row a language
-        yield json.dumps(head)[:-1] + ', "results": ['
-        for i, p in enumerate(pages):
-            yield (",\n" if i else "\n") + p
-        yield "\n]}"
+        languages = stats.language_map(df).first()["languages"] or {}  # an entry a language
+        head |= {"statistics": statistics_record(s, dict(sorted(languages.items())))}
+    return Frame(json.dumps(head)[:-1] + ', "results": [', "\n", ",\n", tail="\n]}")
+
+
+def document(df: DataFrame, kind: str, order: str, generated_at: str) -> Iterator[str]:
+    """A whole report in pieces, for one that is to be shown; its pages come to the driver one partition at a time. Reports
+    are written with sinks.report.write_report(), where none does."""
+    around = frame(df, kind, generated_at)
+    yield around.head
+    empty = True
+    for r in ordered(df, kind, order).toLocalIterator():
+        yield (around.first if empty else around.between) + r["formatted"]
+        empty = False
+    yield ("" if empty else around.last) + around.tail
+
+
+def ordered(df: DataFrame, kind: str, order: str) -> DataFrame:
+    """The formatted pages alone, in order over all partitions."""
+    return formatted_rows(df, kind).orderBy(order).select("formatted")
 
 
 def output_name(kind: str, stem: str = "scrape-output") -> tuple[str, str]:

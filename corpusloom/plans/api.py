@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,13 +12,16 @@ from corpusloom.constants import REQUEST_CAP, TTL_MS
 from corpusloom.operators import formatters, paging, stats
 from corpusloom.plans import export, jobs
 from corpusloom.plans.engine import Engine
+from corpusloom.plans.store import MemoryStore
 
 
 class Service:
-    def __init__(self, spark: SparkSession, pages: DataFrame, native: bool = False, cap: int | None = REQUEST_CAP, ttl_ms: int = TTL_MS):
-        self.spark, self.engine = spark, Engine(spark, pages, native, cap)
-        self.runner = jobs.JobRunner(spark, self.engine.job, ttl_ms)
-        self.configs: dict[str, dict] = {}
+    """With a `store` in a folder, jobs outlive the driver: a new service over the same folder lists, pages and exports them."""
+
+    def __init__(self, spark: SparkSession, pages: DataFrame | None, native: bool = False, cap: int | None = REQUEST_CAP, ttl_ms: int = TTL_MS, live: Callable[[DataFrame], DataFrame] | None = None, store: MemoryStore | None = None):
+        self.spark, self.engine = spark, Engine(spark, pages, native, cap, live)
+        self.runner = jobs.JobRunner(spark, self.engine.job, ttl_ms, store)
+        self.indexes: dict[tuple[str, str], paging.PageIndex] = {}
 
     def health(self) -> dict:
         return {"status": "ok", "spark": self.spark.version}
@@ -25,15 +29,17 @@ class Service:
     def process(self, request: dict) -> dict[str, DataFrame]:
         return self.engine.process(request)
 
-    def submit(self, request: dict) -> str:
-        """Refuses a wrong request at once; a job id for a right one."""
+    def submit(self, request: dict, job: str | None = None) -> str:
+        """Refuses a wrong request at once; a job id for a right one. A job of an id that is known is not run again."""
         self.engine._checked(request, "error_v2")
-        job = self.runner.submit(request)
-        self.configs[job] = request
-        return job
+        return self.runner.submit(request, job)
+
+    def recover(self, again: bool = True) -> list[str]:
+        """Goes on with the jobs that a driver before left without an end."""
+        return self.runner.recover(again)
 
-    def jobs(self) -> DataFrame:
-        return jobs.fold(self.runner.log())
+    def jobs(self, job: str | None = None) -> DataFrame:
+        return jobs.fold(self.runner.log(job))
 
     def list(self, status: str | None = None) -> DataFrame:
         return jobs.list_rows(jobs.listed(self.jobs(), status), F.lit(datetime.now())).orderBy(F.desc("created_at"), "job_id")
@@ -46,14 +52,13 @@ class Service:
         summary of its results and the calls that give them."""
         if self.runner.status(job) is None:
             return None
-        mode = F.lit(self.configs.get(job, {}).get("operationMode") or "CRAWL_AND_SCRAPE")
-        own = jobs.phase_progress(self.jobs().where(F.col("job_id") == job), mode)
+        config = self.runner.config(job)
+        own = jobs.phase_progress(self.jobs(job), F.lit(config.get("operationMode") or "CRAWL_AND_SCRAPE"))
         out = jobs.durations(own, F.lit(datetime.now())).first().asDict()
-        config = self.configs.get(job, {})
         out["config"] = config
         out["duration"] = out["duration"] if out["started_at"] else "Not started"
         if out["status"] == "COMPLETED":
-            found = self.runner.outcomes.get(job, {})
+            found = {name: self.runner.result(job, name) for name in self.runner.store.results(job)}
             rows = lambda name: found[name].count() if name in found else 0
             report = found["report"].first() if "report" in found else None
             out["summary"] = {
@@ -66,7 +71,7 @@ class Service:
     def progress(self, job: str) -> dict | None:
         if self.runner.status(job) is None:
             return None
-        return jobs.item_progress(self.jobs().where(F.col("job_id") == job)).first().asDict()
+        return jobs.item_progress(self.jobs(job)).first().asDict()
 
     def results(self, job: str, kind: str = "scraped", page: object = None, limit: object = None, output: str | None = None) -> dict:
         """One page of a job's crawl or scrape results, in a format if one is asked for; statistics describe the page."""
@@ -74,11 +79,16 @@ class Service:
         if found is None:
             raise ValueError(f"no {kind} results")
         p, n = paging.parse(page, limit)
-        rows = paging.page_of(found, ["url"], p, n)
-        out = {"pagination": paging.page_info(found, p, n).first().asDict(), "data": rows}
+        if self.runner.status(job) == "COMPLETED" and kind in ("crawled", "scraped"):
+            # What does not change any more is put in order once.
+            index = self.indexes.get((job, kind)) or self.indexes.setdefault((job, kind), paging.PageIndex(found, ["url"]))
+            rows, info = index.page(p, n), index.info(p, n)
+        else:
+            rows, info = paging.page_of(found, ["url"], p, n), paging.page_info(found, p, n).first().asDict()
+        out = {"pagination": info, "data": rows}
         if output and kind == "scraped":
             out["data"] = formatters.formatted_rows(rows, output)
-            out["statistics"] = stats.statistics(rows).first().asDict()
+            out["statistics"] = stats.statistics(rows, F.col("scrape_ms")).first().asDict()
         return out
 
     def validation(self, job: str) -> dict:
@@ -88,8 +98,10 @@ class Service:
         return report.first().asDict()
 
     def export(self, job: str, base: str, output: str = "JSON") -> dict[str, str]:
-        config, state = self.configs[job], self.status(job)
-        found = self.runner.outcomes.get(job, {})
+        config, state = self.runner.config(job), self.status(job)
+        if state is None:
+            raise ValueError("no such job")
+        found = {name: self.runner.store.result(job, name) for name in self.runner.store.results(job)}
         report = found.get("report")
         record = {
             "id": job, "status": state["status"], "seed_url": config["seedUrl"], "org_name": config.get("orgName"), "mode": config.get("operationMode") or "CRAWL_AND_SCRAPE", "depth": 2 if config.get("depth") is None else config["depth"],
@@ -105,5 +117,6 @@ class Service:
         """Cancels a job that runs, forgets one that has ended."""
         if self.runner.status(job) in ("QUEUED", "RUNNING"):
             return self.runner.cancel(job)
-        self.configs.pop(job, None)
+        for kind in ("crawled", "scraped"):
+            self.indexes.pop((job, kind), None)
         return self.runner.delete(job)

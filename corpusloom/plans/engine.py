@@ -12,6 +12,7 @@ from corpusloom.constants import REQUEST_CAP
 from corpusloom.operators import crawl as cr
 from corpusloom.operators import stats, validate
 from corpusloom.operators.extract import scrape
+from corpusloom.plans import progress
 from corpusloom.plans import requests as rq
 from corpusloom.schemas import REQUEST
 from corpusloom.session import checkpointed
@@ -27,10 +28,14 @@ def _quiet(kind: str, value: str | None = None, completed: int | None = None, to
 
 
 class Engine:
-    """`cap` is the number of urls of a crawl, None for no bound; `native` takes the native path of extraction."""
+    """Over a corpus of pages, or over a site: `live` then fetches urls, as sources.live.fetcher() makes it.
 
-    def __init__(self, spark: SparkSession, pages: DataFrame, native: bool = False, cap: int | None = REQUEST_CAP):
-        self.spark, self.pages, self.native, self.cap = spark, pages, native, cap
+    `cap` is the number of urls of a crawl, None for no bound; `native` takes the native path of extraction."""
+
+    def __init__(self, spark: SparkSession, pages: DataFrame | None, native: bool = False, cap: int | None = REQUEST_CAP, live: Callable[[DataFrame], DataFrame] | None = None):
+        if (pages is None) == (live is None):
+            raise ValueError("an engine needs either pages or a live source")
+        self.spark, self.pages, self.native, self.cap, self.live = spark, pages, native, cap, live
 
     def _checked(self, request: dict, error: str) -> dict:
         row = rq.checked(self.spark.createDataFrame([request], REQUEST)).first().asDict()
@@ -39,43 +44,63 @@ class Engine:
         return row
 
     def process(self, request: dict) -> dict[str, DataFrame]:
-        """CRAWL_ONLY, SCRAPE_ONLY or CRAWL_AND_SCRAPE; the last also validates. Pages are read once for both."""
+        """The tables of CRAWL_ONLY, SCRAPE_ONLY or CRAWL_AND_SCRAPE by name; the last also validates."""
         row = self._checked(request, "error_v1")
         depth = cr.effective_depth(row["depth_v1"], row["includeSubpages"] is not False)
-        return self.run(row["seedUrl"], depth, row["includeSubpages"] is not False, row["operationMode"])
-
-    def run(self, seed: str, depth: int, subpages: bool, mode: str, tell: Callable = _quiet) -> dict[str, DataFrame]:
-        """The tables of a mode by name. tell(kind, value, completed, total) gets phases and progress meanwhile."""
         out: dict[str, DataFrame] = {}
+
+        def keep(name: str, rows: DataFrame) -> DataFrame:
+            out[name] = checkpointed(rows)
+            return out[name]
+
+        self.run(row["seedUrl"], depth, row["includeSubpages"] is not False, row["operationMode"], keep)
+        return out
+
+    def run(self, seed: str, depth: int, subpages: bool, mode: str, keep: Callable[[str, DataFrame], DataFrame], tell: Callable = _quiet) -> None:
+        """Does what a mode asks for. keep(name, rows) gets each result as soon as there is one and gives the rows as they are
+        kept; tell(kind, value, completed, total) gets phases and progress meanwhile."""
         if mode == "SCRAPE_ONLY":
-            out["scraped"] = self._scraped(self.spark.range(1).select(F.lit(seed).alias("url")), 1, tell)
+            scraped = self._scraped(self.spark.range(1).select(F.lit(seed).alias("url")), 1, keep, tell)
         else:
             tell("phase", "CRAWLING")
             began = datetime.now(UTC)
-            links = links_of(scrape(self.pages, self.native))
-            found = cr.crawl(self.pages, links, seed, depth, subpages, self.cap, on_level=lambda n: tell("crawl", completed=n, total=cr.total_estimate(n)))
-            out["crawled"] = checkpointed(found)
-            n = out["crawled"].count()
+            on_level = lambda n: tell("crawl", completed=n, total=cr.total_estimate(n))
+            if self.live:
+                found, fetched = cr.crawl_live(self.spark, self.live, seed, depth, subpages, self.cap, on_level)
+            else:
+                links = links_of(scrape(self.pages, self.native))
+                found = cr.crawl(self.pages, links, seed, depth, subpages, self.cap, on_level=on_level)
+            crawled = keep("crawled", found)
+            n = crawled.count()
             tell("crawl", completed=n, total=n)
-            out["crawl_summary"] = stats.crawl_summary(out["crawled"], F.lit(began), F.lit(datetime.now(UTC)))
+            keep("crawl_summary", stats.crawl_summary(crawled, F.lit(began), F.lit(datetime.now(UTC))))
         if mode == "CRAWL_AND_SCRAPE":
-            out["scraped"] = self._scraped(out["crawled"].select("url", "depth", "parent_url"), n, tell)
+            if self.live and subpages:
+                # Every page was fetched and read once, in the crawl.
+                tell("phase", "SCRAPING")
+                scraped = keep("scraped", fetched.join(crawled.select("url"), "url", "left_semi"))
+                tell("scrape", completed=n, total=n)
+            else:
+                scraped = self._scraped(crawled.select("url", "depth", "parent_url"), n, keep, tell)
             tell("phase", "VALIDATING")
-            out["report"] = validate.report(out["crawled"], out["scraped"])
-            out["missing"] = validate.missing(out["crawled"], out["scraped"])
-        if "scraped" in out:
-            out["statistics"] = stats.statistics(out["scraped"])
-        return out
+            keep("report", validate.report(crawled, scraped))
+            keep("missing", validate.missing(crawled, scraped))
+        if mode != "CRAWL_ONLY":
+            keep("statistics", stats.statistics(scraped, F.col("scrape_ms")))
 
-    def _scraped(self, wanted: DataFrame, n: int, tell: Callable) -> DataFrame:
+    def _scraped(self, wanted: DataFrame, n: int, keep: Callable, tell: Callable) -> DataFrame:
+        """The records of pages, with progress as tasks end while they are made."""
         tell("phase", "SCRAPING")
         tell("scrape", completed=0, total=n)
-        out = checkpointed(scrape(fetch(self.pages, wanted), self.native))
+        pages = self.live(wanted) if self.live else fetch(self.pages, wanted)
+        with progress.counted(self.spark, lambda done: tell("scrape", completed=min(done, n), total=n)) as passed:
+            own = progress.through(scrape(pages, True, timed=True), passed) if self.native else scrape(pages, timed=True, passed=passed)
+            out = keep("scraped", own)
         tell("scrape", completed=n, total=n)
         return out
 
-    def job(self, spark: SparkSession, config: dict, tell: Callable = _quiet) -> dict[str, DataFrame]:
+    def job(self, spark: SparkSession, config: dict, tell: Callable, keep: Callable) -> None:
         """The work of a submitted job, for JobRunner."""
         row = self._checked(config, "error_v2")
         subpages = row["includeSubpages"] is not False
-        return self.run(row["seedUrl"], cr.effective_depth(row["depth_v2"], subpages), subpages, row["mode_v2"], tell)
+        self.run(row["seedUrl"], cr.effective_depth(row["depth_v2"], subpages), subpages, row["mode_v2"], keep, tell)

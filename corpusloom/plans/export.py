@@ -7,9 +7,10 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.constants import EXTENSIONS
+from corpusloom.constants import EXPORT_EXTENSIONS, EXTENSIONS, REPORT_ROWS
 from corpusloom.functions import urls
-from corpusloom.operators import formatters
+from corpusloom.operators import formatters, validate
+from corpusloom.sinks import report as sinks
 
 RULE = "═" * 60
 
@@ -35,9 +36,9 @@ def write_table(df: DataFrame, path: str, kind: str = "json", **partition_by: st
     return path
 
 
-def write_report(df: DataFrame, folder: str, kind: str, order: str, generated_at: str, stem: str = "scrape-output") -> str:
-    """A whole report as raw text in one file named after its format."""
-    return write_text(df.sparkSession, f"{folder}/{stem}.{EXTENSIONS.get(kind, 'json')}", formatters.document(df, kind, order, generated_at))
+def write_report(df: DataFrame, folder: str, kind: str, order: str, generated_at: str, stem: str = "scrape-output", extensions: dict[str, str] = EXTENSIONS) -> str:
+    """A whole report as raw text in one file named after its format. Tasks write its pages, and the driver only joins files."""
+    return sinks.write_report(formatters.ordered(df, kind, order), f"{folder}/{stem}.{extensions.get(kind, 'json')}", formatters.frame(df, kind, generated_at))
 
 
 def organisation_slug(spark: SparkSession, name: str | None, seed_url: str) -> str:
@@ -54,7 +55,7 @@ def export_job(job: dict, crawled: DataFrame | None, scraped: DataFrame | None,
     if crawled is not None:
         files["crawl_results"] = write_table(crawled, f"{folder}/crawl-results")
     if scraped is not None:
-        files["scrape_results"] = write_report(scraped, folder, kind, "url", generated_at, "scrape-results")
+        files["scrape_results"] = write_report(scraped, folder, kind, "url", generated_at, "scrape-results", EXPORT_EXTENSIONS)
     if report is not None:
         import json
 
@@ -63,6 +64,7 @@ def export_job(job: dict, crawled: DataFrame | None, scraped: DataFrame | None,
     return files
 
 
+# Headings and labels below are fixed values: readers of the summary rely on them.
 def export_text(job: dict, crawled: DataFrame | None, scraped: DataFrame | None, report, generated_at: str) -> str:
     line = lambda k, v: f"  {k + ':':<18}{v}"
     name = job.get("org_name") or job["seed_url"]
@@ -75,4 +77,8 @@ def export_text(job: dict, crawled: DataFrame | None, scraped: DataFrame | None,
         out += [line("Pages Scraped", r.n), line("  - Successful", r.ok), line("  - Failed", r.bad)]
     if report is not None:
         out += ["", "VALIDATION:", line("Total Crawled", report.total_crawled), line("Total Scraped", report.total_scraped), line("Success Rate", f"{report.success_rate:.1f}%"), line("Completeness", f"{report.completeness_rate:.1f}%")]
+        if scraped is not None and report.failed:
+            first, more = validate.first_rows(validate.failures(scraped), "url")
+            out += ["", f"FAILED URLS (first {REPORT_ROWS}):", *(x for r in first.collect() for x in (f"  - {r.url}", f"    Error: {r.error}"))]
+            out += [f"  ... and {more} more"] if more else []
     return "\n".join([*out, "", RULE, f"Generated: {generated_at}", RULE])

@@ -11,12 +11,14 @@ import json
 import threading
 import uuid
 from collections.abc import Callable
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.constants import TTL_MS
 from corpusloom.functions import text as tx
+from corpusloom.plans.store import MemoryStore
 from corpusloom.schemas import REQUEST
 
 TERMINAL = ("COMPLETED", "FAILED", "CANCELLED")
@@ -97,98 +99,140 @@ def listed(jobs: DataFrame, status: str | None = None) -> DataFrame:
     return jobs.orderBy(F.desc("created_at"), "job_id")
 
 
+class Cancelled(Exception):
+    """Ends the work of a job that was cancelled."""
+
+
+def _is_ended(events: list[tuple]) -> str | None:
+    return next((e[4] for e in events if e[3] == "status" and e[4] in TERMINAL), None)
+
+
 class JobRunner:
-    """Runs functions (spark, config, tell) -> dict of DataFrames in threads with a job group of their own.
+    """Runs functions (spark, config, tell, keep) -> None in threads with a job group of their own.
+
+    tell(kind, value, completed, total) adds an event of the job, keep(name, rows) a result, and gives the rows as they are
+    kept. Both are in `store`: with a MemoryStore they end with the driver, with a TableStore another runner over the same
+    folder goes on with them.
 
-    tell(kind, value, completed, total) adds an event of the job. What the caller polls is kept on the driver: one small
-    record a job, until the time to live of ended jobs is over. Cancelling stops the Spark jobs of the group.
+    A job that is cancelled before it starts does nothing; cancelling one that runs stops its Spark jobs, those that it would
+    start afterwards, and the work itself at the next tell or keep. Its results go.
     """
 
-    def __init__(self, spark: SparkSession, work: Callable[[SparkSession, dict, Callable], dict], ttl_ms: int = TTL_MS):
+    def __init__(self, spark: SparkSession, work: Callable[[SparkSession, dict, Callable, Callable], None], ttl_ms: int = TTL_MS, store: MemoryStore | None = None):
         self.spark, self.work, self.ttl_ms = spark, work, ttl_ms
-        self.count = 0
-        self.events: list[tuple] = []
-        self.outcomes: dict[str, dict] = {}
+        self.store = store or MemoryStore(spark)
         self.threads: dict[str, threading.Thread] = {}
-        self.lock = threading.Lock()
-
-    def _tell(self, job: str, kind: str, value: str | None = None, completed: int | None = None, total: int | None = None) -> None:
-        from datetime import datetime
-
-        with self.lock:
-            self.count += 1
-            self.events.append((job, self.count, datetime.now(), kind, value, completed, total))
+        self.stopped: dict[str, threading.Event] = {}
 
     def submit(self, config: dict, job: str | None = None) -> str:
+        """Starts a job, unless one of that id is known."""
         self.evict()
         job = job or str(uuid.uuid4())
-        self._tell(job, "status", "QUEUED")
-        self._tell(job, "config", json.dumps(config))
+        if self.status(job) is None:
+            self.store.tell(job, "status", "QUEUED")
+            self.store.tell(job, "config", json.dumps(config))
+            self._start(job, config)
+        return job
+
+    def _start(self, job: str, config: dict) -> None:
+        self.stopped[job] = threading.Event()
         self.threads[job] = threading.Thread(target=self._run, args=(job, config), daemon=True)
         self.threads[job].start()
-        return job
 
     def _run(self, job: str, config: dict) -> None:
-        self.spark.sparkContext.setJobGroup(job, f"job {job}", interruptOnCancel=True)
-        self._tell(job, "status", "RUNNING")
+        stopped, context = self.stopped[job], self.spark.sparkContext
+
+        def checked(act: Callable) -> Callable:
+            def run(*args, **options):
+                if stopped.is_set():
+                    raise Cancelled
+                return act(job, *args, **options)
+
+            return run
+
+        tell, keep = checked(self.store.tell), checked(self.store.keep)
+        context.setJobGroup(job, f"job {job}", interruptOnCancel=True)
         try:
-            self.outcomes[job] = self.work(self.spark, config, lambda *a, **k: self._tell(job, *a, **k))
-            self._tell(job, "phase", "COMPLETED")
-            self._tell(job, "status", "COMPLETED")
+            tell("status", "RUNNING")
+            self.work(self.spark, config, tell, keep)
+            tell("phase", "COMPLETED")
+            tell("status", "COMPLETED")
         except Exception as e:  # whatever ends a job is its outcome
-            self._tell(job, "error", str(e)[:500])
-            self._tell(job, "status", "FAILED")
+            if not stopped.is_set():
+                self.store.tell(job, "error", str(e) or type(e).__name__)
+                self.store.tell(job, "status", "FAILED")
+        if stopped.is_set():
+            self.store.drop_results(job)
 
     def cancel(self, job: str) -> bool:
         if self.status(job) not in ("QUEUED", "RUNNING"):
             return False
-        self._tell(job, "status", "CANCELLED")
-        self.spark.sparkContext.cancelJobGroup(job)
+        if job in self.stopped:
+            self.stopped[job].set()
+        self.store.tell(job, "status", "CANCELLED")
+        # Present jobs of the group and those that the thread starts before it sees the event. Spark lets the shuffle stages of
+        # a query that begins later run, so they are cancelled for as long as the thread goes on.
+        self.spark.sparkContext._jsc.sc().cancelJobGroupAndFutureJobs(job)
+        threading.Thread(target=self._keep_down, args=(job,), daemon=True).start()
         return True
 
+    def _keep_down(self, job: str) -> None:
+        thread = self.threads.get(job)
+        while thread is not None and thread.is_alive():
+            self.spark.sparkContext.cancelJobGroup(job)
+            thread.join(0.1)
+
+    def recover(self, again: bool = True) -> list[str]:
+        """The jobs of a runner that is gone without an end of them: they run again from the start, or are FAILED."""
+        left = [job for job in self.store.jobs() if job not in self.threads and self.status(job) in ("QUEUED", "RUNNING")]
+        for job in left:
+            self.store.drop_results(job)
+            if again:
+                self._start(job, self.config(job))
+            else:
+                self.store.tell(job, "error", "the driver that ran the job is gone")
+                self.store.tell(job, "status", "FAILED")
+        return left
+
     def delete(self, job: str) -> bool:
         """Cancels a running job, then forgets it."""
-        self.cancel(job)
-        with self.lock:
-            known = any(e[0] == job for e in self.events)
-            self.events = [e for e in self.events if e[0] != job]
-        self.outcomes.pop(job, None)
+        if self.status(job) is None:
+            return False
+        if self.cancel(job) and job in self.threads:
+            self.threads[job].join(60)
+        self.store.drop(job)
         self.threads.pop(job, None)
-        return known
+        self.stopped.pop(job, None)
+        return True
 
     def evict(self) -> list[str]:
         """Forgets jobs that ended longer ago than the time to live."""
-        from datetime import datetime, timedelta
-
         bound = datetime.now() - timedelta(milliseconds=self.ttl_ms)
-        with self.lock:
-            ends: dict[str, datetime] = {}
-            for e in self.events:
-                if e[3] == "status" and e[4] in TERMINAL:
-                    ends.setdefault(e[0], e[2])
-        gone = [job for job, at in ends.items() if at < bound]
+        ends = {job: next((e[2] for e in self.store.events_of(job) if e[3] == "status" and e[4] in TERMINAL), None) for job in self.store.jobs()}
+        gone = [job for job, at in ends.items() if at and at < bound]
         for job in gone:
             self.delete(job)
         return gone
 
+    def config(self, job: str) -> dict:
+        return next((json.loads(e[4]) for e in self.store.events_of(job) if e[3] == "config"), {})
+
     def status(self, job: str) -> str | None:
-        with self.lock:
-            states = [e[4] for e in self.events if e[0] == job and e[3] == "status"]
-        return next((s for s in states if s in TERMINAL), states[-1] if states else None)
+        events = self.store.events_of(job)
+        states = [e[4] for e in events if e[3] == "status"]
+        return _is_ended(events) or (states[-1] if states else None)
 
     def wait(self, job: str, seconds: float) -> str | None:
         self.threads[job].join(seconds)
         return self.status(job)
 
-    def log(self) -> DataFrame:
-        from corpusloom.schemas import JOB_EVENT
-
+    def log(self, job: str | None = None) -> DataFrame:
+        """The events of one job, or of all that are not forgotten."""
         self.evict()
-        with self.lock:
-            return self.spark.createDataFrame(list(self.events), JOB_EVENT)
+        return self.store.log(job)
 
     def result(self, job: str, name: str) -> DataFrame | None:
         """Available while a job runs or once it is completed."""
         if self.status(job) not in ("RUNNING", "COMPLETED"):
             raise ValueError(f"job is {self.status(job)}")
-        return self.outcomes.get(job, {}).get(name)
+        return self.store.result(job, name)

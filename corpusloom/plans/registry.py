@@ -13,9 +13,13 @@ from corpusloom.functions import urls
 from corpusloom.operators import crawl as cr
 from corpusloom.operators import extract, formatters, paging, stats, validate
 from corpusloom.plans import jobs, requests
-from corpusloom.session import shared_dir
+from corpusloom.session import working_dir
+from corpusloom.plans.export import write_report
+from corpusloom.sources import live, transport
 from corpusloom.sources.pages import fetch, fetch_one, table
+from corpusloom.sources.pages import requests as parsed_requests
 from corpusloom.streaming import jobs as stream_jobs
+from corpusloom.streaming.requests import checked_requests as stream_requests_of
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -135,9 +139,29 @@ def doc_escape_html(spark, d):
     return table(spark, d, "documents").select("doc_id", tx.line_breaks(tx.escape_html(F.col("text"))).alias("escaped"))
 
 
-@query(f"SELECT page_id, {_NORM.format(c='url')} AS normalized FROM pages")
+#: Other ways to write the url of a page: what stands before its path, after the scheme and host, and at its end.
+_WRITTEN = """SELECT page_id, url, split_part(url, '://', 1) AS scheme, regexp_extract(url, '^https?://([^/?#]+)', 1) AS name, regexp_replace(url, '^https?://[^/?#]+', '') AS rest FROM pages"""
+
+
+@query(f"""WITH u AS ({_WRITTEN}) SELECT page_id, CASE page_id % 8
+    WHEN 6 THEN scheme || '://' || name || '/a%20b%C3%BC|%7Bc%7D' WHEN 7 THEN lower(scheme || ':' || page_id) ELSE {_NORM.format(c="url")} END AS normalized FROM u""")
 def url_normalize(spark, d):
-    return table(spark, d, "pages").select("page_id", urls.normalized(F.col("url")).alias("normalized"))
+    """Default ports, dot segments, other cases, slashes and blanks; characters to encode; and what is no url."""
+    part = lambda pattern: F.regexp_extract("url", pattern, 1)
+    u = table(spark, d, "pages").select("page_id", "url", part("^([a-z]+)").alias("scheme"), part("^https?://([^/?#]+)").alias("name"), F.regexp_replace("url", "^https?://[^/?#]+", "").alias("rest"))
+    n, scheme, name, rest = F.col("page_id") % 8, F.col("scheme"), F.col("name"), F.col("rest")
+    port = F.when(scheme == "http", ":80").otherwise(":443")
+    written = (
+        F.when(n == 1, F.concat(scheme, F.lit("://"), name, port, rest))
+        .when(n == 2, F.concat(scheme, F.lit("://"), name, F.lit("/x/y/../%2E%2e/."), rest))
+        .when(n == 3, F.concat(F.lit(" \t"), F.upper(scheme), F.lit("://"), F.upper(name), rest, F.lit("\n")))
+        .when(n == 4, F.concat(scheme, F.lit(":\\\\"), name, rest))
+        .when(n == 5, F.concat(scheme, F.lit("://"), name, F.lit(":"), F.lit("/.."), rest))
+        .when(n == 6, F.concat(scheme, F.lit("://"), name, F.lit("/a bü|{c}")))
+        .when(n == 7, F.concat(F.lit(" "), F.upper(scheme), F.lit(":"), F.col("page_id"), F.lit(" ")))
+        .otherwise(F.col("url"))
+    )
+    return u.select("page_id", urls.normalized(written).alias("normalized"))
 
 
 @query("SELECT page_id, lower(regexp_extract(url, '^https?://([^/?#]+)', 1)) AS host, true AS is_http FROM pages")
@@ -239,6 +263,33 @@ def scrape_failed(spark, d):
     return extract.scrape(fetch(pages, want)).select("url", "title", "word_count", "language", "content_hash", "status", "status_code", "content_type", "error_message")
 
 
+@query(f"""WITH {_EXTRACT}, want AS (SELECT url FROM pages UNION ALL SELECT url || '/gone' FROM pages WHERE page_id % 5 = 0)
+  SELECT w.url, coalesce(title, '') AS title, coalesce(word_count, 0) AS word_count, coalesce(status, 'FAILED') AS status, CASE WHEN page_id IS NULL THEN 0 ELSE 200 END AS status_code,
+  CASE WHEN page_id IS NULL THEN 'unknown' ELSE 'text/html' END AS content_type, CASE WHEN page_id IS NULL THEN 'no stored answer' END AS error_message, true AS timed FROM want w LEFT JOIN ex USING (url)""")
+def live_scrape(spark, d):
+    """The live source, asked through a transport that answers from the table of pages."""
+    pages = table(spark, d, "pages")
+    want = pages.select("url").unionByName(pages.where("page_id % 5 = 0").select(F.concat("url", F.lit("/gone")).alias("url")))
+    got = live.fetched(want, transport.Stored(f"{d}/pages.parquet"), per_host=4)
+    timed = F.col("scraped_at").rlike("^20[0-9]{2}-.*Z$") & (F.col("scrape_ms") >= 0)
+    return extract.scrape(got, native=True, timed=True).select("url", "title", "word_count", "status", "status_code", "content_type", "error_message", timed.alias("timed"))
+
+
+_SHARED = f"""{_LINKS}, path AS (SELECT DISTINCT url, regexp_extract(link, '^https?://[^/?#]+(/.*)$', 1) AS p FROM links),
+  hop AS (SELECT url AS s, p AS t FROM path UNION SELECT p, url FROM path), start AS (SELECT url FROM pages ORDER BY page_id LIMIT 1)"""
+
+
+@query(f"""WITH RECURSIVE {_SHARED}, walk AS (SELECT url AS node, 0 AS depth FROM start UNION SELECT t, depth + 1 FROM walk JOIN hop ON s = node WHERE depth < 5),
+  least AS (SELECT node, min(depth) AS depth FROM walk GROUP BY node)
+  SELECT l.node, l.depth, min(p.s) AS parent FROM least l LEFT JOIN (SELECT s, t, q.depth FROM hop JOIN least q ON q.node = s) p ON p.t = l.node AND p.depth = l.depth - 1 GROUP BY ALL""")
+def crawl_shared_links(spark, d):
+    """From the first page over the paths that its links name to the other pages that name them, five steps deep."""
+    pages = table(spark, d, "pages")
+    path = scraped(spark, d).select("url", F.explode("links").alias("link")).select("url", F.regexp_extract("link", "^https?://[^/?#]+(/.*)$", 1).alias("p"))
+    hops = path.select(F.col("url").alias("src"), F.col("p").alias("dst")).unionByName(path.select(F.col("p").alias("src"), F.col("url").alias("dst")))
+    return cr.frontier(hops, pages.orderBy("page_id").limit(1).select(F.col("url").alias("node")), 5).select("node", "depth", "parent")
+
+
 @query(f"""WITH {_LINKS}, n AS (SELECT page_id, pos, link, {_NORM.format(c="link || CASE WHEN page_id % 2 = 0 THEN '#x' ELSE '' END")} AS norm FROM links) SELECT norm, max((page_id, pos))[1] AS page_id, max((page_id, pos))[2] AS pos FROM n GROUP BY norm""")
 def last_scrape(spark, d):
     """Of records with the same normalised url the last one."""
@@ -351,11 +402,29 @@ def links_only_json(spark, d):
     return formatters.formatted_rows(scraped(spark, d), "LINKS_ONLY").select("page_id", "formatted")
 
 
+@query(f"""WITH {_EXTRACT}, {_LINKS}, l AS (SELECT page_id, count(*) AS n, list(link ORDER BY pos) AS ls FROM links GROUP BY 1),
+  f AS (SELECT page_id, to_json({{'url': url, 'title': title, 'linkCount': coalesce(n, 0), 'links': coalesce(ls, [])}})::VARCHAR AS j FROM ex LEFT JOIN l USING (page_id)),
+  t AS (SELECT '{{"formatType": "LINKS_ONLY", "generatedAt": "2024-01-20", "totalPages": ' || (SELECT count(*) FROM pages) || ', "totalLinks": ' || (SELECT count(*) FROM links) || ', "results": [' AS line
+    UNION ALL SELECT j || CASE WHEN page_id = (SELECT max(page_id) FROM pages) THEN '' ELSE ',' END FROM f UNION ALL SELECT ']}}')
+  SELECT line, count(*) AS times FROM t GROUP BY line""")
+def report_lines(spark, d):
+    """A whole report, written by tasks as one file and read again."""
+    path = write_report(scraped(spark, d), f"{working_dir(spark)}/reports/{uuid.uuid4().hex}", "LINKS_ONLY", "page_id", "2024-01-20")
+    return spark.read.text(path).groupBy(F.col("value").alias("line")).agg(F.count(F.lit(1)).alias("times"))
+
+
 @query("SELECT doc_id, source FROM documents ORDER BY doc_id LIMIT 100 OFFSET 200")
 def paginate_docs(spark, d):
     return paging.page_of(table(spark, d, "documents").select("doc_id", "source"), ["doc_id"], 3, 100)
 
 
+@query("SELECT doc_id, source FROM documents ORDER BY doc_id DESC LIMIT 50 OFFSET 100")
+def paginate_index(spark, d):
+    """The same by an index, which reads one range or two."""
+    own = table(spark, d, "documents").select("doc_id", "source", (-F.col("doc_id")).alias("place"))
+    return paging.PageIndex(own, ["place"], rows=64).page(3, 50).drop("place")
+
+
 @query("SELECT 3 AS page, 100 AS \"limit\", count(*) AS total, CAST(ceil(count(*) / 100.0) AS BIGINT) AS total_pages, ceil(count(*) / 100.0) > 3 AS has_next, true AS has_prev FROM documents")
 def paginate_info(spark, d):
     return paging.page_info(table(spark, d, "documents").select("doc_id"), 3, 100)
@@ -450,33 +519,63 @@ def ttl_cleanup(spark, d):
 def stream_job_fold(spark, d):
     log = job_log(stream_jobs.event_stream(spark, d, "events"))
     counts = log.groupBy("job_id").agg(F.count(F.lit(1)).alias("events"), F.max("seq").alias("last_event"), F.count_if(F.col("value") == "FAILED").alias("errors"))
-    return stream_jobs.run_available(counts, f"{shared_dir(spark)}/streams/{uuid.uuid4().hex}")
+    return stream_jobs.run_available(counts, f"{working_dir(spark)}/streams/{uuid.uuid4().hex}")
 
 
 @query(f"WITH {_LOG} SELECT job_id, status, created_at::TIMESTAMP AS created_at, started_at::TIMESTAMP AS started_at, completed_at::TIMESTAMP AS completed_at FROM job")
 def stream_job_list(spark, d):
-    rows = stream_jobs.run_available(stream_jobs.fold_all(job_log(stream_jobs.event_stream(spark, d, "events"))), f"{shared_dir(spark)}/streams/{uuid.uuid4().hex}")
+    rows = stream_jobs.run_available(stream_jobs.fold_all(job_log(stream_jobs.event_stream(spark, d, "events"))), f"{working_dir(spark)}/streams/{uuid.uuid4().hex}")
     return rows.select("job_id", "status", *(F.col(c).cast("timestamp_ntz").alias(c) for c in ("created_at", "started_at", "completed_at")))
 
 
-#: Good and bad requests: seed, depth, mode, format.
-_REQUESTS = [
-    (None, 1, "CRAWL_ONLY", "JSON"), ("", 1, "CRAWL_ONLY", "JSON"), ("http://a.example.com/", 1, "CRAWL_ONLY", None), ("https://a.example.com/x?y=1", -3, "SCRAPE_ONLY", "HTML"), ("ftp://a.example.com/", 1, "CRAWL_ONLY", "JSON"),
-    ("not a url", 1, "CRAWL_ONLY", "JSON"), ("http://a.example.com/", 9, "CRAWL", "JSON"), ("http://a.example.com/", 11, "CRAWL_AND_SCRAPE", "PDF"), ("http://a.example.com/", None, None, None), ("http://a.example.com/", 11, "CRAWL_AND_SCRAPE", "JSON"),
-]
-_lit = lambda v: "NULL" if v is None else str(v) if isinstance(v, int) else f"'{v}'"
-_VALUES = ", ".join(f"({i}, {', '.join(map(_lit, r))})" for i, r in enumerate(_REQUESTS))
-_in = lambda names: "(" + ", ".join(f"'{n}'" for n in names) + ")"
-_IS = "regexp_matches(seed, '^https?://[^ /?#]+')"
+@query(SQL["stream_job_list"])
+def stream_job_state(spark, d):
+    """The fold with state, under a watermark that no event of the table is behind."""
+    events = job_log(stream_jobs.event_stream(spark, d, "events")).withWatermark("ts", "400 days")
+    rows = stream_jobs.run_available(stream_jobs.fold_with_state(events), f"{working_dir(spark)}/streams/{uuid.uuid4().hex}", "update", stateful=True, keep_batch=True)
+    return stream_jobs.last_of_each(rows).select("job_id", "status", *(F.col(c).cast("timestamp_ntz").alias(c) for c in ("created_at", "started_at", "completed_at")))
 
 
-@query(f"""WITH r(id, seed, depth, mode, format) AS (VALUES {_VALUES})
-  SELECT id, CASE WHEN coalesce(seed, '') = '' THEN '{requests.MISSING}' WHEN NOT {_IS} THEN '{requests.BAD_URL}' WHEN coalesce(mode, '') NOT IN {_in(MODES)} THEN '{requests.BAD_MODE}' WHEN coalesce(format, 'JSON') NOT IN {_in(FORMATS)} THEN '{requests.BAD_FORMAT}' END AS error_v1,
-  CASE WHEN coalesce(seed, '') = '' THEN '{requests.MISSING}' WHEN NOT {_IS} THEN '{requests.BAD_SEED}' WHEN mode NOT IN {_in(MODES)} THEN '{requests.BAD_MODE}' WHEN format NOT IN {_in(FORMATS)} THEN '{requests.BAD_FORMAT}' WHEN depth < 0 OR depth > 10 THEN '{requests.BAD_DEPTH}' END AS error_v2,
-  CASE WHEN coalesce(seed, '') = '' THEN '{requests.MISSING}' WHEN NOT {_IS} THEN '{requests.BAD_URL}' END AS error_single_pass, least(greatest(coalesce(depth, 1), 0), 5) AS depth_v1, coalesce(depth, 2) AS depth_v2, coalesce(mode, 'CRAWL_AND_SCRAPE') AS mode_v2 FROM r""")
+#: Requests as lines of JSON, one of each page: what is wrong with them goes by the page's number.
+_in = lambda names: "(" + ", ".join(f"'{n}'" for n in names) + ")"
+_MODE, _FORMAT = f"[{', '.join(map(repr, MODES))}][page_id % 3 + 1]", f"[{', '.join(map(repr, FORMATS))}][page_id % 5 + 1]"
+_REQUESTS = f"""asked AS (SELECT page_id, page_id % 11 = 10 AS malformed,
+    CASE page_id % 11 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN 'ftp://' || page_id || '.example/' WHEN 3 THEN 'no url ' || page_id ELSE url END AS seed, page_id % 11 BETWEEN 4 AND 9 AS web,
+    CASE page_id % 11 WHEN 4 THEN 'CRAWL' WHEN 5 THEN NULL ELSE {_MODE} END AS mode, CASE page_id % 11 WHEN 6 THEN 'PDF' WHEN 7 THEN NULL ELSE {_FORMAT} END AS format,
+    CASE WHEN page_id % 11 <> 9 THEN page_id % 14 - 2 END::INTEGER AS depth FROM pages)"""
+
+
+def request_lines(pages: DataFrame) -> DataFrame:
+    """(page_id, value): requests, right and wrong ones and some that are not JSON."""
+    n, at = F.col("page_id") % 11, lambda names, k: F.element_at(F.array(*map(F.lit, names)), (F.col("page_id") % k + 1).cast("int"))
+    key = F.col("page_id").cast("string")
+    seed = F.when(n == 0, None).when(n == 1, "").when(n == 2, F.concat(F.lit("ftp://"), key, F.lit(".example/"))).when(n == 3, F.concat(F.lit("no url "), key)).otherwise(F.col("url"))
+    mode = F.when(n == 4, "CRAWL").when(n == 5, None).otherwise(at(MODES, 3))
+    kind = F.when(n == 6, "PDF").when(n == 7, None).otherwise(at(FORMATS, 5))
+    depth = F.when(n != 9, F.col("page_id") % 14 - 2)
+    body = F.to_json(F.struct(seed.alias("seedUrl"), mode.alias("operationMode"), kind.alias("outputFormat"), depth.cast("int").alias("depth"), F.lit(True).alias("includeSubpages")))
+    broken = F.element_at(F.array(F.substring(body, F.lit(1), F.length(body) - 1), F.concat(F.lit("["), body, F.lit("]")), F.replace(body, F.lit('"includeSubpages":true'), F.lit('"includeSubpages":"maybe"'))), (F.col("page_id") % 3 + 1).cast("int"))
+    return pages.select("page_id", F.when(n == 10, broken).otherwise(body).alias("value"))
+
+
+@query(f"""WITH {_REQUESTS} SELECT page_id, malformed, {", ".join(f"CASE WHEN NOT malformed THEN {c} END AS {name}" for c, name in (
+    (f"CASE WHEN coalesce(seed, '') = '' THEN '{requests.MISSING}' WHEN NOT web THEN '{requests.BAD_URL}' WHEN coalesce(mode, '') NOT IN {_in(MODES)} THEN '{requests.BAD_MODE}' WHEN coalesce(format, 'JSON') NOT IN {_in(FORMATS)} THEN '{requests.BAD_FORMAT}' END", "error_v1"),
+    (f"CASE WHEN coalesce(seed, '') = '' THEN '{requests.MISSING}' WHEN page_id % 11 = 3 THEN '{requests.BAD_SEED}' WHEN mode NOT IN {_in(MODES)} THEN '{requests.BAD_MODE}' WHEN format NOT IN {_in(FORMATS)} THEN '{requests.BAD_FORMAT}' WHEN depth < 0 OR depth > 10 THEN '{requests.BAD_DEPTH}' END", "error_v2"),
+    (f"CASE WHEN coalesce(seed, '') = '' THEN '{requests.MISSING}' WHEN NOT web THEN '{requests.BAD_URL}' END", "error_single_pass"),
+    ("least(greatest(coalesce(depth, 1), 0), 5)", "depth_v1"), ("coalesce(depth, 2)", "depth_v2"), ("coalesce(mode, 'CRAWL_AND_SCRAPE')", "mode_v2"), ("coalesce(format, 'JSON')", "format_v1")))} FROM asked""")
 def request_validation(spark, d):
-    own = spark.createDataFrame([(i, *r) for i, r in enumerate(_REQUESTS)], "id int, seedUrl string, depth int, operationMode string, outputFormat string")
-    return requests.checked(own).select("id", "error_v1", "error_v2", "error_single_pass", "depth_v1", "depth_v2", "mode_v2")
+    own = requests.checked(parsed_requests(request_lines(table(spark, d, "pages")), keep=True))
+    names = ("error_v1", "error_v2", "error_single_pass", "depth_v1", "depth_v2", "mode_v2", "format_v1")
+    bad = F.col("malformed").isNotNull()
+    return own.select("page_id", bad.alias("malformed"), *(F.when(~bad, F.col(c)).alias(c) for c in names))
+
+
+@query(f"""WITH {_REQUESTS} SELECT page_id, CASE WHEN malformed THEN '{requests.MALFORMED}' WHEN coalesce(seed, '') = '' THEN '{requests.MISSING}' WHEN page_id % 11 = 3 THEN '{requests.BAD_SEED}'
+    WHEN mode NOT IN {_in(MODES)} THEN '{requests.BAD_MODE}' WHEN format NOT IN {_in(FORMATS)} THEN '{requests.BAD_FORMAT}' WHEN depth < 0 OR depth > 10 THEN '{requests.BAD_DEPTH}' END AS refused FROM asked""")
+def stream_requests(spark, d):
+    """The same lines as a stream over the pages."""
+    lines = request_lines(stream_jobs.event_stream(spark, d, "pages"))
+    return stream_jobs.run_available(stream_requests_of(lines).select("page_id", "refused"), f"{working_dir(spark)}/streams/{uuid.uuid4().hex}", "append")
 
 
 def queries() -> dict:

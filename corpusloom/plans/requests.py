@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from corpusloom.constants import FORMATS, MODES
 from corpusloom.functions import text as tx
 from corpusloom.functions import urls
+from corpusloom.schemas import REQUEST
 
+FIELDS = [x.split()[0] for x in REQUEST.split(", ")]
+MALFORMED = "Request body is not a JSON object of a request"
 MISSING, BAD_URL, BAD_SEED = "seedUrl is required", "Invalid URL format. Must be http:// or https://", "Invalid seedUrl format"
 BAD_MODE = f"Invalid operationMode. Must be one of: {', '.join(MODES)}"
 BAD_FORMAT = f"Invalid outputFormat. Must be one of: {', '.join(FORMATS)}"
@@ -22,10 +25,10 @@ def error_v1() -> Column:
 
 
 def error_v2() -> Column:
-    """The first error of a job request, or null. Only http and https are taken."""
+    """The first error of a job request, or null. A seed of any scheme is taken, though only http and https lead anywhere."""
     seed = F.col("seedUrl")
     wrong = lambda c, known: (tx.or_default(F.col(c), "") != "") & ~F.col(c).isin(*known)
-    return F.when(tx.or_default(seed, "") == "", MISSING).when(~urls.is_http(seed), BAD_SEED).when(wrong("operationMode", MODES), BAD_MODE).when(wrong("outputFormat", FORMATS), BAD_FORMAT).when((F.col("depth") < 0) | (F.col("depth") > 10), BAD_DEPTH)
+    return F.when(tx.or_default(seed, "") == "", MISSING).when(~urls.parses(seed), BAD_SEED).when(wrong("operationMode", MODES), BAD_MODE).when(wrong("outputFormat", FORMATS), BAD_FORMAT).when((F.col("depth") < 0) | (F.col("depth") > 10), BAD_DEPTH)
 
 
 def error_single_pass() -> Column:

@@ -1,7 +1,4 @@
 """Record types, as DDL strings."""
 
-METADATA = "struct<crawledAt:string,scrapedAt:string,scrapeDurationMs:bigint,depth:int,parentUrl:string,statusCode:int,contentType:string,wordCount:bigint,language:string,contentHash:string,status:string,errorMessage:string>"
-SCRAPED = f"url string, title string, headings array<string>, content string, links array<string>, cleanedHtml string, metadata {METADATA}"
-DISCOVERED = "url string, depth int, parentUrl string, statusCode int, contentType string, discoveredAt string, crawlDurationMs bigint, linkType string, skippedReason string"
 REQUEST = "seedUrl string, includeSubpages boolean, depth int, operationMode string, outputFormat string, orgName string, processId string"
 JOB_EVENT = "job_id string, seq long, ts timestamp, kind string, value string, completed long, total long"

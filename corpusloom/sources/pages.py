@@ -17,7 +17,7 @@ def fetch(pages: DataFrame, urls: DataFrame, fail_fast: bool = False, columns: t
     but an error if fail_fast. Only pages that are wanted take part; of several of one url, the one with html and the
     smallest page_id counts, or the one with the least html where there is no page_id."""
     own = pages.join(urls.select("url").distinct(), "url", "left_semi")
-    rank = [F.col("html").isNull().alias("none"), *([F.col("page_id").alias("by")] if "page_id" in pages.columns else []), F.col("html").alias("then")]
+    rank = [F.col("html").isNull().alias("none"), F.col("page_id" if "page_id" in pages.columns else "html").alias("by")]
     own = own.groupBy("url").agg(F.min_by(F.struct(*columns), F.struct(*rank)).alias("page"))
     found = urls.join(own, "url", "left").select(*urls.columns, *(F.col(f"page.{c}").alias(c) for c in columns))
     if fail_fast:
@@ -30,6 +30,12 @@ def fetch_one(pages: DataFrame, url: str) -> DataFrame:
     return pages.where(F.col("url") == url)
 
 
-def requests(lines: DataFrame, column: str = "value") -> DataFrame:
-    """Request bodies in JSON, with a fixed schema; what does not parse has null fields."""
-    return lines.select(F.from_json(column, REQUEST).alias("request")).select("request.*")
+def requests(lines: DataFrame, column: str = "value", keep: bool = False) -> DataFrame:
+    """Request bodies in JSON, with a fixed schema, and `malformed`: the line where it is no JSON object or a field is of
+    another type, else null. A malformed line has no fields. `keep` keeps the columns of lines."""
+    parsed = F.from_json(F.col(column), f"{REQUEST}, malformed string", {"columnNameOfCorruptRecord": "malformed", "mode": "PERMISSIVE"})
+    own = lines.withColumn("request", parsed)
+    bad = F.when(F.col("request").isNull() | F.col("request.malformed").isNotNull() | ~F.trim(F.col(column)).startswith("{"), F.coalesce(F.col(column), F.lit("")))
+    names = [x.split()[0] for x in REQUEST.split(", ")]
+    fields = [F.when(bad.isNull(), F.col(f"request.{c}")).alias(c) for c in names]
+    return own.select(*(lines.columns if keep else []), *fields, bad.alias("malformed"))

@@ -2,39 +2,52 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
+from datetime import datetime
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from corpusloom.constants import TTL_MS
 from corpusloom.plans.jobs import TERMINAL
 
 
-def event_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A stream over one table in a folder, a file or a directory of files."""
+def event_stream(spark: SparkSession, folder: str, name: str, files: int | None = None) -> DataFrame:
+    """A stream over one table in a folder, a file or a directory of files; `files` is how many make a batch at most."""
     path = f"{folder}/{name}.parquet"
     table = spark.read.parquet(path)
     stream = spark.readStream.schema(table.schema)
+    stream = stream.option("maxFilesPerTrigger", files) if files else stream
     if any(f.endswith(f"/{name}.parquet") for f in table.inputFiles()[:1]):
         return stream.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
     return stream.parquet(path)
 
 
-def run_available(stream: DataFrame, target: str, mode: str = "complete") -> DataFrame:
-    """Runs a stream over what is there and gives the target table: the last batch in complete mode, else all of them.
-    A batch that is run again replaces what it wrote."""
+def run_available(stream: DataFrame, target: str, mode: str = "complete", stateful: bool = False, keep_batch: bool = False) -> DataFrame:
+    """Runs a stream over what is there and gives the target table: the last batch in complete mode, else all of them, with
+    the number of each with keep_batch. A batch that is run again replaces what it wrote, and a stream that is started again
+    on the same target goes on after the last batch."""
     spark = stream.sparkSession
 
     def put(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{target}/rows/batch={0 if mode == 'complete' else number}")
 
-    query = stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{target}/state-{uuid.uuid4().hex}").foreachBatch(put).start()
-    query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{target}/rows").select(*stream.columns)
+    before = spark.conf.get(_PROVIDER, None)
+    if stateful:
+        spark.conf.set(_PROVIDER, _ROCKS)
+    try:
+        query = stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{target}/state").foreachBatch(put).start()
+        query.awaitTermination()
+    finally:
+        if stateful and before is not None:
+            spark.conf.set(_PROVIDER, before)
+        elif stateful:
+            spark.conf.unset(_PROVIDER)
+    names = [*stream.columns, *(["batch"] if keep_batch else [])]
+    return spark.read.schema(StructType([*stream.schema.fields, *([StructField("batch", IntegerType())] if keep_batch else [])])).parquet(f"{target}/rows").select(*names)
 
 
 def fold_all(events: DataFrame) -> DataFrame:
@@ -52,34 +65,93 @@ def fold_all(events: DataFrame) -> DataFrame:
     return out.select("job_id", F.coalesce("end.value", "last", F.lit("QUEUED")).alias("status"), "created_at", F.when(ran, F.col("run.ts")).alias("started_at"), F.col("end.ts").alias("completed_at"))
 
 
-STATE = "status string, created timestamp, started timestamp, ended timestamp"
-OUTPUT = "job_id string, status string, created_at timestamp, started_at timestamp, completed_at timestamp"
+STATE = "status string, created_at timestamp, started_at timestamp, completed_at timestamp"
+WAITING = "ts timestamp, seq long, value string"
+OUTPUT = f"job_id string, {STATE}"
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def _ms(at: datetime) -> int:
+    return round(at.timestamp() * 1000)
+
+
+def step(state: tuple, ts: datetime, value: str | None) -> tuple:
+    """The state (status, created, started, ended) after one more event in order; `value` is null for what is no status."""
+    status, created, started, ended = state
+    created = created or ts
+    if value is not None and status not in TERMINAL:
+        status = value
+        if value == "RUNNING" and started is None:
+            started = ts
+        if value in TERMINAL:
+            ended = ts
+    return status, created, started, ended
+
+
+class JobFold(StatefulProcessor):
+    """The fold of one job's events in the order of (ts, seq), whatever the order and the batches in which they come.
+
+    Events that an earlier one may still follow wait in order; once the watermark has passed they are folded into the job's
+    state for good. What is given is the state with all that wait. An hour after its end a job is forgotten by a timer.
+    """
+
+    def __init__(self, ttl_ms: int):
+        self.ttl_ms = ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.job = handle.getValueState("job", STATE)
+        self.waiting = handle.getListState("waiting", WAITING)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        mark = timerValues.getCurrentWatermarkInMs()
+        state = tuple(self.job.get()) if self.job.exists() else ("QUEUED", None, None, None)
+        events = [(e.ts.to_pydatetime(), int(e.seq), e.value if e.kind == "status" else None) for part in rows for e in part.itertuples()]
+        events = sorted([*(tuple(w) for w in self.waiting.get()), *events], key=lambda e: e[:2])
+        late = [e for e in events if _ms(e[0]) > mark]
+        for ts, _, value in events[: len(events) - len(late)]:
+            state = step(state, ts, value)
+        if state[1] is not None:
+            self.job.update(state)
+        if late:
+            self.waiting.put(late)
+        else:
+            self.waiting.clear()
+        for ts, _, value in late:
+            state = step(state, ts, value)
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if state[3] is not None:
+            self.handle.registerTimer(max(_ms(state[3]) + self.ttl_ms, mark + 1))
+        yield pd.DataFrame({"job_id": [key[0]], "status": [state[0]], "created_at": [state[1]], "started_at": [state[2]], "completed_at": [state[3]]})
+
+    def handleExpiredTimer(self, key, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.job.clear()
+        self.waiting.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
 
 
 def fold_with_state(events: DataFrame, ttl_ms: int = TTL_MS) -> DataFrame:
-    """Status of each job after each batch that has events of it; ended jobs are forgotten after the time to live.
+    """Status and times of each job after each batch that has events of it, as jobs.fold gives them for all events so far.
 
-    events are (job_id, ts, kind, value) with a watermark on ts. Within a batch events count in order of their time.
+    events are (job_id, seq, ts, kind, value) with a watermark on ts, which says how late an event may come; Spark leaves out
+    those that come later. The state of a job is one row and the events that wait. Ended jobs are forgotten after the time to
+    live. Needs the RocksDB state store, which run_available() sets with stateful=True.
     """
+    return events.groupBy("job_id").transformWithStateInPandas(statefulProcessor=JobFold(ttl_ms), outputStructType=OUTPUT, outputMode="Update", timeMode="EventTime")
+
+
+def last_of_each(rows: DataFrame) -> DataFrame:
+    """Of the rows of all batches, with their batch, the last of each job."""
+    own = [c for c in rows.columns if c not in ("job_id", "batch")]
+    return rows.groupBy("job_id").agg(F.max_by(F.struct(*own), "batch").alias("r")).select("job_id", "r.*")
+
 
-    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        status, created, started, ended = state.get if state.exists else ("QUEUED", None, None, None)
-        for e in pd.concat(list(batches)).sort_values("ts", kind="stable").itertuples():
-            created = created or e.ts.to_pydatetime()
-            if status in TERMINAL or e.kind != "status":
-                continue
-            status = e.value
-            if status == "RUNNING" and started is None:
-                started = e.ts.to_pydatetime()
-            if status in TERMINAL:
-                ended = e.ts.to_pydatetime()
-        state.update((status, created, started, ended))
-        if ended is not None:
-            at = int(pd.Timestamp(ended, tz="UTC").timestamp() * 1000) + ttl_ms
-            state.setTimeoutTimestamp(max(at, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({"job_id": [key[0]], "status": [status], "created_at": [created], "started_at": [started], "completed_at": [ended]})
-
-    return events.groupBy("job_id").applyInPandasWithState(step, OUTPUT, STATE, "update", GroupStateTimeout.EventTimeTimeout)
+def known_jobs(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """(job_id, status, created_at, started_at, completed_at) as folded for good, read from the state of a stream."""
+    rows = spark.read.format("statestore").option("stateVarName", "job").load(checkpoint)
+    return rows.select("key.job_id", "value.*")

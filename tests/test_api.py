@@ -1,6 +1,7 @@
 import pytest
 
 from corpusloom.plans.api import Service
+from corpusloom.plans.store import TableStore
 
 REQUEST = {"seedUrl": "http://s.example/", "includeSubpages": True, "depth": 1, "operationMode": None, "outputFormat": None, "orgName": "An Org", "processId": None}
 
@@ -27,3 +28,19 @@ def test_job_from_start_to_export(spark, tmp_path):
     files = service.export(job, f"file://{tmp_path}", "HTML")
     assert set(files) == {"crawl_results", "scrape_results", "validation_report", "summary"} and "/an-org/" in files["summary"]
     assert not service.cancel(job) and service.delete(job) and service.status(job) is None
+
+
+def test_a_service_after_another(spark, tmp_path):
+    """Jobs of one service are listed, paged and exported by the next one over the same folder."""
+    pages = spark.createDataFrame([(1, "http://s.example/", '<article>the text<a href="/a">l</a></article>')], "page_id long, url string, html string")
+    first = Service(spark, pages, store=TableStore(spark, f"file://{tmp_path}/jobs"))
+    job = first.submit(REQUEST)
+    assert first.runner.wait(job, 120) == "COMPLETED"
+    second = Service(spark, pages, store=TableStore(spark, f"file://{tmp_path}/jobs"))
+    assert [tuple(r) for r in second.list().collect()] == [tuple(r) for r in first.list().collect()]
+    assert second.status(job)["summary"] == first.status(job)["summary"]
+    page = second.results(job, "scraped", "2", "1")
+    assert page["pagination"] == {"page": 2, "limit": 1, "total": 2, "total_pages": 2, "has_next": False, "has_prev": True} and [r.url for r in page["data"].collect()] == ["http://s.example/a"]
+    files = second.export(job, f"file://{tmp_path}/out", "SUMMARY")
+    assert files["scrape_results"].endswith("scrape-results.txt") and second.validation(job)["failed"] == 1
+    assert second.recover() == [] and second.delete(job) and first.runner.store.result(job, "scraped") is None

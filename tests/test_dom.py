@@ -48,7 +48,7 @@ def test_a_page_that_raises(spark, monkeypatch):
     rows = dom.extract_rows(pd.Series(["<p>fine", "boom", None]))
     assert rows["error"].tolist() == [None, "division by zero", "navigation failed"] and rows["content"].tolist() == ["fine", "", ""]
     assert rows["at"].str.fullmatch(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d\.\d{3}Z").all() and (rows["ms"] >= 0).all()
-    monkeypatch.setattr(extract, "extract_udf", lambda c: __import__("pyspark.sql.functions", fromlist=["F"]).expr("named_struct('title', '', 'headings', array(), 'content', '', 'references', array(), 'cleaned_html', '', 'error', 'boom', 'at', 'T', 'ms', 3L)"))
+    monkeypatch.setattr(extract, "extract_udf", lambda *_: __import__("pyspark.sql.functions", fromlist=["F"]).expr("named_struct('title', '', 'headings', array(), 'content', '', 'references', array(), 'cleaned_html', '', 'error', 'boom', 'at', 'T', 'ms', 3L)"))
     pages = spark.createDataFrame([("http://a.b/", "x", 203, "text/html; charset=x", 4)], "url string, html string, status_code int, content_type string, depth int")
     r = extract.scrape(pages, timed=True).first()
     assert (r.status, r.error_message, r.status_code, r.content_type, r.depth, r.word_count, r.language, r.scraped_at, r.scrape_ms) == ("FAILED", "boom", 203, "text/html", 4, 0, "unknown", "T", 3)

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from corpusloom.operators import crawl, extract, formatters, paging, stats, validate
 from corpusloom.plans import export
 from corpusloom.plans.engine import Engine
-from corpusloom.sources.pages import fetch
+from corpusloom.sources.pages import fetch, requests
 
 PAGE = "<html><title>T&amp;x</title><body><article><h1>H</h1><p>The cat is here.</p><a href='/b'>b</a></article></body></html>"
 
@@ -122,6 +122,89 @@ def test_formats(site):
     assert formatters.output_name("MARKDOWN") == ("scrape-output.md", "text/markdown")
 
 
+def test_bucketed_edges_are_not_shuffled(spark, monkeypatch):
+    """A level shuffles what it starts from and what it reaches, never the edges."""
+    edges = crawl.bucketed(spark.range(5_000).selectExpr("id AS src", "(id * 7 + 3) % 5000 AS dst").unionByName(spark.range(5_000).selectExpr("id AS src", "(id + 1) % 5000 AS dst")), 4)
+    level = spark.range(2_500).selectExpr("id AS node")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        step = level.select(F.col("node").alias("src")).join(edges, "src")
+        rows = step.count()
+        plan = step._jdf.queryExecution().executedPlan().toString()
+        assert rows == 5_000 and "SortMergeJoin" in plan or "ShuffledHashJoin" in plan
+        scan = plan[: plan.index("FileScan")].splitlines()[-4:]
+        assert "SelectedBucketsCount: 4 out of 4" in plan and not any("Exchange" in line and "FileScan" in plan.split(line)[1].split("\n")[1] for line in scan)
+        assert plan.count("Exchange hashpartitioning") == 1
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert {r.node for r in crawl.reached(level.limit(1), edges, level.limit(0)).collect()} == {3, 1}
+    crawl.drop_bucketed(edges)
+    assert not spark.catalog.tableExists(edges._corpusloom_table)
+
+
+def test_page_index(spark):
+    """The pages of page_of, each from two ranges at most."""
+    df = spark.range(3_000).selectExpr("(id * 7919) % 3000 AS place", "id % 13 AS other").repartition(5)
+    index = paging.PageIndex(df, ["place"], rows=100)
+    assert len(index.ranges) > 10 and index.total == 3_000
+    for page, limit in ((1, 10), (7, 99), (30, 100), (300, 10), (301, 10), (1, 500), (6, 500), (7, 500)):
+        assert index.page(page, limit).collect() == paging.page_of(df, ["place"], page, limit).collect()
+        assert limit > 50 or len(index.of(page, limit)) <= 2
+        assert index.info(page, limit) == paging.page_info(df, page, limit).first().asDict()
+    empty = paging.PageIndex(df.limit(0), ["place"])
+    assert empty.page(1, 10).collect() == [] and empty.info(1, 10)["total"] == 0
+
+
+@pytest.mark.parametrize("kind", ["JSON", "MARKDOWN", "SUMMARY", "LINKS_ONLY", "HTML", "other"])
+def test_report_from_many_tasks(spark, site, tmp_path, kind):
+    """The file is that of document(), whatever the number of tasks, and replaces the one before."""
+    rows = extract.scrape(site.unionByName(site.selectExpr("page_id + 100 AS page_id", "url || 'x' AS url", "html")))
+    for some in (rows, rows.limit(0)):
+        path = export.write_report(some, f"file://{tmp_path}/out", kind, "page_id", "now")
+        assert open(path.removeprefix("file://"), newline="").read() == "".join(formatters.document(some, kind, "page_id", "now"))
+    assert [p.name for p in (tmp_path / "out").iterdir()] == [path.rsplit("/", 1)[1]]
+
+
+def test_report_parts_are_in_order(spark, tmp_path):
+    from corpusloom.sinks.report import Frame, write_report
+
+    pages = spark.range(20_000).selectExpr("id", "'page ' || id AS text").repartition(7).orderBy("id").select("text")
+    write_report(pages, f"file://{tmp_path}/r.txt", Frame("head\n", "<", "\n", ">", "\ntail"))
+    assert (tmp_path / "r.txt").read_text() == "head\n<" + "\n".join(f"page {i}" for i in range(20_000)) + ">\ntail"
+    with pytest.raises(Exception, match="one column of text"):
+        write_report(spark.range(3), f"file://{tmp_path}/s.txt", Frame())
+
+    def breaks(batches):
+        for b in batches:
+            yield b
+            raise RuntimeError("lost")
+
+    with pytest.raises(Exception):
+        write_report(pages.mapInArrow(breaks, "text string"), f"file://{tmp_path}/r.txt", Frame())
+    assert (tmp_path / "r.txt").read_text().startswith("head") and sorted(p.name for p in tmp_path.iterdir()) == ["r.txt"]
+
+
+def test_fetch_one_that_fails(spark, site):
+    """S3: a page that is not there ends the query."""
+    want = spark.createDataFrame([("http://s.example/a",), ("http://s.example/none",)], "url string")
+    assert fetch(site, want.limit(1), fail_fast=True).first().html
+    with pytest.raises(Exception, match="navigation failed: http://s.example/none"):
+        fetch(site, want, fail_fast=True).collect()
+
+
+def test_request_lines(spark):
+    """S7: lines with their fields, and those that are none."""
+    lines = ['{"seedUrl": "http://a.b/", "depth": 2, "more": [1]}', "{}", "", "null", "[{}]", '{"depth": "two"}', '{"seedUrl": "x"', None]
+    got = requests(spark.createDataFrame([(i, v) for i, v in enumerate(lines)], "i int, value string"), keep=True).orderBy("i").collect()
+    assert [(r.seedUrl, r.depth) for r in got] == [("http://a.b/", 2)] + [(None, None)] * 7
+    assert [r.malformed is None for r in got] == [True, True] + [False] * 6
+
+
+def test_language_map(site):
+    assert stats.language_map(extract.scrape(site)).first().languages == {"en": 3, "unknown": 1}
+
+
 def test_engine_and_export(spark, site, tmp_path):
     engine = Engine(spark, site)
     out = engine.process({"seedUrl": "http://s.example/", "includeSubpages": True, "depth": 9, "operationMode": "CRAWL_AND_SCRAPE", "outputFormat": None, "orgName": None, "processId": None})
@@ -133,7 +216,15 @@ def test_engine_and_export(spark, site, tmp_path):
     files = export.export_job(job, out["crawled"], out["scraped"], r, f"file://{tmp_path}", "run1", "MARKDOWN", "now")
     assert (tmp_path / "s" / "run1" / "scrape-results.md").read_text().startswith("# Scraped Content")
     assert spark.read.json(files["crawl_results"]).count() == 4
-    assert "Pages Scraped:    4" in (tmp_path / "s" / "run1" / "summary.txt").read_text()
+    summary = (tmp_path / "s" / "run1" / "summary.txt").read_text()
+    assert "Pages Scraped:    4" in summary and "FAILED URLS (first 10):\n  - http://s.example/gone\n    Error: navigation failed\n\n" in summary and "more" not in summary
+    bad = spark.range(13).selectExpr("'http://s.example/' || lpad(id, 2, '0') AS url", "'FAILED' AS status", "'' AS error_message")
+    told = export.export_text(job, None, bad, validate.report(bad, bad).first(), "now")
+    assert told.count("    Error: Unknown error") == 10 and "  - http://s.example/09\n    Error: Unknown error\n  ... and 3 more\n" in told
+    for kind, name in (("SUMMARY", "txt"), ("LINKS_ONLY", "txt"), ("HTML", "html"), ("JSON", "json")):
+        assert export.export_job(job, None, out["scraped"], None, f"file://{tmp_path}", kind, kind, "now")["scrape_results"].endswith(f"/scrape-results.{name}")
+    times = out["scraped"].agg(F.min("scraped_at"), F.min("scrape_ms")).first()
+    assert times[0] > "2024" and times[1] >= 0 and "1970" not in (tmp_path / "s" / "run1" / "scrape-results.md").read_text()
     with pytest.raises(ValueError, match="RUNNING"):
         export.export_job(job | {"status": "RUNNING"}, None, None, None, "x", "y")
     export.write_table(out["crawled"], f"file://{tmp_path}/t", "csv", org="s")
