@@ -1,8 +1,7 @@
 """Pages from a live site, or from whatever a transport asks, as a data source.
 
 The urls to fetch are a table in the shared folder with a partition per lane. A host's urls lie in one lane, or in `lanes` of
-them for hosts that bear it, so no more requests than that go to a host at a time, and a lane goes from url to url. A filter on
-the url is applied before anything is fetched, and lanes that it rules out are not read.
+them for hosts that bear it, so no more requests than that go to a host at a time, and a lane goes from url to url.
 """
 
 from __future__ import annotations
@@ -16,9 +15,9 @@ from datetime import UTC, datetime
 
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, In, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
@@ -63,15 +62,9 @@ class LiveReader(DataSourceReader):
         self.folder, self.schema = options["folder"], schema
         self.transport: Callable = cloudpickle.loads(base64.b64decode(options["transport"]))
         self.fail_fast, self.seconds, self.pause = options.get("failfast", "false") == "true", float(options.get("seconds", SECONDS)), float(options.get("pausems", 0)) / 1000
-        self.wanted: set[str] | None = None
 
-    def pushFilters(self, filters):
-        for f in filters:
-            if isinstance(f, EqualTo | In) and f.attribute == ("url",):
-                own = {f.value} if isinstance(f, EqualTo) else set(f.value)
-                self.wanted = own if self.wanted is None else self.wanted & own
-            else:
-                yield f
+    # Spark 4.1 keeps the reader of a frame with the filters that one query pushed, for queries with others too. So none are
+    # taken here; a filter belongs on the table of urls, before anything is fetched.
 
     def partitions(self) -> list[Lane]:
         import pyarrow.dataset as ds
@@ -81,10 +74,6 @@ class LiveReader(DataSourceReader):
         lanes: dict[str, list[str]] = {}
         for f in ds.dataset(path, filesystem=files, format="parquet").files:
             lanes.setdefault(f.rsplit("/", 2)[1], []).append(f)
-        if self.wanted is not None:
-            # Urls are few here, so their lanes are found by reading the urls alone.
-            own = {k: v for k, v in lanes.items() if self._urls(v)}
-            return [Lane(v) for v in own.values()]
         return [Lane(v) for v in lanes.values()]
 
     def _urls(self, paths: list[str]) -> list[str]:
@@ -92,8 +81,7 @@ class LiveReader(DataSourceReader):
         from pyarrow.fs import FileSystem
 
         files, _ = FileSystem.from_uri(self.folder)
-        only = None if self.wanted is None else ds.field("url").isin(sorted(self.wanted))
-        return ds.dataset(paths, filesystem=files, format="parquet").to_table(columns=["url"], filter=only).column("url").to_pylist()
+        return ds.dataset(paths, filesystem=files, format="parquet").to_table(columns=["url"]).column("url").to_pylist()
 
     def _visit(self, url: str) -> dict:
         at, began = datetime.now(UTC), time.perf_counter()
@@ -106,7 +94,9 @@ class LiveReader(DataSourceReader):
             row = {"status_code": None, "content_type": None, "html": None, "error_message": str(e) or type(e).__name__}
         return {"url": url, **row, "scraped_at": at, "scrape_ms": round(1000 * (time.perf_counter() - began))}
 
-    def read(self, partition: Lane) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Lane | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:
+            return  # no urls at all
         urls, schema = self._urls(partition.value), to_arrow_schema(self.schema)
         for i in range(0, len(urls), BATCH):
             own = urls[i : i + BATCH]
@@ -125,10 +115,11 @@ def fetched(urls: DataFrame, transport: Callable, fail_fast: bool = False, secon
 
     transport(url, seconds) gives an Answer or raises; with a method prepare(urls) it is told before which come next. A url
     that it raises for has a row without html and with the error, or fails the query with fail_fast. Nothing is fetched before
-    the rows are asked for, and asking twice fetches twice: keep what should stay. A lost task fetches its lane again.
+    the rows are asked for, and asking twice fetches twice: keep what should stay. A filter on the result fetches all; put it
+    on urls. A lost task fetches its lane again.
     """
     spark = urls.sparkSession
-    _registered(spark)
+    spark.dataSource.register(LivePages)
     own = urls.select("url").where("url IS NOT NULL").distinct().withColumn("lane", lane(F.col("url"), per_host, lanes))
     folder = f"{working_dir(spark)}/urls/{uuid.uuid4().hex}"
     own.repartition("lane").write.partitionBy("lane").parquet(folder)
@@ -136,11 +127,6 @@ def fetched(urls: DataFrame, transport: Callable, fail_fast: bool = False, secon
     return spark.read.format(FORMAT).options(**options).load()
 
 
-def _registered(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    spark.dataSource.register(LivePages)
-
-
 def fetcher(transport: Callable, **options) -> Callable[[DataFrame], DataFrame]:
     """A function from urls(url, ...) to the same rows with their pages, for Engine and crawl_live()."""
 
