@@ -18,58 +18,75 @@ from corpusloom.sources.pages import fetch
 BUCKET_EDGES = 4_000_000
 
 
-def bucketed(edges: DataFrame, buckets: int | None = None) -> DataFrame:
-    """The distinct edges(src, dst) as a table in the shared folder, dealt into buckets and sorted by src. A join with it on src
-    shuffles the other side only. drop_bucketed() forgets it."""
-    spark = edges.sparkSession
+class Bucketed:
+    """The rows of df as a table in the working folder, dealt into buckets by a column and sorted by it. A join with `rows` on
+    that column shuffles the other side only, and lineage ends here. The table is for joins while it is not closed; `stored`
+    are the same rows, from its files."""
+
+    def __init__(self, df: DataFrame, column: str, buckets: int):
+        self.spark, self.name = df.sparkSession, f"corpusloom_{uuid.uuid4().hex}"
+        self.path = f"{working_dir(self.spark)}/{self.name}"
+        df.write.format("parquet").option("path", self.path).bucketBy(buckets, column).sortBy(column).saveAsTable(self.name)
+        self.rows, self.stored = self.spark.table(self.name), self.spark.read.schema(df.schema).parquet(self.path)
+
+    def close(self, forget: bool = False) -> None:
+        """Takes the table out of the catalog; its files stay unless they are to be forgotten."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        if forget:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def bucketed_edges(edges: DataFrame) -> tuple[Bucketed, int]:
+    """The distinct edges(src, dst) without nulls by src, and the number of buckets: that of shuffles, or more for many edges."""
     own = checkpointed(edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct())
-    buckets = buckets or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-own.count() // BUCKET_EDGES))
-    name = f"corpusloom_edges_{uuid.uuid4().hex}"
-    # One file a bucket, by the same hash that joins use.
-    own.repartition(buckets, "src").write.format("parquet").option("path", f"{working_dir(spark)}/{name}").bucketBy(buckets, "src").sortBy("src").saveAsTable(name)
-    out = spark.table(name)
-    out._corpusloom_table = name
-    return out
-
-
-def drop_bucketed(edges: DataFrame) -> None:
-    spark, name = edges.sparkSession, edges._corpusloom_table
-    spark.sql(f"DROP TABLE IF EXISTS {name}")
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{working_dir(spark)}/{name}")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    buckets = max(int(own.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-own.count() // BUCKET_EDGES))
+    return Bucketed(own.repartition(buckets, "src"), "src", buckets), buckets
 
 
-def reached(level: DataFrame, edges: DataFrame, visited: DataFrame) -> DataFrame:
-    """(node, parent) of what one step over edges(src, dst) leads to from level(node) and was not visited(node) before."""
-    step = level.select(F.col("node").alias("src")).join(edges, "src").groupBy(F.col("dst").alias("node")).agg(F.min("src").alias("parent"))
-    return step.join(visited.select("node"), "node", "left_anti")
+def reached(level: DataFrame, edges: DataFrame, visited: list[DataFrame]) -> DataFrame:
+    """(node, parent) of what one step over edges(src, dst) leads to from level(node) and is in none of visited(node)."""
+    out = level.select(F.col("node").alias("src")).join(edges, "src").groupBy(F.col("dst").alias("node")).agg(F.min("src").alias("parent"))
+    for rows in visited:
+        out = out.join(rows.select("node"), "node", "left_anti")
+    return out
 
 
 def frontier(edges: DataFrame, seeds: DataFrame, max_depth: int, edge_filter: Column | None = None, cap: int | None = None, on_level: Callable[[int], None] | None = None) -> DataFrame:
     """(node, depth, parent) of what seeds(node) reach over edges(src, dst) within max_depth steps, each node once, at
     its least depth and from its least parent there. The filter applies to edges before any join.
 
-    The edges are written once to the shared folder, in buckets by src, so that a level joins them where they lie; each level
-    is written too. The search ends with the first empty level, or with the level that reaches `cap` nodes; that level is
-    whole. on_level gets the number of nodes so far."""
+    Edges are written once, in buckets by src, and each level in buckets by node. So a step shuffles the nodes of its level and
+    what they reach, but neither the edges nor what was visited. The search ends with the first empty level, or with the
+    level that reaches `cap` nodes; that level is whole. on_level gets the number of nodes so far."""
     edges = edges.where(edge_filter) if edge_filter is not None else edges
     kind = edges.schema["dst"].dataType
-    level = checkpointed(seeds.select(F.col("node").cast(kind)).distinct().select("node", F.lit(0).alias("depth"), F.lit(None).cast(kind).alias("parent")))
-    edges = bucketed(edges) if max_depth > 0 else edges
-    visited, count = level, level.count()
-    for depth in range(1, max_depth + 1):
-        if on_level:
-            on_level(count)
-        if cap is not None and count >= cap:
-            break
-        level = checkpointed(reached(level, edges, visited).select("node", F.lit(depth).alias("depth"), "parent"))
-        new = level.count()
-        if not new:
-            break
-        visited, count = visited.unionByName(level), count + new
-    if max_depth > 0:
-        drop_bucketed(edges)
-    return visited
+    first = seeds.select(F.col("node").cast(kind)).distinct().select("node", F.lit(0).alias("depth"), F.lit(None).cast(kind).alias("parent"))
+    if max_depth < 1:
+        return checkpointed(first)
+    table, buckets = bucketed_edges(edges)
+    levels = [Bucketed(first, "node", buckets)]
+    count = levels[0].stored.count()
+    try:
+        for depth in range(1, max_depth + 1):
+            if on_level:
+                on_level(count)
+            if cap is not None and count >= cap:
+                break
+            step = reached(levels[-1].rows, table.rows, [v.rows for v in levels])
+            levels.append(Bucketed(step.select("node", F.lit(depth).alias("depth"), "parent"), "node", buckets))
+            new = levels[-1].stored.count()
+            if not new:
+                break
+            count += new
+    finally:
+        table.close(forget=True)
+        for level in levels:
+            level.close()
+    out = levels[0].stored
+    for level in levels[1:]:
+        out = out.unionByName(level.stored)
+    return out
 
 
 def effective_depth(max_depth: int, include_subpages: bool) -> int:

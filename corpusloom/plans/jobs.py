@@ -18,10 +18,11 @@ from pyspark.sql import functions as F
 
 from corpusloom.constants import TTL_MS
 from corpusloom.functions import text as tx
-from corpusloom.plans.store import MemoryStore
+from corpusloom.plans.store import TERMINAL, MemoryStore
 from corpusloom.schemas import REQUEST
 
-TERMINAL = ("COMPLETED", "FAILED", "CANCELLED")
+#: Seconds between two looks for jobs to forget, unless their time to live is shorter.
+EVICT_EVERY = 300
 
 
 def fold(events: DataFrame) -> DataFrame:
@@ -123,6 +124,7 @@ class JobRunner:
         self.store = store or MemoryStore(spark)
         self.threads: dict[str, threading.Thread] = {}
         self.stopped: dict[str, threading.Event] = {}
+        self.evicted_at = datetime.min
 
     def submit(self, config: dict, job: str | None = None) -> str:
         """Starts a job, unless one of that id is known."""
@@ -184,7 +186,7 @@ class JobRunner:
 
     def recover(self, again: bool = True) -> list[str]:
         """The jobs of a runner that is gone without an end of them: they run again from the start, or are FAILED."""
-        left = [job for job in self.store.jobs() if job not in self.threads and self.status(job) in ("QUEUED", "RUNNING")]
+        left = [job for job in self.store.unended() if job not in self.threads]
         for job in left:
             self.store.drop_results(job)
             if again:
@@ -206,10 +208,12 @@ class JobRunner:
         return True
 
     def evict(self) -> list[str]:
-        """Forgets jobs that ended longer ago than the time to live."""
-        bound = datetime.now() - timedelta(milliseconds=self.ttl_ms)
-        ends = {job: next((e[2] for e in self.store.events_of(job) if e[3] == "status" and e[4] in TERMINAL), None) for job in self.store.jobs()}
-        gone = [job for job, at in ends.items() if at and at < bound]
+        """Forgets jobs that ended longer ago than the time to live; looks for them every five minutes at most."""
+        now, ttl = datetime.now(), timedelta(milliseconds=self.ttl_ms)
+        if now - self.evicted_at < min(ttl, timedelta(seconds=EVICT_EVERY)):
+            return []
+        self.evicted_at = now
+        gone = self.store.ended_before(now - ttl)
         for job in gone:
             self.delete(job)
         return gone

@@ -26,8 +26,8 @@ from corpusloom.session import working_dir
 
 FORMAT = "corpusloom_pages"
 SCHEMA = "url string, status_code int, content_type string, html string, error_message string, scraped_at timestamp, scrape_ms long"
-#: Lanes of all hosts, pages of a batch, seconds for a page.
-LANES, BATCH, SECONDS = 64, 32, 30.0
+#: Lanes of all hosts, pages of a batch, urls that a transport is told of at a time, seconds for a page.
+LANES, BATCH, TOLD, SECONDS = 64, 32, 1024, 30.0
 
 
 def _lane_of(host: str | None, url: str, per_host: int, lanes: int) -> int:
@@ -100,8 +100,8 @@ class LiveReader(DataSourceReader):
         urls, schema = self._urls(partition.value), to_arrow_schema(self.schema)
         for i in range(0, len(urls), BATCH):
             own = urls[i : i + BATCH]
-            if hasattr(self.transport, "prepare"):
-                self.transport.prepare(own)
+            if i % TOLD == 0 and hasattr(self.transport, "prepare"):
+                self.transport.prepare(urls[i : i + TOLD])
             rows = []
             for url in own:
                 rows.append(self._visit(url))

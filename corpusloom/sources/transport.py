@@ -29,7 +29,8 @@ def http(url: str, seconds: float) -> Answer:
 class Stored:
     """Answers from a table of Parquet at a path that every task can open; a url that it lacks raises.
 
-    Each task reads the answers to the urls that it is about to ask for, and those only.
+    Each task reads the answers to the urls that it is about to ask for, and those only. Meant to go over a site again without
+    asking it; a corpus is joined with sources.pages.fetch() instead.
     """
 
     def __init__(self, path: str, url: str = "url", body: str = "html", status: str | None = None, content_type: str | None = None):
