@@ -104,7 +104,7 @@ class Cancelled(Exception):
     """Ends the work of a job that was cancelled."""
 
 
-def _is_ended(events: list[tuple]) -> str | None:
+def _end_of(events: list[tuple]) -> str | None:
     return next((e[4] for e in events if e[3] == "status" and e[4] in TERMINAL), None)
 
 
@@ -125,6 +125,8 @@ class JobRunner:
         self.threads: dict[str, threading.Thread] = {}
         self.stopped: dict[str, threading.Event] = {}
         self.evicted_at = datetime.min
+        #: A job either ends or is cancelled.
+        self.ending = threading.RLock()
 
     def submit(self, config: dict, job: str | None = None) -> str:
         """Starts a job, unless one of that id is known."""
@@ -157,21 +159,23 @@ class JobRunner:
         try:
             tell("status", "RUNNING")
             self.work(self.spark, config, tell, keep)
-            tell("phase", "COMPLETED")
-            tell("status", "COMPLETED")
+            end = [("phase", "COMPLETED"), ("status", "COMPLETED")]
         except Exception as e:  # whatever ends a job is its outcome
+            end = [("error", str(e) or type(e).__name__), ("status", "FAILED")]
+        with self.ending:
             if not stopped.is_set():
-                self.store.tell(job, "error", str(e) or type(e).__name__)
-                self.store.tell(job, "status", "FAILED")
-        if stopped.is_set():
-            self.store.drop_results(job)
+                for event in end:
+                    self.store.tell(job, *event)
+                return
+        self.store.drop_results(job)
 
     def cancel(self, job: str) -> bool:
-        if self.status(job) not in ("QUEUED", "RUNNING"):
-            return False
-        if job in self.stopped:
-            self.stopped[job].set()
-        self.store.tell(job, "status", "CANCELLED")
+        with self.ending:
+            if self.status(job) not in ("QUEUED", "RUNNING"):
+                return False
+            if job in self.stopped:
+                self.stopped[job].set()
+            self.store.tell(job, "status", "CANCELLED")
         # Present jobs of the group and those that the thread starts before it sees the event. Spark lets the shuffle stages of
         # a query that begins later run, so they are cancelled for as long as the thread goes on.
         self.spark.sparkContext._jsc.sc().cancelJobGroupAndFutureJobs(job)
@@ -224,7 +228,7 @@ class JobRunner:
     def status(self, job: str) -> str | None:
         events = self.store.events_of(job)
         states = [e[4] for e in events if e[3] == "status"]
-        return _is_ended(events) or (states[-1] if states else None)
+        return _end_of(events) or (states[-1] if states else None)
 
     def wait(self, job: str, seconds: float) -> str | None:
         self.threads[job].join(seconds)

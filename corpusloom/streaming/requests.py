@@ -33,10 +33,12 @@ def run_requests(service: Service, folder: str, target: str, files: int | None =
 
     The id of a job follows from the number of its batch, the line, and which of equal lines of the batch it is. Spark gives a
     batch that did not end the same number and the same lines again, and a service with a TableStore knows the jobs that it
-    has started, so none is run twice. Refused lines, with the reason, are in the table target/refused, by batch. Lines
+    has started, so none is run twice; those that a driver before left without an end are gone on with first. One driver at a
+    time uses a store. Refused lines, with the reason, are in the table target/refused, by batch. Lines
     are read one partition at a time; a batch ends when its jobs have.
     """
     started: list[str] = []
+    service.recover()
 
     def run(batch: DataFrame, number: int) -> None:
         nth = F.row_number().over(Window.partitionBy("value").orderBy(F.lit(0)))
