@@ -46,7 +46,7 @@ def absolute_links(references: Column, url: Column) -> Column:
     return F.array_distinct(F.filter(F.transform(references, lambda h: urls.resolved(h, url)), lambda h: h.isNotNull()))
 
 
-def scrape(pages: DataFrame, native: bool = False, timed: bool = False, passed: Callable[[int], None] | None = None) -> DataFrame:
+def scrape(pages: DataFrame, native: bool = False, timed: bool = False, passed: Callable[[int], None] | None = None, bare: bool = True) -> DataFrame:
     """Records of pages(page_id, url, html, ...): title, headings, content, links, metrics, status.
 
     The tree path takes any markup. The native path is for corpora whose pages have one plain `<article>`, a `<title>` and
@@ -57,7 +57,8 @@ def scrape(pages: DataFrame, native: bool = False, timed: bool = False, passed:
 
     `timed` adds scraped_at, as text, and scrape_ms: when the source fetched the page, if it tells, and how long that and
     the extraction took. The native path measures no single pages; its time is that of the query. passed(n) is called in
-    the tasks of the tree path after every n pages.
+    the tasks of the tree path after every n pages. The tree path reads old character references without a semicolon as browsers
+    do, unless `bare` is false: then, as on the native path, only those with one are references.
     """
     html, url = F.col("html"), F.col("url")
     has = set(pages.columns)
@@ -71,7 +72,7 @@ def scrape(pages: DataFrame, native: bool = False, timed: bool = False, passed:
     if native:
         got = pages.withColumns({"title": F.coalesce(native_title(html), F.lit("")), "headings": F.coalesce(native_headings(html), F.array().cast("array<string>")), "content": F.coalesce(native_content(html), F.lit("")), "links": F.coalesce(native_links(html, url), F.array().cast("array<string>")), "cleaned_html": F.coalesce(F.regexp_extract(html, "(?s)<article>(.*?)</article>", 1), F.lit("")), "error_message": F.when(html.isNull(), said), "at": tx.iso_time(F.current_timestamp()), "ms": F.lit(0).cast("long")})
     else:
-        got = pages.withColumn("x", extract_udf("html", passed)).withColumns({"title": F.col("x.title"), "headings": F.col("x.headings"), "content": F.col("x.content"), "links": absolute_links(F.col("x.references"), url), "cleaned_html": F.col("x.cleaned_html"), "error_message": F.when(html.isNull(), said).otherwise(F.col("x.error")), "at": F.col("x.at"), "ms": F.col("x.ms")})
+        got = pages.withColumn("x", extract_udf("html", passed, bare)).withColumns({"title": F.col("x.title"), "headings": F.col("x.headings"), "content": F.col("x.content"), "links": absolute_links(F.col("x.references"), url), "cleaned_html": F.col("x.cleaned_html"), "error_message": F.when(html.isNull(), said).otherwise(F.col("x.error")), "at": F.col("x.at"), "ms": F.col("x.ms")})
     got = got.withColumns(http)
     times = []
     if timed:

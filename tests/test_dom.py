@@ -52,3 +52,29 @@ def test_a_page_that_raises(spark, monkeypatch):
     pages = spark.createDataFrame([("http://a.b/", "x", 203, "text/html; charset=x", 4)], "url string, html string, status_code int, content_type string, depth int")
     r = extract.scrape(pages, timed=True).first()
     assert (r.status, r.error_message, r.status_code, r.content_type, r.depth, r.word_count, r.language, r.scraped_at, r.scrape_ms) == ("FAILED", "boom", 203, "text/html", 4, 0, "unknown", "T", 3)
+
+
+def test_references_without_semicolon():
+    """Read as browsers do, or, unless bare, left as they stand; in attributes and beside any character too."""
+    from corpusloom.operators import dom
+
+    page = '<title>a &amp; b &amp</title><p>&copy &copy; &#65 &#65; &x; &lt&ampx;</p><a href="/?a&amp=1&amp;b">x</a>﷐<xmp>&amp;&amp</xmp>'
+    got, strict = dom.parts(page), dom.parts(page, bare=False)
+    assert (got["title"], strict["title"]) == ("a & b &", "a & b &amp")
+    assert got["content"].startswith("© © A A &x; <&x;x﷐") and strict["content"].startswith("&copy © &#65 A &x; &lt&ampx;x﷐")
+    assert strict["references"] == ["/?a&amp=1&b"]
+    whole = '<title>t</title><h1>&quot;h&quot;</h1><p>no & but &copy;</p>'
+    assert dom.parts(whole) == dom.parts(whole, bare=False)
+
+
+def test_cut_references_as_in_sql(spark, tmp_path):
+    """Titles that are cut inside a reference: dom_extract gives the rows of its SQL, as page_extract does."""
+    import duckdb
+
+    from corpusloom.plans import registry
+
+    html = "<title>a &amp;&amp</title><article><h1>a &amp;&amp</h1><p>of the &copy;</p><a href=\"/x\">x</a></article>"
+    spark.createDataFrame([(1, "http://s.example/", html)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    duckdb.sql(f"CREATE OR REPLACE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    got = registry.QUERIES["dom_extract"](spark, str(tmp_path))
+    assert [tuple(r) for r in got.collect()] == duckdb.sql(registry.SQL["dom_extract"]).fetchall()
