@@ -1,4 +1,4 @@
-"""Ways to get a page: functions of a url and a time limit in seconds that give an Answer or raise."""
+"""Ways to get a page: functions of a url and a time limit in seconds that give an Answer, or a list of them, or raise."""
 
 from __future__ import annotations
 
@@ -30,12 +30,14 @@ class Stored:
     """Answers from a table of Parquet at a path that every task can open; a url that it lacks raises.
 
     Each task reads the answers to the urls that it is about to ask for, and those only. Meant to go over a site again without
-    asking it; a corpus is joined with sources.pages.fetch() instead.
+    asking it; a corpus is joined with sources.pages.fetch() instead. Of several answers to a url, each is given with `every`,
+    else the last.
     """
 
-    def __init__(self, path: str, url: str = "url", body: str = "html", status: str | None = None, content_type: str | None = None):
+    def __init__(self, path: str, url: str = "url", body: str = "html", status: str | None = None, content_type: str | None = None, every: bool = False):
+        self.every = every
         self.path, self.columns = path, {"url": url, "body": body} | ({"status": status} if status else {}) | ({"content_type": content_type} if content_type else {})
-        self.known: dict[str, Answer] = {}
+        self.known: dict[str, list[Answer]] = {}
 
     def prepare(self, urls: list[str]) -> None:
         import pyarrow.dataset as ds
@@ -43,9 +45,12 @@ class Stored:
 
         files, path = FileSystem.from_uri(self.path)
         rows = ds.dataset(path, filesystem=files, format="parquet").to_table(columns={k: ds.field(c) for k, c in self.columns.items()}, filter=ds.field(self.columns["url"]).isin(urls))
-        self.known = {r["url"]: Answer(r.get("status") or 200, r.get("content_type") or "text/html", r["body"]) for r in rows.to_pylist() if r["body"] is not None}
+        self.known = {}
+        for r in rows.to_pylist():
+            if r["body"] is not None:
+                self.known.setdefault(r["url"], []).append(Answer(r.get("status") or 200, r.get("content_type") or "text/html", r["body"]))
 
-    def __call__(self, url: str, seconds: float) -> Answer:
+    def __call__(self, url: str, seconds: float) -> Answer | list[Answer]:
         if url not in self.known:
             raise LookupError("no stored answer")
-        return self.known[url]
+        return self.known[url] if self.every else self.known[url][-1]
