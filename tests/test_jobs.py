@@ -272,3 +272,38 @@ def test_streamed_fold_is_the_batch_fold(spark, tmp_path):
     want = jobs.fold(a.union(b)).select(*got.columns)
     assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
     assert {r.job_id: r.status for r in got.collect()} == {"a": "FAILED", "b": "QUEUED", "c": "COMPLETED", "d": "RUNNING"}
+
+
+def test_state_is_asked_little():
+    """A job's batch takes one read and one write of its state, and a timer only where one is set or moved."""
+    from pyspark.sql import Row
+    from pyspark.sql.streaming.stateful_processor import TimerValues
+
+    calls, held = [], {}
+
+    class Value:
+        def get(self):
+            calls.append("get")
+            return held.get("job")
+
+        def update(self, value):
+            calls.append("update")
+            held["job"] = value
+
+    class Handle:
+        def getValueState(self, name, schema):
+            return Value()
+
+        def __getattr__(self, name):
+            return lambda *a: calls.append((name, *a))
+
+    fold = stream_jobs.JobFold(1000)
+    fold.init(Handle())
+    event = lambda seq, value: Row(us=seq * 1_000_000, seq=seq, kind="status", value=value)
+    asked = []
+    for mark, rows in ((0, [event(2, "RUNNING"), event(1, "QUEUED")]), (1500, [event(4, "COMPLETED")]), (5000, [event(6, "FAILED")]), (7000, [event(8, "FAILED")])):
+        (out,) = fold.handleInputRows(("a",), iter(rows), TimerValues(0, mark))
+        asked.append(list(calls))
+        calls.clear()
+    assert asked == [["get", "update"], ["get", ("registerTimer", 5000), "update"], ["get", ("deleteTimer", 5000), ("registerTimer", 5001), "update"], ["get", ("deleteTimer", 5001), ("registerTimer", 7001), "update"]]
+    assert tuple(out) == ("a", "COMPLETED", 1_000_000, 2_000_000, 4_000_000)
